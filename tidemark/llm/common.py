@@ -8,6 +8,7 @@ import uuid
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: Rows and bytes of an Arrow batch handed to Python; bounds a worker's memory whatever the documents' lengths.
 BATCH_ROWS = 1000
@@ -59,6 +60,12 @@ def as_bytes(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select("doc_id", F.coalesce(F.col("text").cast("string").cast("binary"), F.lit(b"")).alias("body"), *more)
 
 
+def map_rows(docs: DataFrame, run) -> DataFrame:
+    """mapInArrow that keeps the frame's columns, whatever their names; `run` finds them by place."""
+    kinds = StructType([StructField(f"c{i}", f.dataType) for i, f in enumerate(docs.schema)])
+    return docs.toDF(*kinds.names).mapInArrow(run, kinds).toDF(*docs.columns)
+
+
 def held_out(doc_id: str = "doc_id"):
     """True where crc32(doc_id as text) mod 3 is 1; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 3 == 1

@@ -2,12 +2,29 @@
 
 from __future__ import annotations
 
+from .mixing import op8_mixing
+from .mpeg_audio import op7_mpeg_audio
+from .packing import op6_packing
+from .quality_crf import op5_quality_crf
+from .quality_rules import op10_quality_rules
+from .secret_scan import op2_secret_scan
+from .simhash_dedup import op9_simhash_dedup
 from .substring_dedup import op3_substring_dedup
 from .suffix_dedup import op4_suffix_dedup
+from .toxicity import op1_toxicity
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
+    "op2_secret_scan": op2_secret_scan,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_suffix_dedup": op4_suffix_dedup,
+    "op5_quality_crf": op5_quality_crf,
+    "op6_packing": op6_packing,
+    "op7_mpeg_audio": op7_mpeg_audio,
+    "op8_mixing": op8_mixing,
+    "op9_simhash_dedup": op9_simhash_dedup,
+    "op10_quality_rules": op10_quality_rules,
 }
 
+#: None of the ten is wholly expressible: models, automata, XXH64, media bytes, seeded draws.
 ORACLE_SQL: dict[str, str] = {}
