@@ -26,14 +26,17 @@ from .repeats import Chunk, Units, removed
 
 WINDOW, GRAM = 400, 200
 #: Bytes of distinct candidate text in a shard, about.
-SHARD_BYTES = 1 << 21
+SHARD_BYTES = 1 << 19
 
 
 class ColumnBwt:
-    """The transform and common prefixes of a growing collection, in two files of a folder."""
+    """The transform and common prefixes of a growing collection, in two files of a folder that each round writes anew."""
+
+    #: A byte that UTF-8 never has: the letter before this suffix is not yet inserted, or there is none.
+    UNKNOWN = 255
 
     def __init__(self, folder: str, markers: list[bytes], cap: int):
-        self.folder, self.cap = folder, cap
+        self.folder, self.cap, self.round = folder, cap, 0
         lengths = np.array([len(m) for m in markers])
         width = int(lengths.max())
         table = np.array(markers, dtype=f"S{width}")
@@ -45,81 +48,79 @@ class ColumnBwt:
         sizes = lengths[self.order]
         common = np.minimum(np.minimum(common, cap), np.minimum(sizes[1:], sizes[:-1]))
         self.markers = len(markers)
-        self._save(np.zeros(len(markers), np.uint8), np.zeros(len(markers), bool), np.concatenate([[0], common]).astype(np.uint16))
+        self._save(np.full(len(markers), self.UNKNOWN, np.uint8), np.concatenate([[0], common]).astype(np.uint16))
+
+    def _save(self, symbols: np.ndarray, common: np.ndarray) -> None:
+        # under new names, the old ones deleted: a file put in another's place would be forced to the disk at once
+        for name, values in (("symbols", symbols), ("common", common)):
+            values.tofile(f"{self.folder}/{name}-{self.round + 1}")
+            if self.round:
+                os.unlink(f"{self.folder}/{name}-{self.round}")
+        self.round += 1
 
-    def _save(self, symbols: np.ndarray, known: np.ndarray, common: np.ndarray) -> None:
-        for name, values in (("symbols", symbols), ("known", known), ("common", common)):
-            values.tofile(f"{self.folder}/{name}.new")
-            os.replace(f"{self.folder}/{name}.new", f"{self.folder}/{name}")
+    def load(self) -> tuple[np.ndarray, np.ndarray]:
+        return np.fromfile(f"{self.folder}/symbols-{self.round}", np.uint8), np.fromfile(f"{self.folder}/common-{self.round}", np.uint16)
 
-    def load(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        return tuple(np.fromfile(f"{self.folder}/{n}", k) for n, k in (("symbols", np.uint8), ("known", bool), ("common", np.uint16)))
+    def insert(self, at: np.ndarray, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Put `letters` before the suffixes at the (ascending) rows `at`.
 
-    def insert(self, at: np.ndarray, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Put `letters` before the suffixes at (ascending) positions `at`; the new suffixes' positions, and those of all old rows."""
-        symbols, known, common = self.load()
+        Returns the new suffixes' rows, for each the number of its entry in `at`, and all common prefixes.
+        """
+        symbols, common = self.load()
         symbols[at] = letters
-        known[at] = True
-        rows = np.flatnonzero(known)
-        by = rows[np.argsort(symbols[rows], kind="stable")]  # old rows in the order of the suffixes that their letter begins
+        by = np.argsort(symbols, kind="stable")  # rows in the order of the suffixes that their letter begins
+        known = len(by) - int(np.count_nonzero(symbols == self.UNKNOWN))
         new = np.zeros(len(symbols), bool)
         new[at] = True
-        fresh = np.flatnonzero(new[by])
+        fresh = np.flatnonzero(new[by[:known]])
         place = self.markers + fresh
-        size = len(symbols) + len(at)
-        old = np.ones(size, bool)
+        source = by[fresh]
+        old = np.ones(len(symbols) + len(at), bool)
         old[place] = False
-        to = np.flatnonzero(old)
-        made, told, shared = np.zeros(size, np.uint8), np.zeros(size, bool), np.zeros(size, np.uint16)
-        made[to], told[to], shared[to] = symbols, known, common
-        # a new suffix shares with the one above: their letter, and what lies between the rows it stands in
-        first = symbols[by]
-        touched = np.unique(np.concatenate([fresh, fresh[fresh + 1 < len(by)] + 1]))
-        touched = touched[touched > 0]
-        same = first[touched] == first[touched - 1]
+        made, shared = np.full(len(old), self.UNKNOWN, np.uint8), np.zeros(len(old), np.uint16)
+        made[old], shared[old] = symbols, common
+        # a new suffix shares with the one above: their letter, and what the rows between their own rows share
+        near = np.zeros(known + 1, bool)
+        near[fresh] = near[fresh + 1] = True
+        touched = np.flatnonzero(near[1:known]) + 1
+        same = symbols[by[touched]] == symbols[by[touched - 1]]
         shared[self.markers + touched[~same]] = 0
-        shared[self.markers + fresh[fresh == 0]] = 0
         inner = touched[same]
         if len(inner):
             low, high = by[inner - 1] + 1, by[inner] + 1
-            bounds = np.empty(2 * len(inner), np.int64)
             back = np.argsort(-low, kind="stable")
+            bounds = np.empty(2 * len(inner), np.int64)
             bounds[0::2], bounds[1::2] = low[back], high[back]
             least = np.minimum.reduceat(np.append(common, np.uint16(0)), bounds)[0::2]
             shared[self.markers + inner[back]] = np.minimum(least.astype(np.int64) + 1, self.cap)
-        self._save(made, told, shared)
-        return place, to, by[fresh]
+        self._save(made, shared)
+        return place, np.searchsorted(at, source), shared
 
 
 def judge(chunks: list[Chunk], window: int = WINDOW) -> list[np.ndarray]:
     """For each chunk, which of its windows are repeated."""
-    out = [np.full(x.n, x.copies > 1) for x in chunks]
-    bodies = [np.frombuffer(x.body, np.uint8) for x in chunks]
     left = np.array([x.left for x in chunks])
+    width = int(left.max())
+    count = np.array([x.n for x in chunks])
+    repeated = np.zeros((len(chunks), width + 1), bool)  # by bytes before the anchor
+    letters = np.zeros((len(chunks), width + 1), np.uint8)
+    for i, x in enumerate(chunks):
+        letters[i, 1 : x.left + 1] = np.frombuffer(x.body, np.uint8)[: x.left][::-1]
     with tempfile.TemporaryDirectory() as folder:
         bwt = ColumnBwt(folder, [x.body[x.left :] for x in chunks], window)
-        document = bwt.order.copy()  # of each row
-        newest = np.arange(len(chunks))  # rows of the suffixes to be made longer
-        _, _, common = bwt.load()
-        live = document
-        for step in range(int(left.max()) + 1):
+        newest, docs = np.arange(len(chunks)), bwt.order  # rows of the suffixes to be made longer, and their documents
+        common = bwt.load()[1]
+        for step in range(width + 1):
             if step:
-                grows = left[document[newest]] >= step
-                newest = newest[grows]
-                docs = document[newest]
-                letters = np.array([bodies[d][left[d] - step] for d in docs.tolist()], np.uint8)
-                place, to, source = bwt.insert(newest, letters)
-                grown = np.empty(len(to) + len(place), document.dtype)
-                grown[to] = document
-                grown[place] = document[source]
-                document, newest = grown, place
-                _, _, common = bwt.load()
-            live = document[newest]
-            below = np.append(common, np.uint16(0))[newest + 1]
-            hit = (common[newest] >= window) | (below >= window)
-            for d in live[hit].tolist():
-                if left[d] - step < len(out[d]):
-                    out[d][left[d] - step] = True
+                grows = left[docs] >= step
+                newest, docs = newest[grows], docs[grows]
+                newest, source, common = bwt.insert(newest, letters[docs, step])
+                docs = docs[source]
+            best = np.maximum(common[newest], np.append(common, np.uint16(0))[newest + 1]).astype(np.int64)
+            repeated[docs[best >= window], step] = True
+    out = []
+    for i, x in enumerate(chunks):
+        out.append(np.ones(x.n, bool) if x.copies > 1 else repeated[i, x.left - count[i] + 1 : x.left + 1][::-1])
     return out
 
 
