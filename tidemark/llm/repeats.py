@@ -337,7 +337,9 @@ def removed(docs: DataFrame, units: Units, build: Callable, in_same: bool, shard
         again = d1.select(F.explode("h").alias("h")).groupBy("h").count().where("count > 1")
     else:
         again = d1.select("doc_id", F.explode("h").alias("h")).groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
-    hit = d1.select("rid", F.posexplode("h").alias("i", "h")).join(again.select("h"), "h", "left_semi")
+    # written, so that both sides of the semi-join come straight from a shuffle and AQE can split a hot anchor's rows
+    again = written(again.select("h"), f"{name}-anchors")
+    hit = d1.select("rid", F.posexplode("h").alias("i", "h")).join(again, "h", "left_semi")
     hit = hit.groupBy("rid").agg(F.sort_array(F.collect_list("i")).alias("idx"))
     d2 = written(d1.join(hit, "rid"), f"{name}-candidates")
     chunks = written(d2.select("rid", "doc_id", "windows", "blob", "h", "s", "idx").mapInArrow(_chunks(units), _CHUNKS), f"{name}-chunks")
