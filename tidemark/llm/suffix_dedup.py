@@ -5,7 +5,8 @@ Each byte covered by a 400-byte string that also starts anywhere else (the same
 bytes from the anchor on are its end marker, and markers are ordered by those bytes; then every round inserts one further
 byte of every document, to the left, and merges the new suffixes into the transform and the array of common prefixes.
 Both live in files that a round reads and writes from front to end. A window is repeated if its suffix shares 400 bytes
-with a neighbour, or if its chunk has several copies.
+with a neighbour, or if its chunk has several copies. A document stops growing once it shares too little with its
+neighbours for any of its windows still to be repeated.
 
 Equal windows have their anchor at the same place, so they are suffixes of the same round and of the same shard.
 
@@ -118,6 +119,9 @@ def judge(chunks: list[Chunk], window: int = WINDOW) -> list[np.ndarray]:
                 docs = docs[source]
             best = np.maximum(common[newest], np.append(common, np.uint16(0))[newest + 1]).astype(np.int64)
             repeated[docs[best >= window], step] = True
+            # a further letter adds at most one to what a suffix shares: without hope of a window's length it stops growing
+            hope = best + left[docs] - step >= window
+            newest, docs = newest[hope], docs[hope]
     out = []
     for i, x in enumerate(chunks):
         out.append(np.ones(x.n, bool) if x.copies > 1 else repeated[i, x.left - count[i] + 1 : x.left + 1][::-1])
