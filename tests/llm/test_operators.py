@@ -172,7 +172,7 @@ def test_packing_ids(spark, odd, none, documents):
 
     tok = Tokenizer.from_file(packing.tokenizer_path())
     whole = lambda t: np.array([*tok.encode(t or "", add_special_tokens=False).ids, 1], "<u4").tobytes()
-    strange = ["a\x0bb!\x0b?", "<|endoftext|> x<|startoftext|>y", "é ́e", "ΣΑΣ σας", "it's 'tis we've", "  x\u0085y", "\x1cz\x1d", "ab\tcd\r\nef  g", "１２ ½"]
+    strange = ["a\x0bb!\x0b?", "<|endoftext|> x<|startoftext|>y", "é ́e", "ΣΑΣ σας", "it's 'tis we've", "  x\u0085y", "\x1cz\x1d", "ab\tcd\r\nef  g", "１２ ½", "<|ENDOFTEXT|> A<|endoftext|>.", "İ. İ! é, ê#.", "x'S. don't!' 'S.", "ÀB.C,, ##.. a.#é*", "が゙. 한ᆨ!"]
     words = packing.WordIds(packing.tokenizer_path())
     assert words.encode([t.encode() for t in strange]) == [whole(t)[:-4] for t in strange]
     rows = packing.packed(spark.read.parquet(f"{SF}/documents.parquet"), packing.tokenizer_path()).collect()
