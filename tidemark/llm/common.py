@@ -1,15 +1,14 @@
-"""Shared pieces of the training-data operators: the shared folder, cut lineage, bounded Arrow batches."""
+"""Shared pieces of the training-data operators: cut lineage, bounded Arrow batches."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
+from tidemark.plans.lineage import written  # noqa: F401
+
 #: Rows and bytes of an Arrow batch handed to Python; bounds a worker's memory whatever the documents' lengths.
 BATCH_ROWS = 1000
 BATCH_BYTES = 32 << 20
@@ -17,8 +16,6 @@ BATCH_BYTES = 32 << 20
 #: Documents' words are maximal runs of bytes other than these (ASCII, so they never cut a UTF-8 sequence).
 WHITE = b" \t\n\x0b\x0c\r"
 
-_own: list[str] = []
-
 
 def session(df: DataFrame) -> SparkSession:
     """The frame's session, set to small Arrow batches."""
@@ -28,33 +25,6 @@ def session(df: DataFrame) -> SparkSession:
     return spark
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where that is unset, as in local tests."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if not _own:
-        _own.append(tempfile.mkdtemp(prefix="tidemark-"))
-    return _own[0]
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage: write the frame to the shared folder and read it back, so that a lost executor costs no recomputation."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def forget(df: DataFrame) -> None:
-    """Delete a written() frame that nothing lazy reads any more."""
-    spark = df.sparkSession
-    for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def as_bytes(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id, the text's UTF-8 bytes (null: empty) and further columns; extra columns are left behind."""
     return docs.select("doc_id", F.coalesce(F.col("text").cast("string").cast("binary"), F.lit(b"")).alias("body"), *more)

@@ -20,6 +20,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.graph import components
+
 from .common import arrow, as_bytes, session, written
 
 SEED, SHINGLE, RADIUS = 42, 3, 2
@@ -141,25 +143,6 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     return shards.mapInArrow(run, "a long, b long")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node and root (its component's least value), for every node of the links a, b."""
-    now = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "links")
-    state = None
-    while True:
-        both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        large = written(large, "large-star")
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a")
-        small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-        now = written(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "small-star")
-        after = tuple(now.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 40)))).first())
-        if after == state:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        state = after
-
-
 def _components(prints: DataFrame, radius: int) -> DataFrame:
     """fp and component_id of each distinct fingerprint of prints (doc_id, fp)."""
     values = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-values")
