@@ -174,7 +174,8 @@ def representatives(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     of = prints.join(_components(prints, radius).select("fp", "root"), "fp")
     first = of.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("x"))
     keep = written(first.select(F.col("x.row").alias("row")), "simhash-kept")
-    return numbered.join(keep, "row", "left_semi").select("doc.*")
+    # a merge join at every size: a broadcast of the kept rows would grow with the corpus
+    return numbered.join(keep.hint("merge"), "row", "left_semi").select("doc.*")
 
 
 def op9_simhash_dedup(spark, sf_dir: str) -> DataFrame:
