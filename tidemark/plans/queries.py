@@ -363,7 +363,7 @@ def band_math(spark, sf_dir):
     return p.select(*raster.KEY, F.round(S.band_math("(b1 - b2) * 0.5 + 1"), 6).alias("v"))
 
 
-@query(f"WITH {PIXELS_SQL} SELECT scene, round(avg(vv), 6) AS vv_avg, round(stddev_samp(vv), 6) AS vv_std, min(vv) AS vv_min, max(vv) AS vv_max, round(avg(vh), 6) AS vh_avg, round(stddev_samp(vh), 6) AS vh_std, round(min(vh), 6) AS vh_min, round(max(vh), 6) AS vh_max FROM pixels GROUP BY scene")
+@query(f"WITH {PIXELS_SQL} SELECT scene, round(avg(vv), 6) AS vv_avg, round(stddev_samp(vv), 6) AS vv_std, round(min(vv), 6) AS vv_min, round(max(vv), 6) AS vv_max, round(avg(vh), 6) AS vh_avg, round(stddev_samp(vh), 6) AS vh_std, round(min(vh), 6) AS vh_min, round(max(vh), 6) AS vh_max FROM pixels GROUP BY scene")
 def band_stats(spark, sf_dir):
     agg = [x for b in ("vv", "vh") for x in (F.round(F.avg(b), 6).alias(f"{b}_avg"), F.round(F.stddev_samp(b), 6).alias(f"{b}_std"), F.round(F.min(b), 6).alias(f"{b}_min"), F.round(F.max(b), 6).alias(f"{b}_max"))]
     return T.pixels(spark, sf_dir).groupBy("scene").agg(*agg)

@@ -26,10 +26,10 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 def synthetic_vessels(spark: SparkSession, lon: float, lat: float) -> DataFrame:
     # The four synthetic vessels, offsets in degrees from the origin.
     rows = [
-        (999000001, "SYNTHETIC-A (Tanker)", "Crude Oil Tanker", lon - 0.02, lat - 0.015, 11.5, 245.0),
-        (999000002, "SYNTHETIC-B (Tanker)", "Oil Products Tanker", lon - 0.04, lat - 0.03, 9.0, 240.0),
-        (999000003, "SYNTHETIC-C (Cargo)", "General Cargo", lon + 0.08, lat + 0.06, 13.0, 110.0),
-        (999000004, "SYNTHETIC-D (Fishing)", "Fishing Vessel", lon + 0.15, lat - 0.10, 4.0, 30.0),
+        (244123000, "SYNTHETIC_TANKER_ALPHA", "Crude Oil Tanker", lon - 0.02, lat - 0.015, 11.4, 45.0),
+        (219001000, "SYNTHETIC_CHEM_BETA", "Chemical Tanker", lon - 0.04, lat - 0.03, 12.1, 50.0),
+        (211987000, "SYNTHETIC_CARGO_GAMMA", "General Cargo", lon + 0.08, lat + 0.06, 13.8, 60.0),
+        (257456000, "SYNTHETIC_SUPPLY_DELTA", "Offshore Supply", lon + 0.15, lat - 0.10, 8.2, 210.0),
     ]
     return spark.createDataFrame(rows, AIS)
 
