@@ -13,9 +13,6 @@ from tidemark.plans.lineage import written  # noqa: F401
 BATCH_ROWS = 1000
 BATCH_BYTES = 32 << 20
 
-#: Documents' words are maximal runs of bytes other than these (ASCII, so they never cut a UTF-8 sequence).
-WHITE = b" \t\n\x0b\x0c\r"
-
 
 def session(df: DataFrame) -> SparkSession:
     """The frame's session, set to small Arrow batches."""

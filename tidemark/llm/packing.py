@@ -253,9 +253,6 @@ def plan(totals: list[int], window: int = WINDOW) -> list[tuple[int, int, int, i
     return out
 
 
-_PIECES = "row long, doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
-
-
 def packed(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END, block: int = BLOCK, ids: bool = True) -> DataFrame:
     """A row per piece: doc_id, start, length, ids (little-endian unsigned 32-bit; null if not asked for), ids_crc32, doc_tokens, sequence_id, offset."""
     session(docs)
