@@ -25,9 +25,10 @@ from pyspark.sql import functions as F
 from .common import arrow, as_bytes, held_out, map_rows, session
 from .samples import labelled_sample
 
-BUCKETS, DIMENSIONS, WORDS = 1 << 16, 6, 4
+BUCKETS, DIMENSIONS, WORDS = 1 << 16, 6, 2
 PER_CLASS, MOST_BYTES = 1200, 12_000
 THRESHOLD = 0.7
+FOLDS = 5
 GRAMS = (3, 4, 5)
 
 
@@ -159,7 +160,43 @@ def _blocks(bodies: list[bytes], size: int):
         yield part
 
 
-def fit(texts: list[bytes], labels: list[int], share: float, seed: int = 11, folds: int = 3, **sizes) -> Model:
+class Bags:
+    """Windows of WORDS words of many texts as sparse rows: gram buckets, their weights in the average, each window's start and text."""
+
+    def __init__(self, texts: list[bytes], buckets: int, words: int):
+        cols, values, lengths, owner = [], [], [], []
+        for d, text in enumerate(texts):
+            c, rows, n = grams(normal(text), buckets)
+            if not n:
+                continue
+            order = np.argsort(rows, kind="stable")
+            c, rows = c[order], rows[order]
+            first = np.arange(0, n, words)
+            size = np.minimum(first + words, n) - first
+            cols.append(c.astype(np.int32))
+            values.append((1.0 / (np.bincount(rows, minlength=n)[rows] * size[rows // words])).astype(np.float32))
+            lengths.append(np.bincount(rows // words, minlength=len(first)))
+            owner.append(np.full(len(first), d))
+        joined = lambda parts, kind: np.concatenate(parts).astype(kind) if parts else np.zeros(0, kind)
+        self.cols, self.values = joined(cols, np.int32), joined(values, np.float32)
+        self.lengths, self.owner = joined(lengths, np.int64), joined(owner, np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+
+    def rows(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Buckets, weights and lengths of the chosen windows, one after the other."""
+        lengths = self.lengths[chosen]
+        at = np.repeat(self.starts[chosen] - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
+        return self.cols[at], self.values[at].astype(np.float64), lengths
+
+    def dot(self, linear: np.ndarray, chosen: np.ndarray, block: int = 1 << 14) -> np.ndarray:
+        out = np.zeros(len(chosen))
+        for a in range(0, len(chosen), block):
+            cols, values, lengths = self.rows(chosen[a : a + block])
+            out[a : a + block] = np.add.reduceat(linear[cols] * values, np.cumsum(lengths) - lengths)
+        return out
+
+
+def fit(texts: list[bytes], labels: list[int], share: float, seed: int = 11, folds: int = FOLDS, buckets: int = BUCKETS, words: int = WORDS, **sizes) -> Model:
     """The mean of `folds` models, each trained without one part of the sample; share: of toxic documents among all labelled ones.
 
     The pooling of windows is fitted on what each model says of the part that it has not seen.
@@ -167,13 +204,13 @@ def fit(texts: list[bytes], labels: list[int], share: float, seed: int = 11, fol
     y = np.array(labels)
     bias = np.log(np.clip([1 - share, share], 1e-6, 1))
     if len(set(labels)) < 2:
-        return Model(np.zeros((BUCKETS, 1)), np.zeros((1, 2)), bias)
+        return Model(np.zeros((buckets, 1)), np.zeros((1, 2)), bias, words)
     weight = np.where(y == 1, share / max(1, y.sum()), (1 - share) / max(1, (1 - y).sum())) * len(y)
     part = np.random.default_rng(seed).permutation(len(y)) % folds
+    bags = Bags(texts, buckets, words)
     models, seen = [], np.zeros((len(y), 5))
     for k in range(folds):
-        rest = np.flatnonzero(part != k)
-        models.append(_train([texts[i] for i in rest], y[rest], weight[rest], bias, seed + k, **sizes))
+        models.append(_train(bags, part != k, y, weight, bias, seed + k, buckets, words, **sizes))
         own = np.flatnonzero(part == k)
         if len(own):
             seen[own] = models[-1].windows([texts[i] for i in own])
@@ -184,63 +221,51 @@ def fit(texts: list[bytes], labels: list[int], share: float, seed: int = 11, fol
     return mean
 
 
-def _train(texts, y_doc, weight_doc, bias, seed, buckets=BUCKETS, dimensions=DIMENSIONS, words=WORDS, rounds=8, rate=0.3, ridge=1e-2) -> Model:
-    """Embeddings and softmax, jointly by AdaGrad."""
+def _train(bags: Bags, inside: np.ndarray, y_doc, weight_doc, bias, seed, buckets, words, dimensions=DIMENSIONS, rounds=8, rate=0.3, ridge=1e-2) -> Model:
+    """Embeddings and softmax, jointly by AdaGrad, over the windows of the documents inside."""
     rng = np.random.default_rng(seed)
-    table = rng.normal(0, 0.01, (buckets, dimensions))
+    table = rng.normal(0, 0.01, (dimensions, buckets))
     weights = rng.normal(0, 0.5, (dimensions, 2))
     bias = bias.copy()
-    bodies = [normal(t) for t in texts]
-    bags = []  # of each window: gram buckets and their weights in its average
-    owner = []
-    for d, body in enumerate(bodies):
-        cols, rows, n = grams(body, buckets)
-        if not n:
-            continue
-        value = 1.0 / np.bincount(rows, minlength=n)[rows]
-        order = np.argsort(rows, kind="stable")
-        cols, rows, value = cols[order].astype(np.int32), rows[order], value[order]
-        for a in range(0, n, words):
-            lo, hi = np.searchsorted(rows, [a, min(a + words, n)])
-            bags.append((cols[lo:hi], (value[lo:hi] / (min(a + words, n) - a)).astype(np.float32)))
-            owner.append(d)
-    if not bags:
-        return Model(table, weights, bias, words)
-    owner = np.array(owner)
-    squares = [np.full((buckets, dimensions), ridge), np.full((dimensions, 2), ridge), np.full(2, ridge)]
+    flat = np.flatnonzero(inside[bags.owner])
+    if not len(flat):
+        return Model(table.T, weights, bias, words)
+    squares = [np.full((dimensions, buckets), ridge), np.full((dimensions, 2), ridge), np.full(2, ridge)]
 
     def step(chosen, importance):
-        cols = np.concatenate([bags[i][0] for i in chosen])
-        vals = np.concatenate([bags[i][1] for i in chosen]).astype(np.float64)
-        lengths = np.array([len(bags[i][0]) for i in chosen])
+        cols, vals, lengths = bags.rows(chosen)
         starts = np.cumsum(lengths) - lengths
-        h = np.stack([np.add.reduceat(table[cols, k] * vals, starts) for k in range(dimensions)], 1)
+        h = np.stack([np.add.reduceat(table[k][cols] * vals, starts) for k in range(dimensions)], 1)
         z = h @ weights + bias
         g = np.exp(z - z.max(1, keepdims=True))
         g /= g.sum(1, keepdims=True)
-        g[np.arange(len(chosen)), y_doc[owner[chosen]]] -= 1
+        g[np.arange(len(chosen)), y_doc[bags.owner[chosen]]] -= 1
         g *= importance[:, None]
         dh = g @ weights.T
-        rows = np.repeat(np.arange(len(chosen)), lengths)
-        grad = np.stack([np.bincount(cols, vals * dh[rows, k], buckets) for k in range(dimensions)], 1)
-        for value, got, sq in ((table, grad, squares[0]), (weights, h.T @ g, squares[1]), (bias, g.sum(0), squares[2])):
+        met = np.unique(cols)  # other buckets have no gradient
+        place = np.searchsorted(met, cols) if len(met) < buckets // 4 else None
+        for k in range(dimensions):
+            pull = vals * np.repeat(dh[:, k], lengths)
+            got = np.bincount(cols, pull, buckets)[met] if place is None else np.bincount(place, pull, len(met))
+            squares[0][k][met] += got * got
+            table[k][met] -= rate * got / np.sqrt(squares[0][k][met])
+        for value, got, sq in ((weights, h.T @ g, squares[1]), (bias, g.sum(0), squares[2])):
             sq += got * got
             value -= rate * got / np.sqrt(sq)
 
-    n_of = np.bincount(owner, minlength=len(bodies))
-    flat = np.arange(len(bags))
+    owner = bags.owner[flat]
+    n_of = np.bincount(owner, minlength=len(inside))
     for _ in range(2):
         for part in np.array_split(rng.permutation(flat), max(1, len(flat) // 4000)):
-            step(part, weight_doc[owner[part]] / n_of[owner[part]] * n_of.mean())
+            step(part, weight_doc[bags.owner[part]] / n_of[bags.owner[part]] * n_of[inside].mean())
     for _ in range(rounds):
-        linear = table @ (weights[:, 1] - weights[:, 0])
-        logit = np.array([float(linear[c] @ v) for c, v in bags])
+        logit = bags.dot((weights[:, 1] - weights[:, 0]) @ table, flat)
         best = np.lexsort((-logit, owner))
-        best = best[np.concatenate([[True], owner[best][1:] != owner[best][:-1]])]
+        best = flat[best[np.concatenate([[True], owner[best][1:] != owner[best][:-1]])]]
         for _ in range(3):
             for part in np.array_split(rng.permutation(best), max(1, len(best) // 300)):
-                step(part, weight_doc[owner[part]])
-    return Model(table, weights, bias, words)
+                step(part, weight_doc[bags.owner[part]])
+    return Model(table.T, weights, bias, words)
 
 
 def toxicity_model(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, most_bytes: int = MOST_BYTES) -> Model:
