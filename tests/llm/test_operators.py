@@ -11,6 +11,8 @@ import pytest
 import xxhash
 
 import corpus_pipeline
+from pyspark.sql import functions as F
+
 from tidemark.llm import mixing, mpeg_audio, packing, quality_crf, quality_rules, secret_scan, simhash_dedup, toxicity
 from tidemark.llm.queries import QUERIES
 
@@ -99,13 +101,23 @@ def test_bk_forest_and_quarters(spark):
             s ^= (1 << r.randrange(64)) * r.randint(0, 1)
             values.add(s)
     signed = sorted(v - (1 << 64) if v >> 63 else v for v in values)
-    edges = simhash_dedup.links(spark.createDataFrame([(v,) for v in signed], "fp long"))
-    roots = {x.node: x.root for x in simhash_dedup.components(edges).collect()}
+    # values that share a pair of quarters, so that their shard is hot, each pair in turn
+    for i in range(4):
+        for j in range(i):
+            part = [0xBEEF << 16 * i | 0x1234 << 16 * j | r.getrandbits(16) << 16 * r.choice([q for q in range(4) if q not in (i, j)]) for _ in range(15)]
+            values |= {v ^ 1 << r.randrange(64) for v in part} | set(part)
+    signed = sorted(v - (1 << 64) if v >> 63 else v for v in values)
+    frame = spark.createDataFrame([(v,) for v in signed], "fp long")
     least = plain_components([v % (1 << 64) for v in signed], list(range(len(signed))))
-    groups = {}
-    for v, c in zip(signed, least):
-        assert groups.setdefault(roots.get(v, v), c) == c
-    assert len(groups) == len(set(least))
+    for hot in (simhash_dedup.HOT, 4, 0):
+        roots = {x.node: x.root for x in simhash_dedup.components(simhash_dedup.links(frame, hot=hot)).collect()}
+        groups = {}
+        for v, c in zip(signed, least):
+            assert groups.setdefault(roots.get(v, v), c) == c
+        assert len(groups) == len(set(least))
+    # a cut shard fixes 48 bits
+    for x in simhash_dedup._shards(frame, 0).groupBy("key").agg(F.bit_or("fp").alias("any"), F.bit_and("fp").alias("all")).collect():
+        assert ((x["any"] ^ x["all"]) % (1 << 64)).bit_count() <= 16
     tree = simhash_dedup.BkTree(signed[0] % (1 << 64))
     for v in signed[1:]:
         tree.add(v % (1 << 64))

@@ -2,11 +2,13 @@
 
 Fingerprints over three-word shingles are counted per value first, so copies cost one row. Two fingerprints that differ in
 at most two of 64 bits agree on at least two of four 16-bit quarters, so each value goes, under six keys (a pair of quarters
-and their 32 bits), to the shards in which all its partners meet; no link is lost. In a shard every key has a BK-tree:
-children are keyed by their integer Hamming distance to the parent, and a query follows only edges within the radius. Of
-the links in a tree a spanning forest is kept, so a group of n values gives less than n rows. Components are the fixed
-point of alternating large-star and small-star rounds, each written to the shared folder. A shard's trees go to the tasks
-of that shard only, since trees of all shards would grow with the corpus.
+and their 32 bits), to the shards in which all its partners meet; no link is lost. A shard of more than HOT values is cut
+by the same rule once more: of the four bytes that its key leaves open two agree, so six finer keys bring partners
+together, and a key that fixes 48 bits has at most 65,536 values: no task holds a group that grows with the corpus. In a
+shard every key has a BK-tree: children are keyed by their integer Hamming distance to the parent, and a query follows only
+edges within the radius. Of the links in a tree a spanning forest is kept, so a group of n values gives less than n rows.
+Components are the fixed point of alternating large-star and small-star rounds, each written to the shared folder. A
+shard's trees go to the tasks of that shard only, since trees of all shards would grow with the corpus.
 
 Defined results: null and empty texts have fingerprint zero and link like any other; rows with null doc_id have a
 component, the smallest known doc_id in it (null if there is none); repeated rows share fingerprint and component; an
@@ -25,6 +27,8 @@ from tidemark.operators.graph import components
 from .common import arrow, as_bytes, session, written
 
 SEED, SHINGLE, RADIUS = 42, 3, 2
+#: Values of a shard above which it is cut once more; hot keys up to which they are broadcast.
+HOT, BROADCAST_HOT = 1 << 14, 100_000
 
 
 def fingerprint(body: bytes) -> int:
@@ -112,14 +116,35 @@ def forest(values: list[int], radius: int = RADIUS) -> list[tuple[int, int]]:
     return [(values[i], values[t]) for i in range(len(values)) if (t := top(i)) != i]
 
 
-def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+def _pairs(parts: list, bits: int) -> list:
+    """Numbered keys of every pair of parts (columns of `bits` bits): both parts, then the pair's number in the last byte."""
+    both = [(i, j) for i in range(4) for j in range(i)]
+    return [F.shiftleft(parts[i], bits + 8).bitwiseOR(F.shiftleft(parts[j], 8)).bitwiseOR(F.lit(n)) for n, (i, j) in enumerate(both)]
+
+
+def _shards(prints: DataFrame, hot: int) -> DataFrame:
+    """key, fp: the shards in which values meet, hot ones cut once more by pairs of the bytes that their key leaves open."""
+    quarters = [F.shiftrightunsigned("fp", 16 * i).bitwiseAND(0xFFFF) for i in range(4)]
+    keyed = prints.select("fp", F.explode(F.array(*_pairs(quarters, 16))).alias("key"))
+    over = written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("key"), "simhash-hot")
+    n = over.count()
+    if not n:
+        return keyed
+    other = F.broadcast(over) if n <= BROADCAST_HOT else over.hint("merge")
+    marked = keyed.join(other.withColumn("hot", F.lit(True)), "key", "left")
+    # the two quarters that pair number n = 0..5 leaves open, as four bytes
+    rest = [[q for q in range(4) if q not in (i, j)] for i in range(4) for j in range(i)]
+    shift = lambda k: F.element_at(F.array(*(F.lit(16 * r[k]) for r in rest)), F.col("key").bitwiseAND(0xFF).cast("int") + 1)
+    open_bytes = [F.call_function("shiftrightunsigned", F.col("fp"), shift(k) + low).bitwiseAND(0xFF) for k in range(2) for low in (0, 8)]
+    finer = F.transform(F.array(*_pairs(open_bytes, 8)), lambda x: F.shiftleft(x + 1, 40).bitwiseOR(F.col("key")))
+    return marked.select("fp", F.explode(F.when(F.col("hot"), finer).otherwise(F.array("key"))).alias("key"))
+
+
+def links(prints: DataFrame, radius: int = RADIUS, hot: int = HOT) -> DataFrame:
     """Links a, b between distinct fingerprints fp, fewer than there are values in each shard."""
     if radius > 2:
         raise ValueError("four quarters find all links of a radius of 2 at most")
-    quarter = lambda i: F.shiftrightunsigned("fp", 16 * i).bitwiseAND(0xFFFF)
-    pairs = [(i, j) for i in range(4) for j in range(i)]
-    keys = F.array(*(F.shiftleft(quarter(i), 24).bitwiseOR(F.shiftleft(quarter(j), 8)).bitwiseOR(F.lit(n)) for n, (i, j) in enumerate(pairs)))
-    shards = prints.select("fp", F.explode(keys).alias("key")).repartition("key").sortWithinPartitions("key", "fp")
+    shards = _shards(prints, hot).repartition("key").sortWithinPartitions("key", "fp")
 
     def run(batches):
         last_key, held = None, []
@@ -143,19 +168,19 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     return shards.mapInArrow(run, "a long, b long")
 
 
-def _components(prints: DataFrame, radius: int) -> DataFrame:
+def _components(prints: DataFrame, radius: int, hot: int = HOT) -> DataFrame:
     """fp and component_id of each distinct fingerprint of prints (doc_id, fp)."""
     values = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-values")
-    roots = components(links(values.select("fp"), radius))
+    roots = components(links(values.select("fp"), radius, hot))
     rooted = values.join(roots, values.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     return written(rooted.join(ids, "root").select("fp", "root", "component_id"), "simhash-components")
 
 
-def simhash_dedup(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+def simhash_dedup(docs: DataFrame, radius: int = RADIUS, hot: int = HOT) -> DataFrame:
     """doc_id, fp (signed long) and component_id (the smallest doc_id reachable), a row per input row."""
     prints = written(fingerprints(docs), "simhash")
-    return prints.join(_components(prints, radius), "fp").select("doc_id", "fp", "component_id")
+    return prints.join(_components(prints, radius, hot), "fp").select("doc_id", "fp", "component_id")
 
 
 def representatives(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
