@@ -226,6 +226,19 @@ def test_mpeg(spark, odd, none, documents):
     assert len(got) == odd.count() and mpeg_audio.media_column(none).count() == 0
 
 
+@pytest.mark.parametrize("word", [b"Information ", b"Xing", b"Xing\x00\x00\x00\x07"])
+def test_mpeg_texts_like_a_table(word):
+    for body in (word, word * 20, word * 400):
+        data = mpeg_audio.payload(body)
+        media = mpeg_audio.encode(data)
+        x = mpeg_audio.decode(media)
+        assert x["payload"] == data and x["table_ok"] and x["table"]["frames"] == len(x["offsets"]) and not x["skipped"] and not x["bad_crc"]
+    # a lost table does not make the first data frame one
+    media = mpeg_audio.encode(mpeg_audio.payload(b"Information " * 400))
+    at = mpeg_audio.decode(media)["table"]["at"]
+    assert mpeg_audio.decode(media[:at] + media[at + 192 :])["payload"] == mpeg_audio.payload(b"Information " * 400)
+
+
 def plain_targets(sizes):
     order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
     weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}

@@ -176,8 +176,10 @@ def decode(media: bytes) -> dict:
             continue
         length, count, hertz, side, protected = x
         mark = at + 4 + side + 2 * protected
-        if not offsets and media[mark : mark + 4] in (b"Xing", b"Info"):
-            flags = struct.unpack(">I", media[mark + 4 : mark + 8])[0]
+        # only the first frame can be the table, and its flags are four bits; elsewhere these letters are main data
+        first = table is None and not offsets and mark + 8 <= following
+        flags = struct.unpack(">I", media[mark + 4 : mark + 8])[0] if first and media[mark : mark + 4] in (b"Xing", b"Info") else 16
+        if flags < 16:
             p, table = mark + 8, {}
             for bit, name in ((1, "frames"), (2, "bytes")):
                 if flags & bit:
