@@ -329,6 +329,29 @@ def test_risk_control():
     assert wrong <= 80
 
 
+def test_risk_of_all_rules_together(spark):
+    # every rule rejects other good documents, half a per cent each; a bad document fails one rule, symbols by far
+    names = ("n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_bangs")
+    rows = []
+    for i in range(8000):
+        bad, kind = i % 2, i // 2 % 5 if i % 2 else i // 2 % 200
+        x = dict.fromkeys(names, 0)
+        if kind < 5 and names[kind] != "n_repeat_words":
+            x[names[kind]] = 95
+        elif kind < 5:
+            x[names[kind]] = 48
+        rows.append((i, "en", 100, 100, x["n_symbols"], x["n_dup_lines"], x["n_repeat_words"], 100, x["n_upper"], x["n_bangs"]))
+    measured = spark.createDataFrame(rows, quality_rules._MEASURES)
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(8000)], "doc_id long, quality int")
+    cut = quality_rules.cutoffs(measured, labels).first()
+    fails = F.lit(False)
+    for r, m in quality_rules.RULES.items():
+        if cut[r] is not None:
+            fails = fails | F.expr(f"{m} > {cut[r]}D")
+    lost, caught = (measured.where(fails & (F.col("doc_id") % 2 == k)).count() for k in (0, 1))
+    assert lost <= 0.01 * 4000 and caught >= 800
+
+
 def auc(y, s):
     order = np.argsort(s, kind="stable")
     rank = np.empty(len(s))

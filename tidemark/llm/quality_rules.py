@@ -1,13 +1,15 @@
 """Quality rules whose cutoffs are risk-controlled: they may reject few good documents, with stated confidence.
 
-Fixed base rules come first. Each learned rule rejects a document whose measure is above a cutoff. Cutoffs are tested on
-labelled holdout rows, per stratum (language): a cutoff may be used if the exact binomial test rejects "more than `risk` of
-the good documents of this stratum would be rejected" at level `delta` / (strata x rules). Within a rule, cutoffs are tested
-from the mildest on and testing stops at the first that fails, which needs no further correction. Of the certified cutoffs
-the one that rejects most bad documents is used, the mildest of equals. A stratum with too few labelled good documents for
-any certificate keeps what the base rules keep.
-
-Counts per stratum, rule and cutoff come from all labelled rows, in one aggregation; cutoffs join back as a small table.
+Fixed base rules come first. Each learned rule rejects a document whose measure is above a cutoff, and a document that any
+rule rejects is rejected, so it is the verdict of all rules together that is tested on labelled holdout rows, per stratum
+(language): it may be used if the exact binomial test rejects "more than `risk` of the good documents of this stratum would
+be rejected" at level `delta` / strata. The verdicts are a path: from the mildest cutoff on, each rule in turn takes the
+cutoff if more bad documents are rejected then. Good documents have no say in the path, so testing along it until the first
+verdict that fails needs no further correction; the last one before is used. A stratum with too few labelled good documents
+for any certificate keeps what the base rules keep.
+
+All labelled rows are counted by stratum and the places of their measures among the cutoffs; a stratum has at most
+(cutoffs + 1)^rules of these, however many rows it has. Cutoffs join back as a small table.
 Rows with crc32(doc_id) mod 3 = 1 are never used as labels.
 
 Defined results: null text has no words and fails the base rules, as do texts under 50 words; null lang is a stratum of
@@ -19,6 +21,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -88,10 +91,10 @@ def too_many(k: int, n: int, risk: float, level: float) -> bool:
     return n == 0
 
 
-def certified(good: int, good_out: list[int], bad_out: list[int], risk: float, level: float) -> float | None:
-    """The cutoff to use for one rule in one stratum, or None; lists by CUTOFFS."""
+def certified(good: int, good_out: list[int], bad_out: list[int], risk: float, level: float, steps=CUTOFFS):
+    """Of the steps, which reject ever more, the one to use in one stratum, or None; lists by steps."""
     best, gain = None, 0
-    for cutoff, g, b in zip(CUTOFFS, good_out, bad_out):
+    for cutoff, g, b in zip(steps, good_out, bad_out):
         if g > good or too_many(g, good, risk, level):
             break
         if b > gain:
@@ -99,21 +102,45 @@ def certified(good: int, good_out: list[int], bad_out: list[int], risk: float, l
     return best
 
 
+def path(places: np.ndarray, good: np.ndarray, bad: np.ndarray) -> tuple[list[tuple], list[int], list[int]]:
+    """Verdicts from the mildest on (a cutoff or None per rule), and how many good and bad documents each rejects.
+
+    A row of `places` has per rule the number of cutoffs that are not exceeded.
+    """
+    steps, good_out, bad_out = [], [], []
+    now: list[float | None] = [None] * places.shape[1]
+    out = np.zeros(len(places), bool)
+    for i, cutoff in enumerate(CUTOFFS):
+        for r in range(places.shape[1]):
+            after = out | (places[:, r] <= i)
+            if bad[after].sum() > bad[out].sum():
+                out, now[r] = after, cutoff
+                steps.append(tuple(now))
+                good_out.append(int(good[out].sum()))
+                bad_out.append(int(bad[out].sum()))
+    return steps, good_out, bad_out
+
+
 def cutoffs(measured: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
     """A row per stratum: lang and each rule's cutoff (null: the rule is not certified there)."""
     known = labels.where(~held_out() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("quality").cast("int")).alias("quality")).where("quality is not null")
     base = measured.where(~_failed())
-    counts = [F.count_if(F.expr(f"quality = {q} and {m} > {c}D")).alias(f"{r}_{q}_{i}") for r, m in RULES.items() for q in (0, 1) for i, c in enumerate(CUTOFFS)]
-    table = base.join(known, "doc_id").groupBy("lang").agg(F.count_if(F.col("quality") == 1).alias("good"), *counts)
-    table = written(table, "rule-counts")
-    level = delta / max(1, table.count() * len(RULES))
+    places = F.array(*(sum(F.expr(f"int({m} <= {c}D)") for c in CUTOFFS) for m in RULES.values()))
+    counts = base.join(known, "doc_id").groupBy("lang", places.alias("places")).agg(*(F.count_if(F.col("quality") == q).alias(n) for q, n in ((1, "good"), (0, "bad"))))
+    table = written(counts.groupBy("lang").agg(F.collect_list(F.struct("places", "good", "bad")).alias("counts")), "rule-counts")
+    level = delta / max(1, table.count())
     names = list(RULES)
 
+    def pick(counts):
+        where, good, bad = (np.array([x[k] for x in counts]) for k in ("places", "good", "bad"))
+        steps, *out = path(where, good, bad)
+        return certified(int(good.sum()), *out, risk, level, steps) or (None,) * len(names)
+
     def run(batches):
         for batch in batches:
             rows = batch.to_pylist()
-            pick = lambda x, r: certified(x["good"], *([x[f"{r}_{q}_{i}"] for i in range(len(CUTOFFS))] for q in (1, 0)), risk, level)
-            yield pa.RecordBatch.from_arrays([pa.array([x["lang"] for x in rows], pa.string()), *(pa.array([pick(x, r) for x in rows], pa.float64()) for r in names)], names=["lang", *names])
+            picked = [pick(x["counts"]) for x in rows]
+            yield pa.RecordBatch.from_arrays([pa.array([x["lang"] for x in rows], pa.string()), *(pa.array([p[i] for p in picked], pa.float64()) for i in range(len(names)))], names=["lang", *names])
 
     return table.mapInArrow(run, "lang string, " + ", ".join(f"{r} double" for r in names))
 
