@@ -156,6 +156,16 @@ def test_secrets(spark, odd, none, documents):
     assert secret_scan.secret_spans(odd).count() == odd.count() and secret_scan.secret_spans(none).count() == 0 and secret_scan.redacted(none).count() == 0
 
 
+@pytest.mark.parametrize("gap", ["\n", " " * 400, "x = 1, " * 5000])
+def test_secrets_across_a_long_paragraph(spark, gap):
+    text = "user = bob," + gap + "pwd = hunter2"
+    docs = spark.createDataFrame([(1, text), (2, "user = bob," + gap + "\n\npwd = hunter2")], "doc_id long, text string")
+    kinds = {r.doc_id: [x.kind for x in r.spans] for r in secret_scan.secret_spans(docs).collect()}
+    assert kinds == {1: ["account", "weak"], 2: []}
+    cleaned = {r.doc_id: r.text for r in secret_scan.redacted(docs).collect()}
+    assert "bob" not in cleaned[1] and "hunter2" not in cleaned[1] and "hunter2" in cleaned[2]
+
+
 def test_packing_plan():
     r = random.Random(1)
     for totals in ([], [1], [2048], [5000, 1, 1], [1500] * 40, [r.randint(1, 6000) for _ in range(900)], [3] * 2000):

@@ -1,9 +1,10 @@
 """Secret scans with multipart credential linking.
 
 Base kinds (assign, access, hex) are reported wherever they match. Weak candidates - a short assigned secret, a named
-account, an endpoint - mean little alone; an interval join within scopes links them: each candidate reaches REACH code
-points to both sides, no further than its paragraph (a scope ends at a blank line), and is reported only where parts that
-complement it lie in that interval: a weak secret needs an identifier, an account needs a secret, an endpoint needs both.
+account, an endpoint - mean little alone; an interval join links them within scopes: a candidate's interval is its whole
+paragraph (a scope ends at a blank line), and it is reported only where parts that complement it lie in that interval. find()
+and linked_spans() also take a reach in code points to both sides, REACH by default; the columns are scanned without one.
+What complements what: a weak secret needs an identifier, an account needs a secret, an endpoint needs both.
 Base spans count as parts: an access id as an identifier, assigned and hex values as secrets.
 
 Defined results: null and empty texts have no spans; equal rows give equal spans; nested spans of several kinds are all
@@ -57,8 +58,8 @@ def _meets(sorted_starts: list[int], ends: list[int], low: int, high: int) -> bo
     return i < len(sorted_starts) and sorted_starts[i] < high
 
 
-def linked_spans(text: str, base: list[tuple[int, str, int]], reach: int = REACH) -> list[tuple[int, str, int]]:
-    """The weak candidates with their complements in reach within the scope."""
+def linked_spans(text: str, base: list[tuple[int, str, int]], reach: int | None = REACH) -> list[tuple[int, str, int]]:
+    """The weak candidates with their complements in reach (None: anywhere) within the scope."""
     covered = sorted((s, e) for s, _, e in base)
     starts, ends = [s for s, _ in covered], [e for _, e in covered]
     high = 0
@@ -89,12 +90,13 @@ def linked_spans(text: str, base: list[tuple[int, str, int]], reach: int = REACH
         k = bisect_left(walls, s + 1)
         return _meets(*other, max(s - reach, walls[k - 1]), min(e + reach, walls[k]))
 
+    reach = len(text) if reach is None else reach
     out = [(s, "account", e) for s, e in accounts if near(s, e, secrets_at)]
     out += [(s, "weak", e) for s, e in weak if near(s, e, ids_at)]
     return out + [(s, "endpoint", e) for s, e in points if near(s, e, ids_at) and near(s, e, secrets_at)]
 
 
-def find(text: str | None, reach: int = REACH) -> list[tuple[int, str, int]]:
+def find(text: str | None, reach: int | None = REACH) -> list[tuple[int, str, int]]:
     """All spans of a text by start, then kind as in KINDS."""
     base = base_spans(text or "")
     return sorted(base + linked_spans(text or "", base, reach), key=lambda x: (x[0], KINDS.index(x[1]), x[2]))
@@ -104,7 +106,7 @@ def joined(spans: list[tuple[int, str, int]]) -> str:
     return ",".join(f"{k}:{s}:{e}" for s, k, e in spans)
 
 
-def secret_spans(docs: DataFrame, reach: int = REACH) -> DataFrame:
+def secret_spans(docs: DataFrame, reach: int | None = None) -> DataFrame:
     """doc_id and spans, an array of (kind, start, end) in code points by start."""
     session(docs)
     kind = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
@@ -118,7 +120,7 @@ def secret_spans(docs: DataFrame, reach: int = REACH) -> DataFrame:
     return small.mapInArrow(run, "doc_id long, spans array<struct<kind:string,start:long,end:long>>")
 
 
-def redacted(docs: DataFrame, mark: str = "[SECRET]", reach: int = REACH) -> DataFrame:
+def redacted(docs: DataFrame, mark: str = "[SECRET]", reach: int | None = None) -> DataFrame:
     """The documents with every span replaced by `mark`, overlapping spans by one; null texts stay null, n_chars follows."""
     session(docs)
     at = docs.columns.index("text")
