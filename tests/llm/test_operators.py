@@ -291,6 +291,23 @@ def test_mixing(spark, odd, which):
     assert words == took + Counter()
 
 
+def test_mixing_cuts_one_document(spark):
+    # few blocks, so that many documents are in a source's cut block
+    rows = [(i, " \n".join(f"w{j}" for j in range(10 + i % 17)), f"s{i % 3}", None) for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+    text = {r[0]: r[1] for r in rows}
+    plan = {r.source: r for r in mixing.taken(docs, blocks=4).collect()}
+    out = mixing.mixed(docs, blocks=4).collect()
+    partial = Counter(r.source for r in out if r.text != text[r.doc_id])
+    assert all(n == 1 for n in partial.values()), partial
+    took = Counter()
+    for r in out:
+        took[r.source] += len(r.text.split())
+    for r in mixing.taken(docs, blocks=4).collect():
+        assert len(r.shards) == sum(o.doc_id == r.doc_id for o in out)
+    assert took == {s: int(r.target + 1e-6) for s, r in plan.items()}
+
+
 def test_splitting_tree(spark):
     quota = [1000, 37, 0, 1, 400]
     one = spark.createDataFrame([(quota,)], "quota array<long>")

@@ -3,7 +3,8 @@
 Targets: sources in code-point order (null last) weigh 5, 2, 1, repeating, and share all words; a target stops at three
 times its source's size and the excess is shared again by weight. Documents fall into BLOCKS hashed, so randomly permuted,
 blocks per source, with exact word counts. A source's target is a number of whole passes over its blocks, then whole blocks
-in order, then a share of one block's words: an exact quota of block draws.
+in order, then whole documents of the next block in the order of a hash, the last of them in part: an exact quota of block
+draws.
 
 A multivariate-hypergeometric splitting tree deals these quotas among the output shards: each node gives its left child half of
 its draws, every source's part drawn from the hypergeometric law given what earlier sources took (exactly, as the largest of
@@ -14,7 +15,7 @@ Everything after two aggregations, by source and by source and block, is a row p
 only when it has at most BROADCAST_SOURCES rows, else joined by a shuffle, where hot sources are AQE's to split.
 
 Defined results: null text has size 0; a null source is a source; sources without words have target 0; repeated rows (equal
-id, source and size) share a block and are each taken as often; an empty table gives an empty result; columns of other names
+id, source and size) share a block and are each taken as often (the last document, if repeated, in equal parts); an empty table gives an empty result; columns of other names
 are kept by mixed().
 """
 
@@ -41,6 +42,11 @@ def _block(seed: int, blocks: int) -> Column:
     return F.pmod(F.xxhash64("doc_id", "source", "size", F.lit(seed)), F.lit(blocks)).cast("int")
 
 
+def _place(seed: int) -> Column:
+    """A document's place within its block; equal only for repeated rows."""
+    return F.xxhash64("doc_id", "source", "size", F.lit(seed + 2))
+
+
 def targets(sized: DataFrame, weights=WEIGHTS, limit: float = LIMIT) -> DataFrame:
     """A row per source: number (by code point, null last), source, source_size and target."""
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -107,7 +113,7 @@ def split(quotas: DataFrame, depth: int, seed: int) -> DataFrame:
 
 
 def mix_plan(sized: DataFrame, weights=WEIGHTS, limit: float = LIMIT, blocks: int = BLOCKS, seed: int = SEED, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """A row per source: source_size, target, passes, cut (whole blocks of the last pass), share of the block after, bounds of the shards."""
+    """A row per source: source_size, target, passes, cut (whole blocks of the last pass), edge and part (of the block after, documents placed before the edge are taken, of that at the edge `part` words), bounds of the shards."""
     goal = targets(sized, weights, limit).withColumn("passes", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
     goal = written(goal.withColumn("rest", F.greatest(F.lit(0.0), F.col("target") - F.col("passes") * F.col("source_size"))), "mix-targets")
     per_block = sized.groupBy("source", _block(seed, blocks).alias("block")).agg(F.sum("size").alias("words"))
@@ -115,11 +121,18 @@ def mix_plan(sized: DataFrame, weights=WEIGHTS, limit: float = LIMIT, blocks: in
     running = per_block.withColumn("before", F.coalesce(F.sum("words").over(order), F.lit(0)))
     other = goal.select(F.col("source").alias("of"), "rest")
     cut = running.join(other, F.col("source").eqNullSafe(F.col("of"))).where("before <= rest and before + words > rest and rest > 0")
-    cut = cut.select(F.col("source").alias("of"), F.col("block").alias("cut"), ((F.col("rest") - F.col("before")) / F.col("words")).alias("share"))
+    cut = written(cut.select(F.col("source").alias("of"), F.col("block").alias("cut"), F.floor(F.col("rest") - F.col("before")).alias("left")), "mix-cuts")
+    few = cut if cut.count() > BROADCAST_SOURCES else F.broadcast(cut)
+    # only rows of the cut blocks, a row per place, are put in order
+    inside = sized.withColumn("block", _block(seed, blocks)).join(few, F.col("source").eqNullSafe(F.col("of")) & (F.col("block") == F.col("cut")))
+    inside = inside.groupBy("source", _place(seed).alias("edge")).agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("copies"), F.first("left").alias("left"))
+    inside = inside.withColumn("before", F.coalesce(F.sum("words").over(Window.partitionBy("source").orderBy("edge").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    inside = inside.where("before <= left and before + words > left").select(F.col("source").alias("in"), "edge", F.expr("(left - before) div copies").alias("part"))
+    cut = cut.join(inside, F.col("of").eqNullSafe(F.col("in")), "left").select("of", "cut", "edge", "part")
     plan = goal.join(cut, F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
     # no block was cut: the rest is nothing, or all words by a rounding error
-    plan = plan.withColumn("cut", F.coalesce("cut", F.when(F.col("rest") > 0, F.lit(blocks)).otherwise(F.lit(0)))).withColumn("share", F.coalesce("share", F.lit(0.0)))
-    plan = written(plan.withColumn("quota", F.col("passes") * blocks + F.col("cut") + F.when(F.col("share") > 0, 1).otherwise(0)), "mix-quotas")
+    plan = plan.withColumn("cut", F.coalesce("cut", F.when(F.col("rest") > 0, F.lit(blocks)).otherwise(F.lit(0))))
+    plan = written(plan.withColumn("quota", F.col("passes") * blocks + F.col("cut") + F.when(F.col("edge").isNotNull(), 1).otherwise(0)), "mix-quotas")
     total = plan.agg(F.sum("source_size")).first()[0] or 0
     depth = min(DEPTH, max(0, int(total // shard_words).bit_length()))
     quotas = plan.agg(F.transform(F.array_sort(F.collect_list(F.struct("number", "quota"))), lambda x: x["quota"].cast("long")).alias("quota"))
@@ -130,27 +143,34 @@ def mix_plan(sized: DataFrame, weights=WEIGHTS, limit: float = LIMIT, blocks: in
 
 
 def _with_plan(sized: DataFrame, plan: DataFrame) -> DataFrame:
-    plan = plan.select(F.col("source").alias("_source"), "source_size", "target", "passes", "cut", "share", "bounds")
+    plan = plan.select(F.col("source").alias("_source"), "source_size", "target", "passes", "cut", "edge", "part", "bounds")
     if plan.count() <= BROADCAST_SOURCES:
         plan = F.broadcast(plan)
     return sized.join(plan, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
 
 
+def _last_pass(seed: int) -> Column:
+    """Words of a row that the pass after the whole ones takes."""
+    place = _place(seed)
+    inside = F.when(place < F.col("edge"), F.col("size")).when(place == F.col("edge"), F.least("size", "part"))
+    return F.coalesce(F.when(F.col("block") < F.col("cut"), F.col("size")).when(F.col("block") == F.col("cut"), inside), F.lit(0)).cast("long")
+
+
 def taken(docs: DataFrame, blocks: int = BLOCKS, seed: int = SEED, shard_words: int = SHARD_WORDS) -> DataFrame:
     """doc_id, source, size, source_size, target, taken (words, repeats counted) and the shard of each draw."""
     sized = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size_of(F.col("text").cast("string")).alias("size")), "mix-sizes")
     rows = _with_plan(sized.withColumn("block", _block(seed, blocks)), mix_plan(sized, blocks=blocks, seed=seed, shard_words=shard_words))
-    extra = F.when(F.col("block") < F.col("cut"), F.col("size")).when(F.col("block") == F.col("cut"), F.floor(F.col("size") * F.col("share"))).otherwise(0)
-    n = F.col("passes") + F.when((F.col("block") < F.col("cut")) | ((F.col("block") == F.col("cut")) & (F.col("share") > 0)), 1).otherwise(0)
+    rows = rows.withColumn("extra", _last_pass(seed))
+    n = F.col("passes") + F.when((F.col("block") < F.col("cut")) | (F.col("extra") > 0), 1).otherwise(0)
     draws = F.filter(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long")), lambda p: p < n)
     shards = F.transform(draws, lambda p: F.size(F.filter("bounds", lambda b: b <= p * blocks + F.col("block"))))
-    return rows.select("doc_id", "source", "size", "source_size", "target", (F.col("passes") * F.col("size") + extra).cast("long").alias("taken"), shards.alias("shards"))
+    return rows.select("doc_id", "source", "size", "source_size", "target", (F.col("passes") * F.col("size") + F.col("extra")).cast("long").alias("taken"), shards.alias("shards"))
 
 
 def mixed(docs: DataFrame, blocks: int = BLOCKS, seed: int = SEED, shard_words: int = SHARD_WORDS) -> DataFrame:
     """The mix itself: the columns of docs, a row per draw, shards together and in random order.
 
-    The document at a source's cut gives its first words, joined by one space (n_chars follows); draws without words are
+    The document at a source's cut, one at most (and its repeats), gives its first words, joined by one space (n_chars follows); draws without words are
     left out unless the document has none and its source is taken.
     """
     columns = docs.columns
@@ -159,12 +179,12 @@ def mixed(docs: DataFrame, blocks: int = BLOCKS, seed: int = SEED, shard_words:
         F.col("source").cast("string").alias("source"), size_of(F.col("text").cast("string")).alias("size"),
     )
     plan = mix_plan(written(rows.select("doc_id", "source", "size"), "mix-sizes"), blocks=blocks, seed=seed, shard_words=shard_words)
-    rows = _with_plan(rows.withColumn("block", _block(seed, blocks)), plan)
-    n = F.col("passes") + F.when((F.col("block") < F.col("cut")) | ((F.col("block") == F.col("cut")) & (F.floor(F.col("size") * F.col("share")) > 0)), 1).otherwise(0)
+    rows = _with_plan(rows.withColumn("block", _block(seed, blocks)), plan).withColumn("_extra", _last_pass(seed))
+    n = F.col("passes") + F.when((F.col("block") < F.col("cut")) | (F.col("_extra") > 0), 1).otherwise(0)
     rows = rows.withColumn("_pass", F.explode(F.filter(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long")), lambda p: p < n)))
     draw = F.col("_pass") * blocks + F.col("block")
-    part = (F.col("_pass") == F.col("passes")) & (F.col("block") == F.col("cut"))
-    words = F.slice(F.regexp_extract_all(F.col("_doc.text"), F.lit(WORD), F.lit(0)), F.lit(1), F.floor(F.col("size") * F.col("share")).cast("int"))
+    part = (F.col("_pass") == F.col("passes")) & (F.col("_extra") < F.col("size"))
+    words = F.slice(F.regexp_extract_all(F.col("_doc.text"), F.lit(WORD), F.lit(0)), F.lit(1), F.col("_extra").cast("int"))
     text = F.when(part, F.array_join(words, " ")).otherwise(F.col("_doc.text"))
     rows = rows.withColumn("_shard", F.size(F.filter("bounds", lambda b: b <= draw))).withColumn("_order", F.xxhash64("_doc.doc_id", "_pass", F.lit(seed + 1)))
     rows = rows.withColumn("_text", text).withColumn("_slot", F.pmod("_order", F.lit(4)))
