@@ -40,3 +40,12 @@ def test_against_sql(spark, duck, name):
 @pytest.mark.parametrize("name", [n for n in QUERIES if n not in SQL])
 def test_rows_only(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
+
+
+def test_forest_is_whole(spark, monkeypatch):
+    from tidemark.operators import learning
+
+    seen = []
+    monkeypatch.setattr(learning, "score_forest", lambda model, df, f=learning.score_forest: (seen.append(model), f(model, df))[1])
+    QUERIES["rf_fit_score"](spark, SF)
+    assert seen[0].getNumTrees == 100 and seen[0].getMaxDepth() == 15

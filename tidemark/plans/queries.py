@@ -372,5 +372,5 @@ def band_stats(spark, sf_dir):
 @query()
 def rf_fit_score(spark, sf_dir):
     df = raster.with_mask(raster.features(T.pixels(spark, sf_dir)), T.masks(spark, sf_dir))
-    model = learning.train_forest(learning.stratified_sample(df, "y", F.xxhash64(*raster.KEY, F.lit(42)), 20_000, 40_000), trees=20, depth=8)
+    model = learning.train_forest(learning.stratified_sample(df, "y", F.xxhash64(*raster.KEY, F.lit(42))))
     return learning.score_forest(model, df).select(*raster.KEY, "y", "proba", "pred", "hard")
