@@ -3,9 +3,15 @@
 Every window of `window` consecutive units (bytes, or words) is labelled by its anchor: the `gram`-unit string inside it
 whose hash is least, the leftmost of several. Equal windows have equal anchors, so equal windows always meet in the group
 of their anchor's hash; no repeat is lost. A run of windows with the same anchor occurrence is a chunk, and a chunk holds
-all units of its windows. Only groups whose anchor occurs again carry text any further. Equal chunks are counted before
-anything is shuffled with text, so thousands of copies cost one text. The groups then go, in shards of bounded size, to an
-index builder (suffix automaton or collection Burrows-Wheeler transform) that decides for every window.
+all units of its windows. Only groups whose anchor occurs again carry text any further. Equal chunks travel once, with the
+number of their copies, so thousands of copies cost one text. The groups then go, in shards of bounded size, to an index
+builder (suffix automaton or column-wise Burrows-Wheeler transform), which alone decides for every window.
+
+A hot anchor, one with more than MOST_CHUNKS distinct chunks, is never one group: its chunks are cut into cells. A window
+that begins o units before the anchor lies in cell o // step, and all windows of a cell share a core; equal windows have
+equal o, cell and core, so the cores' hashes are finer keys that lose no repeat. Cells whose core occurs once are dropped,
+equal ones counted, and those still hot are cut again by a smaller step; at step 1 a cell is one window and a group has one
+distinct text. So no task holds more than MOST_CHUNKS texts of one key, however common a passage is.
 
 The plan: one pass over the texts (documents written once, compressed, with their anchors), an aggregation of anchor
 hashes, a semi-join that AQE splits where an anchor is hot, and from there on only documents with a candidate.
@@ -28,6 +34,8 @@ from .common import arrow, as_bytes, session, written
 
 #: Units of text that numpy works on at once, and bytes likewise.
 BLOCK = 1 << 20
+#: Distinct chunks of one key in a task, at most.
+MOST_CHUNKS = 512
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _TABLE = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -42,6 +50,11 @@ class Units:
     window: int
     gram: int
 
+    @property
+    def steps(self) -> tuple[int, ...]:
+        """Sizes of the cells that chunks of a hot anchor are cut into, one after the other."""
+        return tuple(sorted({max(1, self.window // 6), max(1, self.window // 50), 1}, reverse=True))
+
     def normal(self, body: bytes) -> bytes:
         """The text as its units see it: words are joined by one space."""
         return b" ".join(body.split()) if self.words else body
@@ -241,7 +254,8 @@ def _bodies(units: Units):
     return run
 
 
-_VERDICTS = "h long, c long, d0 long, mask binary"
+_VERDICTS = "h long, c long, at int, n int, verdict binary"
+_CELLS = "ph long, pc long, at int, " + _BODIES
 
 
 @dataclass
@@ -257,15 +271,42 @@ class Chunk:
     body: bytes
 
 
-def _judge(build: Callable[[list[Chunk]], list[np.ndarray]]):
+def _cells(units: Units, step: int):
+    """Cut chunks (ph, pc) into cells with keys h and c; at: a cell's first window in its chunk."""
+    w = units.window
+
+    def run(batches):
+        for batch in batches:
+            rows = batch.to_pydict()
+            out: dict[str, list] = {x.split()[0]: [] for x in _CELLS.split(", ")}
+            for h, c, d0, copies, left, n, body in zip(*(rows[x.split()[0]] for x in _BODIES.split(", "))):
+                bounds, at = _spans(body, units), 0
+                while at < n:
+                    cell = (left - at) // step
+                    stop = min(n, left - cell * step + 1)  # the last window of the cell begins cell * step units before the anchor
+                    core = _piece(body, bounds, left - cell * step, left + w - (cell + 1) * step + 1)
+                    text = _piece(body, bounds, at, stop + w - 1)
+                    key = xxhash.xxh3_64_intdigest(core, seed=xxhash.xxh3_64_intdigest(b"%d %d" % (h, cell)))
+                    values = (h, c, at, key - (1 << 63), xxhash.xxh3_64_intdigest(text, seed=left - at) - (1 << 63), d0, copies, left - at, stop - at, text)
+                    for box, value in zip(out.values(), values):
+                        box.append(value)
+                    at = stop
+                if len(out["h"]) >= 5000:
+                    yield arrow(_CELLS, **out)
+                    out = {x: [] for x in out}
+            yield arrow(_CELLS, **out)
+
+    return run
+
+
+def _judge(build: Callable[[list[Chunk]], list[bytes | None]]):
     """Give whole shards, one at a time, to the index builder."""
 
     def run(batches):
         def verdicts(chunks):
             chunks.sort(key=lambda x: (x.d0 is not None, x.d0, x.h, x.c))
-            masks = build(chunks)
-            keep = [(x, np.packbits(m).tobytes()) for x, m in zip(chunks, masks) if m.any() or x.copies > 1]
-            return arrow(_VERDICTS, h=[x.h for x, _ in keep], c=[x.c for x, _ in keep], d0=[x.d0 for x, _ in keep], mask=[m for _, m in keep])
+            said = [(x, v) for x, v in zip(chunks, build(chunks)) if v is not None]
+            return arrow(_VERDICTS, h=[x.h for x, _ in said], c=[x.c for x, _ in said], at=[0] * len(said), n=[x.n for x, _ in said], verdict=[v for _, v in said])
 
         now, chunks = None, []
         for batch in batches:
@@ -282,10 +323,34 @@ def _judge(build: Callable[[list[Chunk]], list[np.ndarray]]):
     return run
 
 
+def _judged(bodies: DataFrame, shards: int, build) -> DataFrame:
+    """Verdicts of chunks none of whose keys is hot."""
+    shard = F.pmod(F.hash("h"), F.lit(shards)).alias("shard")
+    parts = bodies.select(shard, *(x.split()[0] for x in _BODIES.split(", "))).repartition("shard").sortWithinPartitions("shard")
+    return parts.mapInArrow(_judge(build), _VERDICTS)
+
+
+def _judged_in_cells(bodies: DataFrame, units: Units, build, per_shard: int, most: int, name: str, level: int = 0) -> DataFrame:
+    """Verdicts of the chunks of hot keys, by cells of ever smaller steps."""
+    cells = written(bodies.mapInArrow(_cells(units, units.steps[level]), _CELLS), f"{name}-cells-{level}")
+    first = F.min_by(F.struct("d0", "left", "n", "body"), F.struct("d0", "ph", "pc", "at")).alias("f")
+    distinct = cells.groupBy("h", "c").agg(first, F.sum("copies").alias("copies"))
+    distinct = written(distinct.select("h", "c", "f.d0", "copies", "f.left", "f.n", "f.body"), f"{name}-distinct-{level}")
+    keys = written(distinct.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.sum("copies").alias("copies")).where("copies > 1"), f"{name}-keys-{level}")
+    few = keys.where(F.col("m") <= most).select("h")
+    shards = max(1, (keys.where(F.col("m") <= most).agg(F.sum("m")).first()[0] or 0) // per_shard)
+    out = _judged(distinct.join(few, "h", "left_semi"), shards, build)
+    over = keys.where(F.col("m") > most).select("h")
+    if level + 1 < len(units.steps) and over.take(1):
+        out = out.unionByName(_judged_in_cells(distinct.join(over, "h", "left_semi"), units, build, per_shard, most, name, level + 1))
+    of = cells.select("ph", "pc", F.col("at").alias("from"), "h", "c").join(out, ["h", "c"])
+    return of.select(F.col("ph").alias("h"), F.col("pc").alias("c"), (F.col("at") + F.col("from")).cast("int").alias("at"), "n", "verdict")
+
+
 _KEPT = "rid long, n_removed long, n_spans long, kept binary"
 
 
-def _kept(units: Units, all_copies: bool):
+def _kept(units: Units, goes: Callable[[bytes, int, int | None], np.ndarray]):
     """Remove from each candidate document the units that removed windows cover."""
 
     def run(batches):
@@ -293,18 +358,12 @@ def _kept(units: Units, all_copies: bool):
             out: dict[str, list] = {x.split()[0]: [] for x in _KEPT.split(", ")}
             s, cut, windows, ids, rids = (batch.column(x).to_pylist() for x in ("s", "cut", "windows", "doc_id", "rid"))
             for k, text in _texts(batch):
-                bounds, ends = _spans(text, units), [*s[k][1:], windows[k]]
+                bounds = _spans(text, units)
                 edge = np.zeros(windows[k] + units.window + 1, np.int32)
                 for x in cut[k] or []:
-                    i = x["i"]
-                    n = ends[i] - s[k][i]
-                    if not all_copies and x["d0"] != ids[k]:
-                        edge[s[k][i]] += 1
-                        edge[s[k][i] + n - 1 + units.window] -= 1
-                    else:
-                        at = np.flatnonzero(np.unpackbits(np.frombuffer(x["mask"], np.uint8), count=n)) + s[k][i]
-                        np.add.at(edge, at, 1)
-                        np.add.at(edge, at + units.window, -1)
+                    at = np.flatnonzero(goes(x["verdict"], x["n"], ids[k])) + (s[k][x["i"]] + x["at"])
+                    edge[at] += 1  # the windows of one verdict are distinct
+                    edge[at + units.window] -= 1
                 gone = np.cumsum(edge)[: windows[k] + units.window - 1] > 0
                 data = np.frombuffer(text, np.uint8)
                 if not gone.any():
@@ -323,10 +382,11 @@ def _kept(units: Units, all_copies: bool):
     return run
 
 
-def removed(docs: DataFrame, units: Units, build: Callable, in_same: bool, shard_units: int, name: str) -> DataFrame:
+def removed(docs: DataFrame, units: Units, build: Callable, goes: Callable, in_same: bool, shard_units: int, name: str, most: int = MOST_CHUNKS) -> DataFrame:
     """One row per input row: doc_id, n_units, n_removed, n_spans, kept (null where nothing is removed), sha of the whole.
 
-    in_same: a repeat inside one document counts; then every copy goes, else windows stay where the smallest doc_id has them.
+    build: verdicts of the chunks of a shard (None: all windows stay); goes(verdict, n, doc_id): which of a chunk's n windows
+    are removed in that document. in_same: a repeat inside one document counts too.
     """
     session(docs)
     d1 = written(
@@ -344,13 +404,20 @@ def removed(docs: DataFrame, units: Units, build: Callable, in_same: bool, shard
     d2 = written(d1.join(hit, "rid"), f"{name}-candidates")
     chunks = written(d2.select("rid", "doc_id", "windows", "blob", "h", "s", "idx").mapInArrow(_chunks(units), _CHUNKS), f"{name}-chunks")
     first = chunks.groupBy("h", "c").agg(F.min(F.struct("doc_id", "rid", "i")).alias("f"), F.count(F.lit(1)).alias("copies"))
-    wanted = first.groupBy(F.col("f.rid").alias("rid")).agg(F.collect_list(F.struct(F.col("f.i").alias("i"), "h", "c", "copies")).alias("wanted"))
-    bodies = d2.select("rid", "doc_id", "windows", "blob", "s", "a").join(wanted, "rid").drop("rid").select("doc_id", "windows", "blob", "s", "a", "wanted").mapInArrow(_bodies(units), _BODIES)
-    shards = max(1, chunks.count() // max(1, shard_units // units.window))
-    shard = F.pmod(F.hash("h"), F.lit(shards)).alias("shard")
-    parts = bodies.select(shard, *(x.split()[0] for x in _BODIES.split(", "))).repartition("shard").sortWithinPartitions("shard")
-    verdicts = parts.mapInArrow(_judge(build), _VERDICTS)
-    cut = chunks.select("h", "c", "rid", "i").join(verdicts, ["h", "c"]).groupBy("rid").agg(F.collect_list(F.struct("i", "d0", "mask")).alias("cut"))
-    d3 = d2.select("rid", "doc_id", "windows", "blob", "s").join(cut, "rid").select("rid", "doc_id", "windows", "blob", "s", "cut").mapInArrow(_kept(units, in_same), _KEPT)
+    first = written(first.select("h", "c", "copies", "f.rid", "f.i"), f"{name}-distinct")
+    per_key = first.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > most)
+    hot = written(per_key, f"{name}-hot")
+    n_hot = hot.agg(F.sum("m")).first()[0] or 0
+
+    def bodies(some: DataFrame) -> DataFrame:
+        wanted = some.groupBy("rid").agg(F.collect_list(F.struct("i", "h", "c", "copies")).alias("wanted"))
+        return d2.select("rid", "doc_id", "windows", "blob", "s", "a").join(wanted, "rid").select("doc_id", "windows", "blob", "s", "a", "wanted").mapInArrow(_bodies(units), _BODIES)
+
+    per_shard = max(1, shard_units // units.window)
+    verdicts = _judged(bodies(first.join(hot.select("h"), "h", "left_anti") if n_hot else first), max(1, (first.count() - n_hot) // per_shard), build)
+    if n_hot:
+        verdicts = verdicts.unionByName(_judged_in_cells(bodies(first.join(hot.select("h"), "h", "left_semi")), units, build, per_shard, most, name))
+    cut = chunks.select("h", "c", "rid", "i").join(verdicts, ["h", "c"]).groupBy("rid").agg(F.collect_list(F.struct("i", "at", "n", "verdict")).alias("cut"))
+    d3 = d2.select("rid", "doc_id", "windows", "blob", "s").join(cut, "rid").select("rid", "doc_id", "windows", "blob", "s", "cut").mapInArrow(_kept(units, goes), _KEPT)
     out = d1.select("rid", "doc_id", "n_units", "sha").join(d3, "rid", "left")
     return out.select("doc_id", "n_units", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("n_spans", F.lit(0).cast("long")).alias("n_spans"), "kept", "sha")

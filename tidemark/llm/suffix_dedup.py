@@ -1,136 +1,153 @@
-"""Suffix-array dedup: a collection Burrows-Wheeler transform built column by column, with common prefixes.
+"""Suffix-array dedup: a collection's Burrows-Wheeler transform built column by column, with common prefixes.
 
 Each byte covered by a 400-byte string that also starts anywhere else (the same document included) goes. Candidate chunks
-(see repeats.py) meet in shards of bounded size; in a shard every distinct chunk is one document of the collection. Its
-bytes from the anchor on are its end marker, and markers are ordered by those bytes; then every round inserts one further
-byte of every document, to the left, and merges the new suffixes into the transform and the array of common prefixes.
-Both live in files that a round reads and writes from front to end. A window is repeated if its suffix shares 400 bytes
-with a neighbour, or if its chunk has several copies. A document stops growing once it shares too little with its
-neighbours for any of its windows still to be repeated.
+(see repeats.py) meet in shards of bounded size; in a shard every distinct chunk is a document of the collection, twice if
+it has copies (further copies are the same text and get the same verdict). From the documents' ends on, every round inserts
+one byte of each document, to the left, sorts the new suffixes by this letter and by the order of the suffixes they
+lengthen, and updates the lengths that neighbours share. The order and the common prefixes lie in two pairs of files, in the
+folder that driver and executors share, of which a round reads one and writes the other from front to end. A window is
+repeated if its suffix shares 400 bytes with a neighbour; nothing else decides.
 
-Equal windows have their anchor at the same place, so they are suffixes of the same round and of the same shard.
+The transform is kept by column (its positional form): documents are aligned at their anchors, equal windows have their
+anchor at the same place, and so a suffix need only be compared with suffixes of its own round; earlier rounds' rows are
+given up. A document leaves once none of its windows can still be repeated: a letter adds at most one to what it shares.
 
 Defined results: null text is empty; empty texts and texts under 400 bytes lose nothing; all copies of a repeated string
-go, in rows that share a doc_id (or have none) too; an empty table gives an empty result; further columns are ignored.
+go, in rows that share a doc_id (or have none) too; very long texts are cut into chunks like any other; an empty table gives
+an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
 
+import io
 import os
-import tempfile
+import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .repeats import Chunk, Units, removed
+from tidemark.plans.lineage import scratch_dir
+
+from .repeats import MOST_CHUNKS, Chunk, Units, removed
 
 WINDOW, GRAM = 400, 200
 #: Bytes of distinct candidate text in a shard, about.
 SHARD_BYTES = 1 << 19
 
 
-class ColumnBwt:
-    """The transform and common prefixes of a growing collection, in two files of a folder that each round writes anew."""
-
-    #: A byte that UTF-8 never has: the letter before this suffix is not yet inserted, or there is none.
-    UNKNOWN = 255
-
-    def __init__(self, folder: str, markers: list[bytes], cap: int):
-        self.folder, self.cap, self.round = folder, cap, 0
-        lengths = np.array([len(m) for m in markers])
-        width = int(lengths.max())
-        table = np.array(markers, dtype=f"S{width}")
-        order = np.argsort(lengths, kind="stable")
-        self.order = order[np.argsort(table[order], kind="stable")]
-        rows = np.frombuffer(table[self.order].tobytes(), np.uint8).reshape(len(markers), width)
-        differs = rows[1:] != rows[:-1]
-        common = np.where(differs.any(1), differs.argmax(1), width)
-        sizes = lengths[self.order]
-        common = np.minimum(np.minimum(common, cap), np.minimum(sizes[1:], sizes[:-1]))
-        self.markers = len(markers)
-        self._save(np.full(len(markers), self.UNKNOWN, np.uint8), np.concatenate([[0], common]).astype(np.uint16))
-
-    def _save(self, symbols: np.ndarray, common: np.ndarray) -> None:
-        # under new names, the old ones deleted: a file put in another's place would be forced to the disk at once
-        for name, values in (("symbols", symbols), ("common", common)):
-            values.tofile(f"{self.folder}/{name}-{self.round + 1}")
-            if self.round:
-                os.unlink(f"{self.folder}/{name}-{self.round}")
-        self.round += 1
-
-    def load(self) -> tuple[np.ndarray, np.ndarray]:
-        return np.fromfile(f"{self.folder}/symbols-{self.round}", np.uint8), np.fromfile(f"{self.folder}/common-{self.round}", np.uint16)
-
-    def insert(self, at: np.ndarray, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Put `letters` before the suffixes at the (ascending) rows `at`.
-
-        Returns the new suffixes' rows, for each the number of its entry in `at`, and all common prefixes.
-        """
-        symbols, common = self.load()
-        symbols[at] = letters
-        by = np.argsort(symbols, kind="stable")  # rows in the order of the suffixes that their letter begins
-        known = len(by) - int(np.count_nonzero(symbols == self.UNKNOWN))
-        new = np.zeros(len(symbols), bool)
-        new[at] = True
-        fresh = np.flatnonzero(new[by[:known]])
-        place = self.markers + fresh
-        source = by[fresh]
-        old = np.ones(len(symbols) + len(at), bool)
-        old[place] = False
-        made, shared = np.full(len(old), self.UNKNOWN, np.uint8), np.zeros(len(old), np.uint16)
-        made[old], shared[old] = symbols, common
-        # a new suffix shares with the one above: their letter, and what the rows between their own rows share
-        near = np.zeros(known + 1, bool)
-        near[fresh] = near[fresh + 1] = True
-        touched = np.flatnonzero(near[1:known]) + 1
-        same = symbols[by[touched]] == symbols[by[touched - 1]]
-        shared[self.markers + touched[~same]] = 0
-        inner = touched[same]
-        if len(inner):
-            low, high = by[inner - 1] + 1, by[inner] + 1
-            back = np.argsort(-low, kind="stable")
-            bounds = np.empty(2 * len(inner), np.int64)
-            bounds[0::2], bounds[1::2] = low[back], high[back]
-            least = np.minimum.reduceat(np.append(common, np.uint16(0)), bounds)[0::2]
-            shared[self.markers + inner[back]] = np.minimum(least.astype(np.int64) + 1, self.cap)
-        self._save(made, shared)
-        return place, np.searchsorted(at, source), shared
-
-
-def judge(chunks: list[Chunk], window: int = WINDOW) -> list[np.ndarray]:
-    """For each chunk, which of its windows are repeated."""
+class Columns:
+    """Order (documents) and common prefixes of the newest suffixes, in files that are read and written from front to end.
+
+    folder: where they lie; None (a store that only Spark reads): in memory, a few bytes per chunk of a bounded shard.
+    """
+
+    def __init__(self, folder: str | None):
+        self.names = [os.path.join(folder, f"{uuid.uuid4().hex}-{k}") for k in range(2)] if folder else []
+        self.files = [open(n, "w+b", buffering=0) for n in self.names] or [io.BytesIO(), io.BytesIO()]  # noqa: SIM115
+        self.rows = 0
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_):
+        for f in self.files:
+            f.close()
+        for n in self.names:
+            os.unlink(n)
+
+    def read(self) -> tuple[np.ndarray, np.ndarray]:
+        f = self.files[0]
+        f.seek(0)
+        return np.frombuffer(f.read(4 * self.rows), "<i4"), np.frombuffer(f.read(2 * self.rows), "<u2")
+
+    def write(self, order: np.ndarray, common: np.ndarray) -> None:
+        """The next column; the one read before is given up."""
+        self.files.reverse()
+        f = self.files[0]
+        f.seek(0)
+        f.write(order.astype("<i4").tobytes())
+        f.write(common.astype("<u2").tobytes())
+        self.rows = len(order)
+
+
+def without(order: np.ndarray, common: np.ndarray, stays: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The column less some suffixes: what two suffixes share is the least of what lay between them."""
+    at = np.flatnonzero(stays)
+    if not len(at):
+        return order[:0], common[:0]
+    least = np.minimum.reduceat(common[: at[-1] + 1], np.concatenate([[0], at[:-1] + 1]))
+    least[0] = 0
+    return order[at], least
+
+
+def insert(order: np.ndarray, common: np.ndarray, letters: np.ndarray, cap: int) -> tuple[np.ndarray, np.ndarray]:
+    """Put letters (in the column's order) before its suffixes: the next column's order and common prefixes, these up to cap."""
+    by = np.argsort(letters, kind="stable")
+    sorted_ = letters[by]
+    shared = np.zeros(len(by), np.uint16)
+    same = np.flatnonzero(sorted_[1:] == sorted_[:-1]) + 1
+    if len(same):
+        low, high = by[same - 1] + 1, by[same] + 1
+        near = np.flatnonzero(high - low == 1)
+        far = np.flatnonzero(high - low > 1)
+        least = np.empty(len(same), np.int64)
+        least[near] = common[low[near]]
+        if len(far):
+            far = far[np.argsort(-low[far], kind="stable")]  # so that reduceat does not read from one range on to the next
+            bounds = np.empty(2 * len(far), np.int64)
+            bounds[0::2], bounds[1::2] = low[far], high[far]
+            least[far] = np.minimum.reduceat(np.append(common, np.uint16(0)), bounds)[0::2]
+        shared[same] = np.minimum(least + 1, cap)
+    return order[by], shared
+
+
+def judge(chunks: list[Chunk], window: int = WINDOW, folder: str | None = None) -> list[bytes | None]:
+    """For each chunk, the bits of its repeated windows; None where there are none."""
+    of = np.array([i for i, x in enumerate(chunks) for _ in range(2 if x.copies > 1 else 1)])
     left = np.array([x.left for x in chunks])
-    width = int(left.max())
-    count = np.array([x.n for x in chunks])
-    repeated = np.zeros((len(chunks), width + 1), bool)  # by bytes before the anchor
-    letters = np.zeros((len(chunks), width + 1), np.uint8)
+    right = np.array([len(x.body) - x.left for x in chunks])
+    n = np.array([x.n for x in chunks])
+    wide, high = int(left.max()), int(right.max())
+    # letters[p]: the byte of every chunk at place p, counted from the ends so that anchors lie at one place
+    letters = np.zeros((wide + high, len(chunks)), np.uint8)
     for i, x in enumerate(chunks):
-        letters[i, 1 : x.left + 1] = np.frombuffer(x.body, np.uint8)[: x.left][::-1]
-    with tempfile.TemporaryDirectory() as folder:
-        bwt = ColumnBwt(folder, [x.body[x.left :] for x in chunks], window)
-        newest, docs = np.arange(len(chunks)), bwt.order  # rows of the suffixes to be made longer, and their documents
-        common = bwt.load()[1]
-        for step in range(width + 1):
-            if step:
-                grows = left[docs] >= step
-                newest, docs = newest[grows], docs[grows]
-                newest, source, common = bwt.insert(newest, letters[docs, step])
-                docs = docs[source]
-            best = np.maximum(common[newest], np.append(common, np.uint16(0))[newest + 1]).astype(np.int64)
-            repeated[docs[best >= window], step] = True
-            # a further letter adds at most one to what a suffix shares: without hope of a window's length it stops growing
-            hope = best + left[docs] - step >= window
-            newest, docs = newest[hope], docs[hope]
+        letters[wide - x.left : wide + right[i], i] = np.frombuffer(x.body, np.uint8)
+    repeated = np.zeros((wide + 1, len(chunks)), bool)  # by bytes before the anchor
+    left_of, right_of = left[of], right[of]
+    with Columns(folder) as columns:
+        for place in range(high - 1, -wide - 1, -1):
+            order, common = columns.read()
+            joins = np.flatnonzero(right_of == place + 1)
+            if len(joins):  # documents that end here: empty suffixes come first and share nothing
+                order, common = np.concatenate([joins, order]), np.concatenate([np.zeros(len(joins), np.uint16), common])
+            if not len(order):
+                continue
+            order, common = insert(order, common, letters[wide + place, of[order]], window)
+            best = np.maximum(common, np.append(common[1:], np.uint16(0))).astype(np.int64)
+            if place <= 0:
+                repeated[-place, of[order[best >= window]]] = True
+            rest = left_of[order] + place  # letters still to come
+            stays = (rest > 0) & (best + rest >= window)
+            if not stays.all():
+                order, common = without(order, common, stays)
+            columns.write(order, common)
     out = []
-    for i, x in enumerate(chunks):
-        out.append(np.ones(x.n, bool) if x.copies > 1 else repeated[i, x.left - count[i] + 1 : x.left + 1][::-1])
+    for i in range(len(chunks)):
+        bits = repeated[left[i] - n[i] + 1 : left[i] + 1, i][::-1]
+        out.append(np.packbits(bits).tobytes() if bits.any() else None)
     return out
 
 
-def suffix_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def goes(verdict: bytes, n: int, doc_id: int | None) -> np.ndarray:
+    """Which windows are repeated, whatever the document."""
+    return np.unpackbits(np.frombuffer(verdict, np.uint8), count=n).astype(bool)
+
+
+def suffix_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard_bytes: int = SHARD_BYTES, most: int = MOST_CHUNKS) -> DataFrame:
     """doc_id, n_units (bytes), n_removed, n_spans (maximal removed runs), kept (null where nothing goes), sha (of the whole text)."""
-    return removed(docs, Units(False, window, gram), lambda chunks: judge(chunks, window), True, shard_bytes, "suffix")
+    folder = scratch_dir(docs.sparkSession)
+    return removed(docs, Units(False, window, gram), lambda chunks: judge(chunks, window, folder), goes, True, shard_bytes, "suffix", most)
 
 
 def op4_suffix_dedup(spark, sf_dir: str) -> DataFrame:
