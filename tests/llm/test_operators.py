@@ -310,16 +310,51 @@ def test_mixing_cuts_one_document(spark):
 
 def test_splitting_tree(spark):
     quota = [1000, 37, 0, 1, 400]
-    one = spark.createDataFrame([(quota,)], "quota array<long>")
-    got = mixing.split(one, 3, 7).collect()
-    assert len(got) == 8 and [sum(c) for c in zip(*(r.quota for r in got))] == quota
-    assert {sum(r.quota) for r in got} <= {179, 180}
+    for groups in ([quota], [quota[:2], quota[2:4], quota[4:]]):
+        given = spark.createDataFrame(list(enumerate(groups)), "group long, quota array<long>")
+        got = mixing.split(given, 3, 7, len(groups)).collect()
+        per = {}
+        for r in got:
+            for i, (q, at) in enumerate(zip(r.quota, r.start)):
+                per.setdefault((r.group, i), []).append((r.node, at, q))
+        assert len(got) == 8 * len(groups) and [sum(q for _, _, q in v) for _, v in sorted(per.items())] == quota
+        for v in per.values():  # a source's draws, one leaf after the other
+            v.sort()
+            assert [at for _, at, _ in v] == [sum(q for _, _, q in v[:k]) for k in range(8)]
+        nodes = {}
+        for r in got:
+            nodes[r.node] = nodes.get(r.node, 0) + sum(r.quota)
+        assert set(nodes.values()) <= {179, 180}
     draws = spark.range(4000).select(mixing.hypergeometric(*(mixing.F.lit(x).cast("long") for x in (100, 40, 30)), mixing.F.col("id")).alias("k"))
     k = np.array([r.k for r in draws.collect()])
     assert abs(k.mean() - 12) < 0.2 and abs(k.var() - 30 * 0.4 * 0.6 * 70 / 99) < 0.5
     assert mixing.taken(spark.createDataFrame([], ODD)).count() == 0 and mixing.mixed(spark.createDataFrame([], ODD)).count() == 0
 
 
+@pytest.mark.parametrize("group", [256, 3])
+def test_mixing_deals_quotas_to_shards(spark, group):
+    """Shards' draws are disjoint and add up to every source's quota; what documents give comes from them alone."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    sized = docs.select("doc_id", "source", mixing.size_of(F.col("text")).alias("size"))
+    plan, blocks = mixing.mix_plan(sized, group=group)
+    assert blocks == 4096
+    rows = plan.select("source", "target", "source_size", "block", "edge", F.posexplode("draws").alias("nth", "d")).select("*", "d.*").collect()
+    # a block's draws are the passes 0, 1, ...: none twice, and each to one shard
+    seen = Counter((r.source, r.block, r["pass"]) for r in rows)
+    assert max(seen.values()) == 1 and all(r["pass"] == r.nth for r in rows)
+    assert len({r.shard for r in rows}) == 8
+    # shards have a source's draws in proportion, as a hypergeometric draw has
+    for s in {r.source for r in rows}:
+        per = Counter(r.shard for r in rows if r.source == s)
+        assert max(per.values()) < 3 * sum(per.values()) / 8 + 6
+    given = {(r.source, r.block): r for r in plan.collect()}
+    block = {r.doc_id: (r.source, r.block) for r in sized.withColumn("block", mixing._block(mixing.SEED, blocks)).collect()}
+    for r in mixing.taken(docs, group=group).collect():
+        x = given[block[r.doc_id]]
+        assert r.shards == [d.shard for d in x.draws][: len(r.shards)] and len(x.draws) - len(r.shards) <= (x.edge is not None)
+        assert r.taken == len(r.shards) * r.size if x.edge is None else len(r.shards) * r.size >= r.taken
+
+
 def test_mixing_is_native(spark):
     plan = mixing.taken(spark.read.parquet(f"{SF}/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)

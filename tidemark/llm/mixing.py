@@ -1,26 +1,34 @@
 """Mixing sources to target weights, in DataFrame operations only.
 
 Targets: sources in code-point order (null last) weigh 5, 2, 1, repeating, and share all words; a target stops at three
-times its source's size and the excess is shared again by weight. Documents fall into BLOCKS hashed, so randomly permuted,
-blocks per source, with exact word counts. A source's target is a number of whole passes over its blocks, then whole blocks
+times its source's size and the excess is shared again by weight. Documents fall into hashed, so randomly permuted, blocks
+per source, with exact word counts. A source's target is a number of whole passes over its blocks, then whole blocks
 in order, then whole documents of the next block in the order of a hash, the last of them in part: an exact quota of block
 draws.
 
 A multivariate-hypergeometric splitting tree deals these quotas among the output shards: each node gives its left child half of
-its draws, every source's part drawn from the hypergeometric law given what earlier sources took (exactly, as the largest of
-log-probabilities with Gumbel noise from a hash), its right child the rest. Shards then take disjoint ranges of each
-source's draws and order their rows by a hash. All is a function of the rows and the seed, so reruns agree.
-
-Everything after two aggregations, by source and by source and block, is a row per source. That table is broadcast
-only when it has at most BROADCAST_SOURCES rows, else joined by a shuffle, where hot sources are AQE's to split.
+its draws, every source's part drawn from the hypergeometric law given what earlier sources took (as the largest of
+log-probabilities with Gumbel noise from a hash), its right child the rest. A leaf's quota of a source is a range of
+that source's draws, from where the leaves before it end; a draw is a pass over a block, so shards take disjoint permuted
+blocks, and what a document gives is what the leaves were dealt. Shards order their rows by a hash. All is a function of
+the rows and the seed, so reruns agree.
+
+The tree has at least eight leaves and as many as it takes for a leaf to have SHARD_WORDS words at most on average; there are
+sixteen blocks or more per source and leaf, 4,096 at least. Sources are dealt in groups of GROUP: a node's draws first
+among groups, then within each, so no array grows with the sources but that of the groups' sums. The blocks' table
+(source, block, its draws) is broadcast only when it has at most BROADCAST_ROWS rows, else joined by a shuffle, where a
+source is spread over its blocks.
 
 Defined results: null text has size 0; a null source is a source; sources without words have target 0; repeated rows (equal
-id, source and size) share a block and are each taken as often (the last document, if repeated, in equal parts); an empty table gives an empty result; columns of other names
-are kept by mixed().
+id, source and size) share a block and are each taken as often (the last document, if repeated, in equal parts); texts may
+have any length, a document is never split over shards; an empty table gives an empty result; columns of other names are
+kept by mixed().
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,9 +36,11 @@ from .common import written
 
 WEIGHTS, LIMIT = (5, 2, 1), 3.0
 BLOCKS, SEED = 4096, 20240607
-#: Words of a shard, about; depth of the tree at most.
-SHARD_WORDS, DEPTH = 1 << 24, 10
-BROADCAST_SOURCES = 10_000
+#: Words of a shard on average, at most; the least depth of the tree; sources that a node's array holds.
+SHARD_WORDS, LEAST_DEPTH, GROUP = 1 << 22, 3, 256
+BROADCAST_SOURCES, BROADCAST_ROWS = 10_000, 200_000
+#: Blocks whose words are summed together before the block at a source's cut is looked for.
+SUPERBLOCK = 1024
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -49,30 +59,37 @@ def _place(seed: int) -> Column:
 
 def targets(sized: DataFrame, weights=WEIGHTS, limit: float = LIMIT) -> DataFrame:
     """A row per source: number (by code point, null last), source, source_size and target."""
-    totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    rows = totals.agg(F.array_sort(F.collect_list(F.struct(F.col("source").isNull().alias("last"), "source", "source_size"))).alias("s"))
-    weight = F.array(*(F.lit(float(w)) for w in weights))
-    rows = rows.select(F.transform("s", lambda x, i: F.struct(i.alias("number"), x["source"].alias("source"), x["source_size"].alias("source_size"), F.element_at(weight, i % len(weights) + 1).alias("weight"))).alias("s"))
-    by_cap = F.array_sort(F.transform("s", lambda x: F.struct((x["source_size"] * limit / x["weight"]).alias("cap"), x["number"].alias("number"), (x["source_size"] * limit).alias("most"), x["weight"].alias("weight"))))
-    start = F.struct(
-        F.aggregate("s", F.lit(0.0), lambda a, x: a + x["source_size"]).alias("words"),
-        F.aggregate("s", F.lit(0.0), lambda a, x: a + x["weight"]).alias("weight"),
-    )
-    # from the source that is capped first on: as long as its share is above its cap it takes the cap and leaves
-    level = F.aggregate(
-        by_cap, start,
-        lambda a, x: F.when(a["words"] > x["cap"] * a["weight"], F.struct((a["words"] - x["most"]).alias("words"), (a["weight"] - x["weight"]).alias("weight"))).otherwise(a),
-        lambda a: F.when(a["weight"] > 0, a["words"] / a["weight"]).otherwise(F.lit(0.0)),
-    )
-    rows = rows.withColumn("level", level).select("level", F.explode("s").alias("x")).select("level", "x.*")
-    # where every source is capped the sizes agree, and each target is its cap
-    return rows.select("number", "source", "source_size", F.least(F.col("source_size") * limit, F.when(F.col("level") > 0, F.col("level") * F.col("weight")).otherwise(F.col("source_size") * limit)).alias("target"))
+    totals = sized.groupBy("source").agg(F.sum("size").alias("source_size")).orderBy(F.col("source").asc_nulls_last())
+    # a sorted row's number: its place in its partition and the rows of the partitions before
+    totals = written(totals.withColumn("at", F.monotonically_increasing_id()), "mix-sources")
+    part = F.shiftright("at", 33)
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = totals.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).select("part", before.alias("before"))
+    number = F.col("before") + F.col("at").bitwiseAND((1 << 33) - 1)
+    rows = totals.withColumn("part", part).join(parts, "part").select(number.alias("number"), "source", "source_size")
+    rows = written(rows.withColumn("weight", F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.col("number") % len(weights) + 1).cast("int"))), "mix-weights")
+    cap = F.col("source_size") * limit / F.col("weight")
+    size, weight = (x or 0 for x in rows.agg(F.sum("source_size"), F.sum("weight")).first())
+    level, capped = (size / weight if weight else 0.0), 0
+    while True:  # sources above their cap take it and leave; the level of the others only rises, so no source comes back
+        n, words, w = rows.where(cap < F.lit(float(level))).agg(F.count(F.lit(1)), F.sum("source_size"), F.sum("weight")).first()
+        if n == capped:
+            break
+        capped, left = n, weight - w
+        level = (size - limit * words) / left if left > 0 else math.inf  # where every source is capped each target is its cap
+    return rows.select("number", "source", "source_size", F.least(F.col("source_size") * limit, F.col("weight") * F.lit(float(level))).alias("target"))
 
 
 def hypergeometric(total: Column, good: Column, draws: Column, *salt: Column) -> Column:
-    """How many of `draws` out of `total` are among the `good`: one exact draw, a function of the salt."""
+    """How many of `draws` out of `total` are among the `good`: one draw, a function of the salt.
+
+    Values farther than 12 standard deviations (and 12) from the mean, of probability under 1e-30, are not weighed.
+    """
     low = F.greatest(F.lit(0).cast("long"), draws - (total - good))
     high = F.least(good, draws)
+    mean = draws.cast("double") * good / F.greatest(total, F.lit(1))
+    spread = 12 + 12 * F.sqrt(mean * (1 - good / F.greatest(total, F.lit(1))) * (total - draws) / F.greatest(total - 1, F.lit(1)))
+    first, last = F.greatest(low, F.floor(mean - spread).cast("long")), F.least(high, F.ceil(mean + spread).cast("long"))
 
     def gumbel(k):
         u = (F.pmod(F.xxhash64(*salt, k), F.lit(1 << 52)) + 0.5) / float(1 << 52)
@@ -85,110 +102,134 @@ def hypergeometric(total: Column, good: Column, draws: Column, *salt: Column) ->
         return F.struct(after.alias("weight"), F.greatest(a["best"], value).alias("best"), F.when(value > a["best"], k).otherwise(a["k"]).alias("k"))
 
     zero = F.struct(F.lit(0.0).alias("weight"), F.lit(float("-inf")).alias("best"), low.alias("k"))
-    return F.when(low >= high, low).otherwise(F.aggregate(F.sequence(low, high), zero, step, lambda a: a["k"]))
+    return F.when(low >= high, low).otherwise(F.aggregate(F.sequence(first, last), zero, step, lambda a: a["k"]))
+
 
+def _dealt(items: Column, draws: Column, *salt: Column) -> Column:
+    """Of the quotas `items` (an array), how many of each are among `draws` draws out of all."""
+    total = F.aggregate(items, F.lit(0).cast("long"), lambda a, x: a + x)
+    numbered = F.transform(items, lambda x, i: F.struct(i.cast("long").alias("i"), x.alias("q")))
+    start = F.struct(total.alias("total"), draws.alias("draws"), F.array().cast("array<bigint>").alias("left"))
 
-def _dealer(seed: int, level: int):
     def deal(a, x):
-        got = hypergeometric(a["total"], x["q"], a["draws"], F.lit(seed), F.lit(level), F.col("node"), x["i"])
+        got = hypergeometric(a["total"], x["q"], a["draws"], *salt, x["i"])
         # `got` is bound as the element of a one-element array, so it is evaluated once
         after = lambda g: F.struct((a["total"] - x["q"]).alias("total"), (a["draws"] - g).alias("draws"), F.concat(a["left"], F.array(g)).alias("left"))
         return F.element_at(F.transform(F.array(got), after), 1)
 
-    return deal
+    return F.aggregate(numbered, start, deal, lambda a: a["left"])
 
 
-def split(quotas: DataFrame, depth: int, seed: int) -> DataFrame:
-    """Quotas (one row, array `quota` by source) dealt to 2^depth shards: rows (node, quota)."""
-    now = quotas.select(F.lit(0).cast("long").alias("node"), "quota")
-    for level in range(depth):
-        total = F.aggregate("quota", F.lit(0).cast("long"), lambda a, x: a + x)
-        now = now.withColumn("total", total).withColumn("numbered", F.transform("quota", lambda x, i: F.struct(i.cast("long").alias("i"), x.alias("q"))))
-        start = F.struct(F.col("total").alias("total"), F.floor(F.col("total") / 2).cast("long").alias("draws"), F.array().cast("array<bigint>").alias("left"))
+def split(quotas: DataFrame, depth: int, seed: int, groups: int = 1) -> DataFrame:
+    """Quotas (rows `group`, array `quota` by source) dealt to 2^depth shards: rows (node, group, quota, start).
 
-        now = now.withColumn("left", F.aggregate("numbered", start, _dealer(seed, level), lambda a: a["left"]))
+    start: of each source, the draws that nodes before this one have.
+    """
+    total = F.aggregate("quota", F.lit(0).cast("long"), lambda a, x: a + x)
+    now = quotas.select(F.lit(0).cast("long").alias("node"), F.col("group").cast("long").alias("group"), "quota", F.transform("quota", lambda x: F.lit(0).cast("long")).alias("start"))
+    for level in range(depth):
+        if groups == 1:
+            now = now.withColumn("draws", F.floor(total / 2).cast("long"))
+        else:
+            sums = now.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("group", total.alias("n")))).alias("s"))
+            every = F.transform("s", lambda x: x["n"])
+            half = F.floor(F.aggregate(every, F.lit(0).cast("long"), lambda a, x: a + x) / 2).cast("long")
+            given = sums.withColumn("g", _dealt(every, half, F.lit(seed), F.lit(level), F.col("node"), F.lit(-1).cast("long")))
+            given = given.select("node", F.explode(F.arrays_zip(F.transform("s", lambda x: x["group"]).alias("group"), F.col("g").alias("draws"))).alias("x"))
+            now = now.join(given.select("node", F.col("x.group").alias("group"), F.col("x.draws").alias("draws")), ["node", "group"])
+        now = now.withColumn("left", _dealt(F.col("quota"), F.col("draws"), F.lit(seed), F.lit(level), F.col("node"), F.col("group")))
         right = F.zip_with("quota", "left", lambda q, g: q - g)
-        now = now.select(F.explode(F.array(F.struct((F.col("node") * 2).alias("node"), F.col("left").alias("quota")), F.struct((F.col("node") * 2 + 1).alias("node"), right.alias("quota")))).alias("x")).select("x.*")
+        ahead = F.zip_with("start", "left", lambda s, g: s + g)
+        child = lambda bit, q, s: F.struct((F.col("node") * 2 + bit).alias("node"), "group", q.alias("quota"), s.alias("start"))
+        now = now.select(F.explode(F.array(child(0, F.col("left"), F.col("start")), child(1, right, ahead))).alias("x")).select("x.*")
+        if level % 6 == 5 or groups > 1:  # nodes double with every level: they are spread again, and the plan is cut
+            now = written(now.repartition("node"), "mix-nodes")
     return now
 
 
-def mix_plan(sized: DataFrame, weights=WEIGHTS, limit: float = LIMIT, blocks: int = BLOCKS, seed: int = SEED, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """A row per source: source_size, target, passes, cut (whole blocks of the last pass), edge and part (of the block after, documents placed before the edge are taken, of that at the edge `part` words), bounds of the shards."""
+def _crossing(rows: DataFrame, by: str) -> DataFrame:
+    """Where, in the order of `by`, the words of a source (rows: number, by, words, left) come to more than `left`: number, by, left there."""
+    order = Window.partitionBy("number").orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+    running = rows.withColumn("before", F.coalesce(F.sum("words").over(order), F.lit(0)))
+    return running.where("left > 0 and before <= left and before + words > left").drop("words").withColumn("left", F.col("left") - F.col("before")).drop("before")
+
+
+def mix_plan(sized: DataFrame, weights=WEIGHTS, limit: float = LIMIT, blocks: int = BLOCKS, seed: int = SEED, shard_words: int = SHARD_WORDS, group: int = GROUP) -> tuple[DataFrame, int]:
+    """A row per source and block, and the number of blocks.
+
+    source_size, target, draws (of the block: pass and shard), and for the block at a source's cut, whose last draw is
+    partial: edge and part (documents placed before the edge are taken, of that at the edge `part` words).
+    """
     goal = targets(sized, weights, limit).withColumn("passes", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
     goal = written(goal.withColumn("rest", F.greatest(F.lit(0.0), F.col("target") - F.col("passes") * F.col("source_size"))), "mix-targets")
-    per_block = sized.groupBy("source", _block(seed, blocks).alias("block")).agg(F.sum("size").alias("words"))
-    order = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    running = per_block.withColumn("before", F.coalesce(F.sum("words").over(order), F.lit(0)))
-    other = goal.select(F.col("source").alias("of"), "rest")
-    cut = running.join(other, F.col("source").eqNullSafe(F.col("of"))).where("before <= rest and before + words > rest and rest > 0")
-    cut = written(cut.select(F.col("source").alias("of"), F.col("block").alias("cut"), F.floor(F.col("rest") - F.col("before")).alias("left")), "mix-cuts")
-    few = cut if cut.count() > BROADCAST_SOURCES else F.broadcast(cut)
+    words, sources = goal.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.max("number") + 1, F.lit(0))).first()
+    depth = max(LEAST_DEPTH, math.ceil(math.log2(max(1.0, words / shard_words))))
+    blocks = max(blocks, 16 << depth)
+    names = goal.select("number", F.col("source").alias("of"))
+    named = sized.join(F.broadcast(names) if sources <= BROADCAST_SOURCES else names, F.col("source").eqNullSafe(F.col("of"))).drop("of").withColumn("block", _block(seed, blocks))
+    per_block = written(named.groupBy("number", "block").agg(F.sum("size").alias("words")), "mix-blocks")
+    big = F.expr(f"block div {SUPERBLOCK}").alias("big")
+    coarse = _crossing(per_block.groupBy("number", big).agg(F.sum("words").alias("words")).join(goal.select("number", F.col("rest").alias("left")), "number"), "big")
+    cut = written(_crossing(per_block.withColumn("big", big).join(coarse, ["number", "big"]).drop("big"), "block"), "mix-cuts")
     # only rows of the cut blocks, a row per place, are put in order
-    inside = sized.withColumn("block", _block(seed, blocks)).join(few, F.col("source").eqNullSafe(F.col("of")) & (F.col("block") == F.col("cut")))
-    inside = inside.groupBy("source", _place(seed).alias("edge")).agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("copies"), F.first("left").alias("left"))
-    inside = inside.withColumn("before", F.coalesce(F.sum("words").over(Window.partitionBy("source").orderBy("edge").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    inside = inside.where("before <= left and before + words > left").select(F.col("source").alias("in"), "edge", F.expr("(left - before) div copies").alias("part"))
-    cut = cut.join(inside, F.col("of").eqNullSafe(F.col("in")), "left").select("of", "cut", "edge", "part")
-    plan = goal.join(cut, F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
+    inside = named.join(F.broadcast(cut) if sources <= BROADCAST_SOURCES else cut, ["number", "block"])
+    inside = inside.groupBy("number", _place(seed).alias("edge")).agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("copies"), F.floor(F.first("left")).alias("left"))
+    inside = _crossing(inside, "edge").select("number", "edge", F.expr("left div copies").alias("part"))
+    cut = cut.select("number", F.col("block").alias("cut")).join(inside, "number", "left")
     # no block was cut: the rest is nothing, or all words by a rounding error
-    plan = plan.withColumn("cut", F.coalesce("cut", F.when(F.col("rest") > 0, F.lit(blocks)).otherwise(F.lit(0))))
-    plan = written(plan.withColumn("quota", F.col("passes") * blocks + F.col("cut") + F.when(F.col("edge").isNotNull(), 1).otherwise(0)), "mix-quotas")
-    total = plan.agg(F.sum("source_size")).first()[0] or 0
-    depth = min(DEPTH, max(0, int(total // shard_words).bit_length()))
-    quotas = plan.agg(F.transform(F.array_sort(F.collect_list(F.struct("number", "quota"))), lambda x: x["quota"].cast("long")).alias("quota"))
-    shares = split(quotas, depth, seed).select("node", F.posexplode("quota").alias("number", "n"))
-    ends = shares.groupBy("number").agg(F.transform(F.array_sort(F.collect_list(F.struct("node", "n"))), lambda x: x["n"]).alias("n"))
-    ends = ends.select("number", F.aggregate("n", F.array().cast("array<bigint>"), lambda a, x: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0).cast("long")) + x))).alias("bounds"))
-    return written(plan.join(ends, "number"), "mix-plan")
-
-
-def _with_plan(sized: DataFrame, plan: DataFrame) -> DataFrame:
-    plan = plan.select(F.col("source").alias("_source"), "source_size", "target", "passes", "cut", "edge", "part", "bounds")
-    if plan.count() <= BROADCAST_SOURCES:
+    plan = goal.join(cut, "number", "left").withColumn("cut", F.coalesce("cut", F.when(F.col("rest") > 0, F.lit(blocks)).otherwise(F.lit(0))))
+    plan = written(plan.withColumn("quota", (F.col("passes") * blocks + F.col("cut") + F.when(F.col("edge").isNotNull(), 1).otherwise(0)).cast("long")), "mix-quotas")
+    quotas = plan.groupBy(F.expr(f"number div {group}").alias("group")).agg(F.transform(F.array_sort(F.collect_list(F.struct("number", "quota"))), lambda x: x["quota"]).alias("quota"))
+    leaves = split(quotas, depth, seed, -(-sources // group) or 1)
+    of = leaves.select("node", "group", F.posexplode(F.arrays_zip("quota", "start")).alias("i", "x")).select((F.col("group") * group + F.col("i")).alias("number"), F.col("node").alias("shard"), "x.quota", "x.start").where("quota > 0")
+    draws = of.select("number", "shard", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("quota") - 1)).alias("draw"))
+    draws = draws.groupBy("number", F.pmod("draw", F.lit(blocks)).cast("int").alias("block")).agg(F.sort_array(F.collect_list(F.struct(F.expr(f"draw div {blocks}").alias("pass"), "shard"))).alias("draws"))
+    none = F.array().cast("array<struct<pass:bigint,shard:bigint>>")
+    table = per_block.select("number", "block").join(draws, ["number", "block"], "left").join(plan, "number")
+    edge = F.col("block") == F.col("cut")
+    table = table.select("source", "block", "source_size", "target", F.coalesce("draws", none).alias("draws"), F.when(edge, F.col("edge")).alias("edge"), F.when(edge, F.col("part")).alias("part"))
+    return written(table, "mix-plan"), blocks
+
+
+def _with_plan(sized: DataFrame, plan: DataFrame, blocks: int, seed: int) -> DataFrame:
+    """Rows with their block's columns; draws: those that take a word of the row; extra: words that a partial draw takes."""
+    plan = plan.select(F.col("source").alias("_source"), F.col("block").alias("_block"), "source_size", "target", "draws", "edge", "part")
+    if plan.count() <= BROADCAST_ROWS:
         plan = F.broadcast(plan)
-    return sized.join(plan, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-
-
-def _last_pass(seed: int) -> Column:
-    """Words of a row that the pass after the whole ones takes."""
+    rows = sized.withColumn("block", _block(seed, blocks))
+    rows = rows.join(plan, F.col("source").eqNullSafe(F.col("_source")) & (F.col("block") == F.col("_block"))).drop("_source", "_block")
     place = _place(seed)
-    inside = F.when(place < F.col("edge"), F.col("size")).when(place == F.col("edge"), F.least("size", "part"))
-    return F.coalesce(F.when(F.col("block") < F.col("cut"), F.col("size")).when(F.col("block") == F.col("cut"), inside), F.lit(0)).cast("long")
+    extra = F.when(place < F.col("edge"), F.col("size")).when(place == F.col("edge"), F.least("size", "part")).otherwise(F.lit(0)).cast("long")
+    rows = rows.withColumn("whole", F.size("draws") - F.when(F.col("edge").isNotNull(), 1).otherwise(0)).withColumn("extra", F.when(F.col("edge").isNotNull(), extra).otherwise(F.lit(0)).cast("long"))
+    return rows.withColumn("draws", F.slice("draws", F.lit(1), F.col("whole") + F.when(F.col("extra") > 0, 1).otherwise(0)))
 
 
-def taken(docs: DataFrame, blocks: int = BLOCKS, seed: int = SEED, shard_words: int = SHARD_WORDS) -> DataFrame:
+def taken(docs: DataFrame, blocks: int = BLOCKS, seed: int = SEED, shard_words: int = SHARD_WORDS, group: int = GROUP) -> DataFrame:
     """doc_id, source, size, source_size, target, taken (words, repeats counted) and the shard of each draw."""
     sized = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size_of(F.col("text").cast("string")).alias("size")), "mix-sizes")
-    rows = _with_plan(sized.withColumn("block", _block(seed, blocks)), mix_plan(sized, blocks=blocks, seed=seed, shard_words=shard_words))
-    rows = rows.withColumn("extra", _last_pass(seed))
-    n = F.col("passes") + F.when((F.col("block") < F.col("cut")) | (F.col("extra") > 0), 1).otherwise(0)
-    draws = F.filter(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long")), lambda p: p < n)
-    shards = F.transform(draws, lambda p: F.size(F.filter("bounds", lambda b: b <= p * blocks + F.col("block"))))
-    return rows.select("doc_id", "source", "size", "source_size", "target", (F.col("passes") * F.col("size") + F.col("extra")).cast("long").alias("taken"), shards.alias("shards"))
+    rows = _with_plan(sized, *mix_plan(sized, blocks=blocks, seed=seed, shard_words=shard_words, group=group), seed)
+    shards = F.transform("draws", lambda x: x["shard"])
+    return rows.select("doc_id", "source", "size", "source_size", "target", (F.col("whole") * F.col("size") + F.col("extra")).cast("long").alias("taken"), shards.alias("shards"))
 
 
-def mixed(docs: DataFrame, blocks: int = BLOCKS, seed: int = SEED, shard_words: int = SHARD_WORDS) -> DataFrame:
+def mixed(docs: DataFrame, blocks: int = BLOCKS, seed: int = SEED, shard_words: int = SHARD_WORDS, group: int = GROUP) -> DataFrame:
     """The mix itself: the columns of docs, a row per draw, shards together and in random order.
 
-    The document at a source's cut, one at most (and its repeats), gives its first words, joined by one space (n_chars follows); draws without words are
-    left out unless the document has none and its source is taken.
+    The document at a source's cut, one at most (and its repeats), gives its first words, joined by one space (n_chars
+    follows). Documents without a word are taken with the whole draws of their block.
     """
     columns = docs.columns
     rows = docs.select(
         F.struct(*(F.col(f"`{c}`") for c in columns)).alias("_doc"), F.col("doc_id").cast("long").alias("doc_id"),
         F.col("source").cast("string").alias("source"), size_of(F.col("text").cast("string")).alias("size"),
     )
-    plan = mix_plan(written(rows.select("doc_id", "source", "size"), "mix-sizes"), blocks=blocks, seed=seed, shard_words=shard_words)
-    rows = _with_plan(rows.withColumn("block", _block(seed, blocks)), plan).withColumn("_extra", _last_pass(seed))
-    n = F.col("passes") + F.when((F.col("block") < F.col("cut")) | (F.col("_extra") > 0), 1).otherwise(0)
-    rows = rows.withColumn("_pass", F.explode(F.filter(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long")), lambda p: p < n)))
-    draw = F.col("_pass") * blocks + F.col("block")
-    part = (F.col("_pass") == F.col("passes")) & (F.col("_extra") < F.col("size"))
-    words = F.slice(F.regexp_extract_all(F.col("_doc.text"), F.lit(WORD), F.lit(0)), F.lit(1), F.col("_extra").cast("int"))
-    text = F.when(part, F.array_join(words, " ")).otherwise(F.col("_doc.text"))
-    rows = rows.withColumn("_shard", F.size(F.filter("bounds", lambda b: b <= draw))).withColumn("_order", F.xxhash64("_doc.doc_id", "_pass", F.lit(seed + 1)))
-    rows = rows.withColumn("_text", text).withColumn("_slot", F.pmod("_order", F.lit(4)))
-    rows = rows.repartition("_shard", "_slot").sortWithinPartitions("_shard", "_order")
+    plan, blocks = mix_plan(written(rows.select("doc_id", "source", "size"), "mix-sizes"), blocks=blocks, seed=seed, shard_words=shard_words, group=group)
+    rows = _with_plan(rows, plan, blocks, seed).select("_doc", "size", "whole", "extra", F.posexplode("draws").alias("_nth", "_draw"))
+    part = (F.col("_nth") >= F.col("whole")) & (F.col("extra") < F.col("size"))
+    words = F.slice(F.regexp_extract_all(F.col("_doc.text"), F.lit(WORD), F.lit(0)), F.lit(1), F.col("extra").cast("int"))
+    rows = rows.withColumn("_text", F.when(part, F.array_join(words, " ")).otherwise(F.col("_doc.text"))).withColumn("_shard", F.col("_draw.shard"))
+    rows = rows.withColumn("_order", F.xxhash64("_doc.doc_id", "_draw.pass", F.lit(seed + 1)))
+    rows = rows.repartition("_shard").sortWithinPartitions("_shard", "_order")  # a shard is about SHARD_WORDS words at most
     replaced = {"text": F.col("_text")} | ({"n_chars": F.when(part, F.char_length("_text")).otherwise(F.col("_doc.n_chars"))} if "n_chars" in columns else {})
     return rows.select(*(replaced.get(c, F.col("_doc").getField(c)).alias(c) for c in columns))
 
