@@ -71,7 +71,7 @@ def test_small_windows(spark, seed, alphabet):
     assert sorted(got, key=str) == brute_bytes(rows, 40)
 
 
-@pytest.mark.parametrize("most", [1, 3, 10])
+@pytest.mark.parametrize("most", [2, 10])
 def test_hot_anchors(spark, most):
     # one passage, a little longer or shorter than a window, with other surroundings in every row; near copies of one text
     r = random.Random(most)

@@ -330,7 +330,7 @@ def _judged(bodies: DataFrame, shards: int, build) -> DataFrame:
     return parts.mapInArrow(_judge(build), _VERDICTS)
 
 
-def _judged_in_cells(bodies: DataFrame, units: Units, build, per_shard: int, most: int, name: str, level: int = 0) -> DataFrame:
+def _judged_in_cells(bodies: DataFrame, units: Units, build, most: int, name: str, level: int = 0) -> DataFrame:
     """Verdicts of the chunks of hot keys, by cells of ever smaller steps."""
     cells = written(bodies.mapInArrow(_cells(units, units.steps[level]), _CELLS), f"{name}-cells-{level}")
     first = F.min_by(F.struct("d0", "left", "n", "body"), F.struct("d0", "ph", "pc", "at")).alias("f")
@@ -338,12 +338,14 @@ def _judged_in_cells(bodies: DataFrame, units: Units, build, per_shard: int, mos
     distinct = written(distinct.select("h", "c", "f.d0", "copies", "f.left", "f.n", "f.body"), f"{name}-distinct-{level}")
     keys = written(distinct.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.sum("copies").alias("copies")).where("copies > 1"), f"{name}-keys-{level}")
     few = keys.where(F.col("m") <= most).select("h")
-    shards = max(1, (keys.where(F.col("m") <= most).agg(F.sum("m")).first()[0] or 0) // per_shard)
+    # keys are large here, so shards have the room of a quarter of the largest
+    shards = max(1, (keys.where(F.col("m") <= most).agg(F.sum("m")).first()[0] or 0) // max(1, most // 4))
     out = _judged(distinct.join(few, "h", "left_semi"), shards, build)
     over = keys.where(F.col("m") > most).select("h")
     if level + 1 < len(units.steps) and over.take(1):
-        out = out.unionByName(_judged_in_cells(distinct.join(over, "h", "left_semi"), units, build, per_shard, most, name, level + 1))
-    of = cells.select("ph", "pc", F.col("at").alias("from"), "h", "c").join(out, ["h", "c"])
+        out = out.unionByName(_judged_in_cells(distinct.join(over, "h", "left_semi"), units, build, most, name, level + 1))
+    # written, so that both sides of the join come straight from a shuffle and AQE can split a common cell's rows
+    of = cells.select("ph", "pc", F.col("at").alias("from"), "h", "c").join(written(out, f"{name}-verdicts-{level}"), ["h", "c"])
     return of.select(F.col("ph").alias("h"), F.col("pc").alias("c"), (F.col("at") + F.col("from")).cast("int").alias("at"), "n", "verdict")
 
 
@@ -416,7 +418,7 @@ def removed(docs: DataFrame, units: Units, build: Callable, goes: Callable, in_s
     per_shard = max(1, shard_units // units.window)
     verdicts = _judged(bodies(first.join(hot.select("h"), "h", "left_anti") if n_hot else first), max(1, (first.count() - n_hot) // per_shard), build)
     if n_hot:
-        verdicts = verdicts.unionByName(_judged_in_cells(bodies(first.join(hot.select("h"), "h", "left_semi")), units, build, per_shard, most, name))
+        verdicts = verdicts.unionByName(_judged_in_cells(bodies(first.join(hot.select("h"), "h", "left_semi")), units, build, most, name))
     cut = chunks.select("h", "c", "rid", "i").join(verdicts, ["h", "c"]).groupBy("rid").agg(F.collect_list(F.struct("i", "at", "n", "verdict")).alias("cut"))
     d3 = d2.select("rid", "doc_id", "windows", "blob", "s").join(cut, "rid").select("rid", "doc_id", "windows", "blob", "s", "cut").mapInArrow(_kept(units, goes), _KEPT)
     out = d1.select("rid", "doc_id", "n_units", "sha").join(d3, "rid", "left")
