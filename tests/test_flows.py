@@ -7,9 +7,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import learning
+from tidemark.operators import learning, raster
 from tidemark.plans import flows
-from tidemark.sources import tiff
+from tidemark.sources import files, tiff
 
 
 def made(a: np.ndarray, order="<", apart=False, deflate=False, rows=3, predictor=1, gt=None) -> bytes:
@@ -59,6 +59,40 @@ def test_refusals():
         tiff.decode(b"PK\x03\x04" + bytes(20))
 
 
+@pytest.mark.parametrize("dtype", ["f4", "u1", "i2"])
+def test_encode(dtype):
+    a = np.random.default_rng(2).normal(0, 50, (3, 6, 5)).astype("i2").astype(dtype)
+    gt = (4.0, 0.001, 0.0, 55.0, 0.0, -0.001)
+    data = tiff.encode(a, gt)
+    assert (tiff.decode(data) == a).all() and tiff.geotransform(tiff.tags(data)[1]) == gt
+    assert tiff.geotransform(tiff.tags(tiff.encode(a))[1]) is None
+
+
+def test_geotransform_of_scale_and_tie_point():
+    assert tiff.geotransform({33550: (0.5, 0.25, 0.0), 33922: (2.0, 4.0, 0.0, 10.0, 50.0, 0.0)}) == (9.0, 0.5, 0.0, 51.0, 0.0, -0.25)
+    assert tiff.geotransform({33550: (0.5, 0.25, 0.0)}) is None and tiff.geotransform({34264: (1.0, 0, 0, 0, 0, 1.0, 0, 0, 0, 0, 1, 0, 0, 0, 0, 1)}) is None
+
+
+def test_run_from_files_to_outputs(spark, tmp_path):
+    (tmp_path / "img").mkdir()
+    rng = np.random.default_rng(3)
+    truth = np.zeros((24, 24), np.uint8)
+    truth[4:14, 6:16] = 1
+    for k in range(2):
+        on = truth > 0 if k == 0 else np.zeros_like(truth, bool)
+        db = np.stack([np.where(on, -30, -12), np.where(on, -35, -20)]) + rng.normal(0, 0.3, (2, 24, 24))
+        (tmp_path / "img" / f"S1_{k}.tif").write_bytes(tiff.encode(db.astype("f4"), (4.0, 0.001, 0.0, 55.0, 0.0, -0.001)))
+    pixels = tiff.read_pixels(spark, str(tmp_path / "img")).withColumnRenamed("name", "scene")
+    masks = pixels.select("scene", "row", "col", ((F.col("scene") == "S1_0") & F.col("row").between(4, 13) & F.col("col").between(6, 15)).cast("int").alias("y"))
+    model = learning.train_forest(raster.with_mask(raster.features(pixels, True), masks), trees=5, depth=5)
+    out = {r.scene: r for r in flows.run_scenes(spark, str(tmp_path / "img"), model, str(tmp_path / "out"), 0.5, 20, (24, 24)).collect()}
+    assert (out["S1_0"].n_polygons, out["S1_1"].n_polygons) == (1, 0) and out["S1_0"].total_area_km2 > 0 and out["S1_0"].as_expected
+    for k in ("preprocessed", "features", "mask"):
+        assert spark.read.parquet(out["S1_0"][k]).groupBy("scene").count().collect()[0]["count"] == 576
+    (p,) = files.read_polygons(spark, out["S1_0"].spills).collect()
+    assert abs(p.pixel_count - 100) <= 40 and p.georeferenced and p.coordinates[0][0] == p.coordinates[0][4]
+
+
 def test_scene_to_polygons(spark, tmp_path):
     (tmp_path / "img").mkdir()
     (tmp_path / "mask").mkdir()

@@ -5,6 +5,7 @@ import math
 import duckdb
 import pytest
 
+from tidemark.plans import exchange  # noqa: F401
 from tidemark.plans.queries import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"

@@ -59,6 +59,17 @@ def haversine_km(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Colu
     return EARTH_KM * 2 * F.atan2(F.sqrt(a), F.sqrt(1 - a))
 
 
+def unit_vector(lon: Column, lat: Column) -> tuple[Column, Column, Column]:
+    """A place as a point of the unit sphere; its chords order places as their distances do, without a sine each."""
+    x, y = F.radians(lon), F.radians(lat)
+    return F.cos(y) * F.cos(x), F.cos(y) * F.sin(x), F.sin(y)
+
+
+def chord_km(squared: Column) -> Column:
+    """Great-circle distance of two points of the unit sphere by their squared distance (null: null; rounding may put antipodes beyond 2)."""
+    return EARTH_KM * 2 * F.nanvl(F.asin(F.sqrt(squared) / 2), F.lit(math.pi / 2))
+
+
 def drift_velocity(current_u: float, current_v: float, wind_u: float, wind_v: float, leeway: float = LEEWAY, deflection: float = DEFLECTION) -> tuple[float, float]:
     """Net velocity: current plus leeway times the wind turned by the deflection (clockwise if negative)."""
     t = math.radians(deflection)

@@ -69,6 +69,26 @@ def report(df: DataFrame) -> DataFrame:
     return wide.select(F.inline(F.array(F.col("a"), F.col("b"), macro, weighted)))
 
 
+def label_values(df: DataFrame, by: list[str], label: str) -> DataFrame:
+    """The distinct labels of each group in order, as an array; labels are classes, so there are few."""
+    return df.groupBy(*by).agg(F.array_sort(F.collect_set(label)).alias("values"))
+
+
+def report_text(found: DataFrame, head: str) -> DataFrame:
+    """A text report (one row, `value`) of the rows of metrics(): the head's lines, scores to four places, the confusion matrix."""
+    four = lambda c: F.format_string("%.4f", c)
+    lines = [F.lit(head), *(F.concat(F.lit(f"  - {name}: "), four(c)) for name, c in (("Precision", "precision"), ("Recall", "recall"), ("F1-Score", "f1"), ("IoU", "iou"), ("Accuracy", "accuracy")))]
+    n = F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp")
+    counts = [F.concat(F.lit("Pixels: "), n), F.concat(F.lit("Positive: "), F.col("fn") + F.col("tp")), F.concat(F.lit("Predicted positive: "), F.col("fp") + F.col("tp"))]
+    cells = [F.concat(F.lit("[["), F.col("tn"), F.lit(" "), F.col("fp"), F.lit("] ["), F.col("fn"), F.lit(" "), F.col("tp"), F.lit("]]"))]
+    return found.select(F.concat_ws("\n", *lines, *counts, *cells).alias("value"))
+
+
+def class_text(rows: DataFrame) -> DataFrame:
+    """Text lines (label, value) of the rows of report()."""
+    return rows.select("label", F.format_string("%12s %.4f %.4f %.4f %d", "label", "precision", "recall", "f1", "support").alias("value"))
+
+
 def train_forest(df: DataFrame, label: str = "y", trees: int = 100, depth: int = 15, seed: int = 42):
     """A random forest with balanced class weights; save it by model.write().save(path)."""
     from pyspark.ml.classification import RandomForestClassifier
@@ -81,6 +101,11 @@ def train_forest(df: DataFrame, label: str = "y", trees: int = 100, depth: int =
     return RandomForestClassifier(labelCol=label, featuresCol="features", weightCol="weight", numTrees=trees, maxDepth=depth, featureSubsetStrategy="sqrt", seed=seed).fit(rows)
 
 
+def by_threshold(proba: Column, threshold: float) -> Column:
+    """1 where the probability reaches the threshold."""
+    return (proba >= threshold).cast("int")
+
+
 def score_forest(model, df: DataFrame, threshold: float = 0.3) -> DataFrame:
     """proba (of class 1), pred by the threshold (reached counts) and hard (by 0.5)."""
     from pyspark.ml.feature import VectorAssembler
@@ -88,4 +113,4 @@ def score_forest(model, df: DataFrame, threshold: float = 0.3) -> DataFrame:
 
     out = model.transform(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(df))
     p = vector_to_array("probability")[1]
-    return out.withColumns({"proba": p, "pred": (p >= threshold).cast("int"), "hard": F.col("prediction").cast("int")}).drop("features", "rawPrediction", "probability", "prediction")
+    return out.withColumns({"proba": p, "pred": by_threshold(p, threshold), "hard": F.col("prediction").cast("int")}).drop("features", "rawPrediction", "probability", "prediction")

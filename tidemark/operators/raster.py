@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalar as S
+from tidemark.plans.lineage import written
 
 from .graph import components
 
@@ -94,20 +95,19 @@ def with_mask(pixels: DataFrame, masks: DataFrame) -> DataFrame:
 
 
 def labelled(mask: DataFrame) -> DataFrame:
-    """The pixels (scene, row, col) of a mask with the component of each: its first pixel, row by row, as a long.
+    """The runs (scene, row, c0, c1) of a mask's pixels with the component of each: its first pixel's row and column.
 
-    Runs of a row are nodes; runs of neighbouring rows that overlap are joined (four neighbours).
+    Runs of a row are nodes, named by their place (a struct, so scenes may have any type and rasters any size); runs of
+    neighbouring rows that overlap are joined (four neighbours).
     """
     row = Window.partitionBy("scene", "row").orderBy("col")
     run = mask.select(*KEY).withColumn("_g", F.col("col") - F.row_number().over(row))
-    runs = run.groupBy("scene", "row", "_g").agg(F.min("col").alias("c0"), F.max("col").alias("c1"))
-    node = lambda r, c: F.shiftleft(F.col("scene").cast("long"), 40) + F.shiftleft(F.col(r).cast("long"), 20) + F.col(c)
-    runs = runs.withColumn("node", node("row", "c0"))
+    runs = run.groupBy("scene", "row", "_g").agg(F.min("col").alias("c0"), F.max("col").alias("c1")).drop("_g")
+    runs = written(runs.withColumn("node", F.struct("scene", "row", "c0")), "runs")
     above = runs.select("scene", (F.col("row") + 1).alias("row"), F.col("c0").alias("d0"), F.col("c1").alias("d1"), F.col("node").alias("b"))
     edges = runs.join(above, ["scene", "row"]).where("c0 <= d1 and d0 <= c1").select(F.col("node").alias("a"), "b")
-    roots = components(edges)
-    named = runs.join(roots, "node", "left").select("scene", "row", "c0", "c1", F.coalesce("root", "node").alias("component"))
-    return named
+    named = runs.join(components(edges), "node", "left").select("scene", "row", "c0", "c1", F.coalesce("root", "node").alias("component"))
+    return named.withColumn("component", F.struct(F.col("component.row").alias("row"), F.col("component.c0").alias("c0")))
 
 
 def component_stats(runs: DataFrame, min_pixels: int = 50) -> DataFrame:

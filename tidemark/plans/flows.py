@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import learning, raster
+from tidemark.sources import files, tiff
+
+from .lineage import written
 
 
 def build_dataset(pixels: DataFrame, masks: DataFrame, manifest: DataFrame, patch: int = 256, stride: int = 256) -> DataFrame:
@@ -44,3 +47,24 @@ def detect(model, pixels: DataFrame, scenes: DataFrame, threshold: float = 0.3,
     per = found.groupBy("scene").agg(F.count(F.lit(1)).alias("n"), F.sum("area_km2").alias("a"))
     summary = scenes.select("scene").join(per, "scene", "left").select("scene", F.coalesce("n", F.lit(0).cast("long")).alias("n_polygons"), F.coalesce("a", F.lit(0.0)).alias("total_area_km2"))
     return mask, found, summary
+
+
+def run_scenes(spark: SparkSession, images: str, model, out: str, threshold: float = 0.3, min_pixels: int = 50, shape: tuple[int, int] = (2048, 2048)) -> DataFrame:
+    """From rasters to outputs under `out`: preprocessed and features (Parquet by scene), mask, spills (a collection a scene, as text).
+
+    Returns the run's summary per scene: its shape, whether that is as expected, number of polygons, total area, and the
+    outputs' folders. Scenes are the files' names.
+    """
+    found = written(tiff.files(spark, images), "rasters")
+    pixels = tiff.pixels(found).withColumnRenamed("name", "scene")
+    known = tiff.info(found).withColumnRenamed("name", "scene")
+    folders = {k: f"{out.rstrip('/')}/{k}" for k in ("preprocessed", "features", "mask", "spills")}
+    raster.preprocess(pixels).write.partitionBy("scene").parquet(folders["preprocessed"])
+    raster.features(pixels).write.partitionBy("scene").parquet(folders["features"])
+    infer(model, pixels, threshold).write.partitionBy("scene").parquet(folders["mask"])
+    mask = spark.read.parquet(folders["mask"]).withColumn("scene", F.col("scene").cast("string"))
+    spills = written(polygonise(mask, known.select("scene", "gt"), min_pixels), "spills")
+    files.write_text(files.polygons_collection(spills, raster.ring()), folders["spills"])
+    per = spills.groupBy("scene").agg(F.count(F.lit(1)).alias("n"), F.sum("area_km2").alias("a"))
+    sized = known.select("scene", "height", "width", ((F.col("height") == shape[0]) & (F.col("width") == shape[1])).alias("as_expected")).join(per, "scene", "left")
+    return sized.select("scene", "height", "width", "as_expected", F.coalesce("n", F.lit(0).cast("long")).alias("n_polygons"), F.coalesce("a", F.lit(0.0)).alias("total_area_km2"), *(F.lit(v).alias(k) for k, v in folders.items()))

@@ -12,6 +12,7 @@ from tidemark.operators import incidents, learning, raster
 from tidemark.sources import files
 
 from . import surrogates as T
+from .lineage import written
 from .surrogates import AIS_SQL, MASK_SQL, PIXELS_SQL
 
 CURRENT, WIND = (0.12, 0.10), (4.5, 4.0)
@@ -87,6 +88,17 @@ def lee_despeckle_7x7(spark, sf_dir):
     return raster.lee(p, ["vv", "vh"], 7).select(*raster.KEY, *_r("vv", "vh", places=5))
 
 
+def _lee_sql() -> str:
+    """Despeckled bands, unrounded: scene, row, col, vv, vh."""
+    exact = "CASE WHEN t{0} = 0 THEN src.{0} ELSE m{0} + greatest(s{0} - m{0} * m{0}, 0) / (greatest(s{0} - m{0} * m{0}, 0) + t{0}) * (src.{0} - m{0}) END AS {0}"
+    return (
+        _stencil_sql(_BANDS, "avg(n.vv) AS mvv, avg(n.vh) AS mvh, avg(n.vv * n.vv) AS svv, avg(n.vh * n.vh) AS svh")
+        + f', tot AS (SELECT scene, var_pop(vv) AS tvv, var_pop(vh) AS tvh FROM src GROUP BY scene) SELECT src.scene, src."row", src.col, {exact.format("vv")}, {exact.format("vh")} FROM means JOIN src USING (scene, "row", col) JOIN tot USING (scene)'
+    )
+
+
+_LEE_NORM = f"SELECT scene, \"row\", col, {UNIT.format('(vv + 45e0) / 45e0')} AS vv_norm, {UNIT.format('(vh + 45e0) / 45e0')} AS vh_norm, {UNIT.format('(vv - vh + 10e0) / 25e0')} AS diff_norm FROM ({_lee_sql()})"
+
 _STD = UNIT.format("sqrt(greatest(s - m * m, 0e0)) / 0.15e0")
 
 
@@ -95,12 +107,12 @@ def texture_std(spark, sf_dir):
     return raster.features(T.pixels(spark, sf_dir)).select(*raster.KEY, *_r(*learning.FEATURES, places=5))
 
 
-@query()
+@query(_stencil_sql(_LEE_NORM, "avg(n.vv_norm) AS m, avg(n.vv_norm * n.vv_norm) AS s") + f'SELECT src.scene, src."row", src.col, round(vv_norm, 5) AS vv_norm, round(vh_norm, 5) AS vh_norm, round(diff_norm, 5) AS diff_norm, round({_STD}, 5) AS vv_std_norm FROM means JOIN src USING (scene, "row", col)')
 def features_despeckled(spark, sf_dir):
     return raster.features(T.pixels(spark, sf_dir), despeckle=True).select(*raster.KEY, *_r(*learning.FEATURES, places=5))
 
 
-@query()
+@query(f'SELECT scene, "row", col, round(vv_norm, 5) AS vv_norm, round(vh_norm, 5) AS vh_norm FROM ({_LEE_NORM})')
 def preprocess_scene(spark, sf_dir):
     return raster.preprocess(T.pixels(spark, sf_dir)).select(*raster.KEY, *_r("vv_norm", "vh_norm", places=5))
 
@@ -230,7 +242,7 @@ def spill_summary(spark, sf_dir):
 
 @query(f"WITH RECURSIVE {_COMPONENTS}, {_KEPT.format(12)} SELECT scene, component_id, pixel_count FROM kept QUALIFY row_number() OVER (PARTITION BY scene ORDER BY pixel_count DESC, component_id) = 1")
 def primary_spill(spark, sf_dir):
-    return incidents.primary_spill(_spills(spark, sf_dir), ["scene"])
+    return incidents.primary_spill(_spills(spark, sf_dir), ["scene"]).select("scene", "component_id", "pixel_count")
 
 
 def _origins(spark, sf_dir):
@@ -297,42 +309,121 @@ def vessel_top3(spark, sf_dir):
     return incidents.top_candidates(incidents.vessel_candidates(T.ais(spark, sf_dir), T.ORIGIN, hindcast_points())).select(*_CANDIDATE)
 
 
+def _cross(points: str) -> str:
+    """near: a row per incident and vessel, with distances to the centroid (ox, oy) and to the nearest of `points` (incident_id, x, y)."""
+    return f"""near AS (SELECT incident_id, ordinal, mmsi, vessel_type, sog_knots, {_hav('ox', 'oy')} AS dc, min({_hav('x', 'y')}) AS dt FROM ais CROSS JOIN ({points}) GROUP BY ALL),
+ranked AS (SELECT incident_id, ordinal, mmsi, vessel_type, sog_knots, round(dc, 2) AS distance_to_spill_km, round(dt, 2) AS distance_to_drift_track_km, {_SCORE} AS attribution_score,
+  '[REAL_AIS_OBSERVATION] Proximity ' || round(least(dc, dt), 1) || 'km, Category ' || vessel_type || ', SOG ' || sog_knots || ' kts' AS evidence_summary FROM near WHERE least(dc, dt) <= 25)"""
+
+
+_MANY = f"""{AIS_SQL}, {_TRACK}, {_cross("SELECT spill_id AS incident_id, x, y, ox, oy FROM (SELECT spill_id, CASE step WHEN 0 THEN lon ELSE round(lon, 6) END AS x, CASE step WHEN 0 THEN lat ELSE round(lat, 6) END AS y, first(lon ORDER BY step) OVER (PARTITION BY spill_id ORDER BY step) AS ox, first(lat ORDER BY step) OVER (PARTITION BY spill_id ORDER BY step) AS oy FROM track WHERE mode = 'hindcast')")}"""
+
+
+def _many(spark, sf_dir):
+    o = _origins(spark, sf_dir).where("mode = 'hindcast'").select(F.col("spill_id").alias("incident_id"), "lon", "lat", "ts")
+    return incidents.incident_tracks(o, 12, CURRENT, WIND)
+
+
+@query(f"WITH RECURSIVE {_MANY} SELECT incident_id, ordinal, mmsi, vessel_type, distance_to_spill_km, distance_to_drift_track_km, attribution_score, evidence_summary FROM ranked")
+def vessel_rank_many(spark, sf_dir):
+    return incidents.incident_candidates(_many(spark, sf_dir), T.ais(spark, sf_dir)).select("incident_id", *_CANDIDATE, "evidence_summary")
+
+
+@query(f"""WITH RECURSIVE {_MANY} SELECT incident_id, min(ox) AS lon, min(oy) AS lat, CAST(49 AS INTEGER) AS track_points, TRUE AS real_ais, '{incidents.LEGAL}' AS legal_disclaimer, '{incidents.AIS_NOTE}' AS provenance_disclaimer, count(mmsi) AS n_candidates,
+string_agg(CAST(mmsi AS VARCHAR), ',' ORDER BY attribution_score DESC, ordinal) AS ranked, arg_min(evidence_summary, (-attribution_score, ordinal)) AS first_evidence
+FROM (SELECT DISTINCT spill_id AS incident_id, 4.035e0 + spill_id * 0.1e0 AS ox, 55.243e0 + spill_id * 0.05e0 AS oy FROM track) LEFT JOIN ranked USING (incident_id) GROUP BY incident_id""")
+def attribution_report(spark, sf_dir):
+    """The report as JSON text, and what a reader gets from it."""
+    sites = _many(spark, sf_dir)
+    r = incidents.attribution_report(sites, incidents.incident_candidates(sites, T.ais(spark, sf_dir)))
+    schema = r.schema["report"].dataType
+    r = r.select("incident_id", F.from_json(F.to_json("report", {"ignoreNullFields": "false"}), schema).alias("r"))
+    got = F.col("r.candidates_ranked")
+    return r.select(
+        "incident_id", F.col("r.spill_origin")[0].alias("lon"), F.col("r.spill_origin")[1].alias("lat"), F.col("r.hindcast_track_points").alias("track_points"), F.col("r.real_ais_data_present").alias("real_ais"),
+        F.col("r.legal_disclaimer").alias("legal_disclaimer"), F.col("r.provenance_disclaimer").alias("provenance_disclaimer"), F.size(got).cast("long").alias("n_candidates"),
+        F.array_join(F.transform(got, lambda x: x["mmsi"].cast("string")), ",").alias("ranked"), F.try_element_at(got, F.lit(1))["evidence_summary"].alias("first_evidence"),
+    )
+
+
 def dossiers(spark, sf_dir) -> DataFrame:
-    """A dossier per scene: its spills, the tracks of spill_id = scene, and candidates for scenes below 3."""
+    """A dossier per scene: its spills, tracks from its primary spill where that is georeferenced, and vessels near those."""
     spills = _spills(spark, sf_dir)
-    first = incidents.primary_spill(spills, ["scene"]).select("scene", F.struct("component_id", "pixel_count").alias("primary"))
-    summary = incidents.spill_summary(spills, ["scene"]).join(first, "scene").withColumnRenamed("scene", "incident_id")
-    ends = incidents.endpoints(incidents.drift(_origins(spark, sf_dir), 12, CURRENT, WIND), ["spill_id", "mode"]).withColumnRenamed("spill_id", "incident_id")
-    scored = incidents.vessel_candidates(T.ais(spark, sf_dir), T.ORIGIN, hindcast_points())
-    top = incidents.top_candidates(scored).agg(F.sort_array(F.collect_list(F.struct("attribution_score", "mmsi")), asc=False).alias("priority"))
-    ships = scored.agg(F.count(F.lit(1)).alias("n_candidates")).join(top).withColumn("real_ais", F.lit(True)).withColumn("incident_id", F.explode(F.array(*(F.lit(i) for i in range(3)))))
+    first = incidents.primary_spill(spills, ["scene"]).withColumnRenamed("scene", "incident_id")
+    first = written(first, "primary-spills")
+    origins = first.where("georeferenced").select("incident_id", F.col("centroid_x").alias("lon"), F.col("centroid_y").alias("lat"), F.expr("timestamp_ntz'2026-09-16 12:00:00'").alias("ts"))
+    ends = lambda mode: incidents.endpoints(incidents.drift(origins.withColumn("mode", F.lit(mode)), 12, CURRENT, WIND), ["incident_id"])
+    sites = incidents.incident_tracks(origins, 12, CURRENT, WIND)
+    ships = incidents.attribution_summary(sites, written(incidents.incident_candidates(sites, T.ais(spark, sf_dir)), "candidates"))
+    summary = incidents.spill_summary(spills, ["scene"]).withColumnRenamed("scene", "incident_id")
     scenes = T.pixels(spark, sf_dir).select(F.col("scene").alias("incident_id")).distinct()
-    of = lambda m: ends.where(F.col("mode") == m).drop("mode")
-    return incidents.dossier(scenes, summary, of("hindcast"), of("forecast"), ships)
+    return incidents.dossier(scenes, summary, first, ends("hindcast"), ends("forecast"), ships, F.lit("2026-09-17 15:48:50.684998").cast("timestamp"))
 
 
-@query(f"""WITH RECURSIVE {_COMPONENTS}, {_KEPT.format(12)}, {_SPILLS}, {_DIST}, {_RANKED}, s AS (SELECT scene, count(*) AS n_spills, sum(coalesce(area_km2, 0)) AS area FROM spills GROUP BY scene)
-SELECT i.scene AS incident_id, coalesce(n_spills, 0) AS n_spills, round(area, 4) AS area_km2, r_regionkey IS NOT NULL AS has_hindcast, CASE WHEN i.scene < 3 THEN (SELECT count(*) FROM ranked) END AS n_candidates,
-round(CASE WHEN n_spills > 0 THEN 0.5e0 ELSE 0 END + CASE WHEN r_regionkey IS NOT NULL THEN 0.25e0 ELSE 0 END + CASE WHEN i.scene < 3 THEN 0.25e0 ELSE 0.05e0 END, 2) AS confidence
-FROM (SELECT DISTINCT event_id // 1000 AS scene FROM events) i LEFT JOIN s ON s.scene = i.scene LEFT JOIN region ON r_regionkey = i.scene""")
+_PRIMARY = f"""prim AS (SELECT * FROM spills QUALIFY row_number() OVER (PARTITION BY scene ORDER BY pixel_count DESC, component_id) = 1),
+track(incident_id, mode, sgn, step, lon, lat, ox, oy) AS (SELECT scene, m, CASE m WHEN 'hindcast' THEN -1e0 ELSE 1e0 END, 0, centroid_x, centroid_y, centroid_x, centroid_y FROM prim, (VALUES ('hindcast'), ('forecast')) v(m) WHERE georeferenced
+UNION ALL SELECT incident_id, mode, sgn, step + 1, lon + {_U!r}e0 * 900 * sgn / (111412.84e0 * cos(radians(lat))), lat + {_V!r}e0 * 900 * sgn / (111132.92e0 - 559.82e0 * cos(2 * radians(lat))), ox, oy FROM track WHERE step < 48),
+ends AS (SELECT incident_id, mode, round(arg_max(lon, step), 6) AS x, round(arg_max(lat, step), 6) AS y FROM track GROUP BY ALL)"""
+_NEAR_PRIMARY = _cross("SELECT incident_id, ox, oy, CASE step WHEN 0 THEN lon ELSE round(lon, 6) END AS x, CASE step WHEN 0 THEN lat ELSE round(lat, 6) END AS y FROM track WHERE mode = 'hindcast'")
+_DOSSIERS = f"""WITH RECURSIVE {_COMPONENTS}, {_KEPT.format(12)}, {_SPILLS}, {AIS_SQL}, {_PRIMARY}, {_NEAR_PRIMARY}, s AS (SELECT scene, count(*) AS n_spills, sum(coalesce(area_km2, 0)) AS area FROM spills GROUP BY scene),
+r AS (SELECT incident_id, count(*) AS n FROM ranked GROUP BY incident_id), t AS (SELECT incident_id, string_agg(CAST(mmsi AS VARCHAR), ',' ORDER BY place) AS priority, min(evidence_summary) FILTER (place = 1) AS evidence
+  FROM (SELECT *, row_number() OVER (PARTITION BY incident_id ORDER BY attribution_score DESC, ordinal) AS place FROM ranked) WHERE place <= 3 GROUP BY incident_id),
+d AS (SELECT i.scene AS incident_id, n_spills, area, p.*, h.x AS hx, h.y AS hy, f.x AS fx, f.y AS fy, CASE WHEN h.x IS NOT NULL THEN coalesce(r.n, 0) END AS n_candidates, priority, evidence,
+  round(CASE WHEN n_spills > 0 THEN 0.5e0 ELSE 0 END + CASE WHEN h.x IS NOT NULL THEN 0.5e0 ELSE 0.05e0 END, 2) AS confidence
+FROM (SELECT DISTINCT event_id // 1000 AS scene FROM events) i LEFT JOIN s ON s.scene = i.scene LEFT JOIN prim p ON p.scene = i.scene LEFT JOIN ends h ON h.incident_id = i.scene AND h.mode = 'hindcast'
+LEFT JOIN ends f ON f.incident_id = i.scene AND f.mode = 'forecast' LEFT JOIN r ON r.incident_id = i.scene LEFT JOIN t ON t.incident_id = i.scene)"""
+
+
+@query(f"{_DOSSIERS} SELECT incident_id, coalesce(n_spills, 0) AS n_spills, round(area, 2) AS area_km2, hx IS NOT NULL AS has_hindcast, n_candidates, confidence FROM d")
 def dossier_flat(spark, sf_dir):
     return incidents.flat(dossiers(spark, sf_dir))
 
 
-@query()
+@query(f"""{_DOSSIERS} SELECT incident_id, 'INCIDENT-20260917-154850' AS dossier_id, '2026-09-17T15:48:50.684998Z' AS generated_utc, 'v1.0' AS pipeline_version, '{incidents.PROVENANCE["drift_model"]}' AS drift_model, CASE WHEN n_spills IS NULL THEN 'DATA_NOT_FOUND' END AS spill_status,
+n_spills AS components, round(area, 2) AS area_km2, component_id, pixel_count, area_km2 AS primary_area_km2, round(centroid_x, 6) AS centroid_lon, round(centroid_y, 6) AS centroid_lat, round(bbox_min_x, 6) AS west, round(bbox_max_y, 6) AS north,
+hx IS NOT NULL AS hindcast_available, hx AS origin_lon, hy AS origin_lat, CASE WHEN hx IS NOT NULL THEN 12e0 END AS duration_hours, fx AS impact_lon, fy AS impact_lat, CASE WHEN hx IS NULL THEN 'NO_ATTRIBUTION_DATA' END AS vessel_status, n_candidates,
+CASE WHEN hx IS NOT NULL THEN TRUE END AS real_ais, CASE WHEN hx IS NOT NULL THEN '{incidents.LEGAL}' END AS disclaimer, CASE WHEN hx IS NOT NULL THEN coalesce(priority, '') END AS priority, evidence, confidence, '{incidents.SCALE}' AS scale, CAST(2 AS INTEGER) AS n_gaps FROM d""")
 def dossier_document(spark, sf_dir):
+    """The documents as JSON text, and what a reader gets from them."""
     d = dossiers(spark, sf_dir)
-    return d.select("incident_id", F.to_json(F.struct(*d.columns), {"ignoreNullFields": "false"}).alias("document"))
-
-
-@query()
+    body = F.struct(*(c for c in d.columns if c != "incident_id"))
+    schema = d.select(body.alias("x")).schema["x"].dataType
+    j = d.select("incident_id", F.from_json(F.to_json(body, {"ignoreNullFields": "false"}), schema).alias("j"))
+    s, t, v, f = (F.col(f"j.{n}") for n in ("sar_detection_summary", "drift_analysis", "vessel_attribution_summary", "fusion_confidence"))
+    p, r = s["primary_slick"], lambda c, n: F.round(c, 6).alias(n)
+    return j.select(
+        "incident_id", "j.dossier_id", "j.generated_utc", "j.pipeline_version", F.col("j.data_provenance.drift_model").alias("drift_model"), s["status"].alias("spill_status"),
+        s["total_slick_components"].alias("components"), s["total_estimated_area_km2"].alias("area_km2"), p["component_id"].alias("component_id"), p["pixel_count"].alias("pixel_count"), p["area_km2"].alias("primary_area_km2"),
+        r(p["centroid_lon_lat"][0], "centroid_lon"), r(p["centroid_lon_lat"][1], "centroid_lat"), r(p["bounding_box"][0][0], "west"), r(p["bounding_box"][1][1], "north"), t["hindcast_available"].alias("hindcast_available"),
+        r(t["estimated_origin_coords"][0], "origin_lon"), r(t["estimated_origin_coords"][1], "origin_lat"), t["hindcast_duration_hours"].alias("duration_hours"), r(t["projected_impact_coords_12h"][0], "impact_lon"), r(t["projected_impact_coords_12h"][1], "impact_lat"),
+        v["status"].alias("vessel_status"), v["evaluated_candidates_count"].alias("n_candidates"), v["real_ais_verified"].alias("real_ais"), v["legal_disclaimer"].alias("disclaimer"),
+        F.array_join(F.transform(v["priority_vessels"], lambda x: x["mmsi"].cast("string")), ",").alias("priority"), F.try_element_at(v["priority_vessels"], F.lit(1))["evidence_summary"].alias("evidence"),
+        f["overall_confidence_score"].alias("confidence"), f["scale"].alias("scale"), F.size(f["data_gaps"]).alias("n_gaps"),
+    )
+
+
+@query(f"""WITH RECURSIVE {_TRACK} SELECT spill_id, mode, 'FeatureCollection' AS type, '{files.CRS}' AS crs, 'LineString' AS geometry, CAST(count(*) AS INTEGER) AS n_points, strftime(TIMESTAMP '2026-09-16 12:00:00', '%Y-%m-%dT%H:%M:%S') AS start_time,
+strftime(TIMESTAMP '2026-09-16 12:00:00' + to_minutes(CAST(max(step) * min(sgn) * 15 AS INTEGER)), '%Y-%m-%dT%H:%M:%S') AS end_time, round(max(step) * 15 / 60e0, 2) AS duration_hours,
+round(arg_min(lon, step), 6) AS origin_lon, round(arg_min(lat, step), 6) AS origin_lat, round(arg_max(lon, step), 6) AS terminal_lon, round(arg_max(lat, step), 6) AS terminal_lat FROM track GROUP BY ALL""")
 def geojson_tracks(spark, sf_dir):
-    return files.track_geojson(incidents.drift(_origins(spark, sf_dir), 12, CURRENT, WIND).drop("ts"), ["spill_id", "mode"])
-
-
-@query()
+    """The collections as text, and what a reader gets from them."""
+    g = files.track_geojson(incidents.drift(_origins(spark, sf_dir), 12, CURRENT, WIND), ["spill_id", "mode"])
+    schema = "type string, crs struct<properties:struct<name:string>>, features array<struct<geometry:struct<type:string,coordinates:array<array<double>>>,properties:struct<mode:string,start_time:string,end_time:string,duration_hours:double,origin_coords:array<double>,terminal_coords:array<double>>>>"
+    g = g.select("spill_id", F.from_json("value", schema).alias("j")).select("spill_id", "j.type", F.col("j.crs.properties.name").alias("crs"), F.col("j.features")[0].alias("f"))
+    p, r = F.col("f.properties"), lambda c, n: F.round(c, 6).alias(n)
+    return g.select(
+        "spill_id", p["mode"].alias("mode"), "type", "crs", F.col("f.geometry.type").alias("geometry"), F.size("f.geometry.coordinates").alias("n_points"), p["start_time"].alias("start_time"), p["end_time"].alias("end_time"),
+        p["duration_hours"].alias("duration_hours"), r(p["origin_coords"][0], "origin_lon"), r(p["origin_coords"][1], "origin_lat"), r(p["terminal_coords"][0], "terminal_lon"), r(p["terminal_coords"][1], "terminal_lat"),
+    )
+
+
+@query(f"""WITH RECURSIVE {_COMPONENTS}, {_KEPT.format(12)}, {_SPILLS} SELECT scene, CAST(component_id AS BIGINT) AS component_id, pixel_count, {', '.join(f'round({b}, 6) AS {b}' for b in _BOX)}, area_km2, georeferenced, CAST(5 AS INTEGER) AS corners, TRUE AS closed, round(bbox_min_x, 6) AS left_x, round(bbox_max_y, 6) AS top_y, round(bbox_max_x, 6) AS right_x, round(bbox_min_y, 6) AS bottom_y FROM spills""")
 def geojson_polygons(spark, sf_dir):
-    return files.polygons_geojson(_spills(spark, sf_dir), raster.ring())
+    """One collection per scene as text, and what a reader gets from it."""
+    g = files.polygons_collection(_spills(spark, sf_dir), raster.ring())
+    g = g.select("scene", F.explode(F.from_json("value", files.POLYGONS)["features"]).alias("f")).select("scene", "f.properties.*", F.col("f.geometry.coordinates")[0].alias("c"))
+    at = lambda i, k, n: F.round(F.col("c")[i][k], 6).alias(n)
+    return g.select("scene", "component_id", "pixel_count", *_r(*_BOX), "area_km2", "georeferenced", F.size("c").alias("corners"), (F.col("c")[0] == F.col("c")[4]).alias("closed"), at(0, 0, "left_x"), at(0, 1, "top_y"), at(2, 0, "right_x"), at(2, 1, "bottom_y"))
 
 
 @query("SELECT lang AS class, count(*) AS n_files, CAST(sum(n_chars) AS BIGINT) AS n_bytes FROM documents GROUP BY ROLLUP (lang)")

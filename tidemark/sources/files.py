@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.plans.lineage import written
+
 MANIFEST = "filename string, class string, image_path string, mask_path string, dimensions string, channels int, VV_available boolean, VH_available boolean, georeferenced boolean, valid string, notes string"
 AIS = "mmsi long, vessel_name string, vessel_type string, lon double, lat double, sog_knots double, cog double"
 TRACK = "type string, features array<struct<type:string,geometry:struct<type:string,coordinates:array<array<double>>>,properties:map<string,string>>>"
+RANKED = "mmsi long, vessel_name string, vessel_type string, distance_to_spill_km double, distance_to_drift_track_km double, sog_knots double, cog_degrees double, attribution_score double, data_provenance string, evidence_summary string"
 RASTER = "path string, row int, col int, vv float, vh float"
 
 
@@ -42,28 +45,74 @@ def load_ais(spark: SparkSession, path: str | None, lon: float, lat: float) -> t
         df, made = spark.read.csv(path, header=True, schema=AIS), False
     else:
         df, made = spark.read.schema(AIS).option("multiLine", True).json(path), False
-    return df.withColumn("ordinal", F.monotonically_increasing_id()), made
+    return df.withColumn("ordinal", F.monotonically_increasing_id()) if made else _numbered(df), made
+
+
+def _numbered(df: DataFrame) -> DataFrame:
+    """Rows with an ordinal that follows the input: files by name, then blocks of a file, then rows, however files are dealt to tasks."""
+    place = df.select("*", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_i"))
+    at = written(place, "vessels")
+    blocks = at.groupBy("_f", "_b").agg(F.count(F.lit(1)).alias("_n"), F.min("_i").alias("_o"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_f", "_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row per block of a file
+    blocks = blocks.select("_f", "_b", "_o", before.alias("_before"))
+    return at.join(blocks, ["_f", "_b"]).withColumn("ordinal", F.col("_before") + F.col("_i") - F.col("_o")).drop("_f", "_b", "_i", "_o", "_before")
 
 
 def read_track(spark: SparkSession, path: str) -> DataFrame:
-    """step, lon, lat of the first feature of a GeoJSON track."""
-    points = spark.read.schema(TRACK).option("multiLine", True).json(path).select(F.posexplode(F.col("features")[0]["geometry"]["coordinates"]).alias("step", "p"))
-    return points.select("step", F.col("p")[0].alias("lon"), F.col("p")[1].alias("lat"))
+    """step, lon, lat of the first feature of GeoJSON tracks (one a file), after the columns that folders like mode=hindcast name."""
+    docs = spark.read.schema(TRACK).option("multiLine", True).json(path)
+    by = [c for c in docs.columns if c not in ("type", "features")]
+    points = docs.select(*by, F.posexplode(F.col("features")[0]["geometry"]["coordinates"]).alias("step", "p"))
+    return points.select(*by, "step", F.col("p")[0].alias("lon"), F.col("p")[1].alias("lat"))
+
+
+# Fixed value of the format: the reference system that feature collections name.
+CRS = "urn:ogc:def:crs:OGC:1.3:CRS84"
+
+
+def _collection(features: Column) -> Column:
+    crs = F.struct(F.lit("name").alias("type"), F.struct(F.lit(CRS).alias("name")).alias("properties"))
+    return F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), crs.alias("crs"), features.alias("features")), {"ignoreNullFields": "false"}).alias("value")
 
 
 def track_geojson(track: DataFrame, by: list[str]) -> DataFrame:
-    """One feature collection (text) per track."""
-    line = F.transform(F.array_sort(F.collect_list(F.struct("step", "lon", "lat"))), lambda p: F.array(p["lon"], p["lat"]))
-    df = track.groupBy(*by).agg(line.alias("coordinates"))
-    feature = F.struct(F.lit("Feature").alias("type"), F.struct(F.lit("LineString").alias("type"), F.col("coordinates")).alias("geometry"), F.struct(*by, F.element_at("coordinates", 1).alias("origin_coords"), F.element_at("coordinates", -1).alias("terminal_coords")).alias("properties"))
-    return df.select(*by, F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), F.array(feature).alias("features")), {"ignoreNullFields": "false"}).alias("value"))
+    """One feature collection (text) per track; `by` has its mode, times are properties where the track has ts."""
+    times = ["ts"] if "ts" in track.columns else []
+    points = F.array_sort(F.collect_list(F.struct("step", "lon", "lat", "step_hours", *times)))
+    df = track.groupBy(*by).agg(points.alias("p"))
+    first, last = F.element_at("p", 1), F.element_at("p", -1)
+    place = lambda p: F.array(p["lon"], p["lat"])
+    iso = lambda p: F.date_format(p["ts"], "yyyy-MM-dd'T'HH:mm:ss")
+    when = [iso(first).alias("start_time"), iso(last).alias("end_time")] if times else []
+    properties = F.struct(*by, *when, last["step_hours"].alias("duration_hours"), place(first).alias("origin_coords"), place(last).alias("terminal_coords"))
+    line = F.struct(F.lit("LineString").alias("type"), F.transform("p", place).alias("coordinates"))
+    return df.select(*by, _collection(F.array(F.struct(F.lit("Feature").alias("type"), line.alias("geometry"), properties.alias("properties")))))
+
+
+def _polygon(polygons: DataFrame, ring: Column) -> Column:
+    names = [c for c in polygons.columns if c != "scene"]
+    return F.struct(F.lit("Feature").alias("type"), F.struct(F.lit("Polygon").alias("type"), ring.alias("coordinates")).alias("geometry"), F.struct(*names).alias("properties"))
 
 
-def polygons_geojson(polygons: DataFrame, ring) -> DataFrame:
+def polygons_geojson(polygons: DataFrame, ring: Column) -> DataFrame:
     """One feature (text) per polygon; null properties are kept. Lines of features scale where one collection would not."""
-    names = [c for c in polygons.columns if c != "scene"]
-    feature = F.struct(F.lit("Feature").alias("type"), F.struct(F.lit("Polygon").alias("type"), ring.alias("coordinates")).alias("geometry"), F.struct(*names).alias("properties"))
-    return polygons.select("scene", "component_id", F.to_json(feature, {"ignoreNullFields": "false"}).alias("value"))
+    return polygons.select("scene", "component_id", F.to_json(_polygon(polygons, ring), {"ignoreNullFields": "false"}).alias("value"))
+
+
+def polygons_collection(polygons: DataFrame, ring: Column) -> DataFrame:
+    """One feature collection (text) per scene, its features in the components' order."""
+    features = F.array_sort(F.collect_list(F.struct("component_id", _polygon(polygons, ring).alias("f"))))
+    return polygons.groupBy("scene").agg(features.alias("f")).select("scene", _collection(F.transform("f", lambda x: x["f"])))
+
+
+POLYGONS = "type string, crs struct<type:string,properties:struct<name:string>>, features array<struct<type:string,geometry:struct<type:string,coordinates:array<array<array<double>>>>,properties:struct<component_id:long,pixel_count:long,centroid_x:double,centroid_y:double,bbox_min_x:double,bbox_min_y:double,bbox_max_x:double,bbox_max_y:double,area_km2:double,georeferenced:boolean>>>"
+
+
+def read_polygons(spark: SparkSession, path: str) -> DataFrame:
+    """The features of polygon collections (one document a line, or one a file): properties and coordinates."""
+    docs = spark.read.text(path, wholetext=True).select(F.explode(F.split("value", "\n(?=\\{\"type\")")).alias("value"))
+    f = docs.select(F.explode(F.from_json("value", POLYGONS)["features"]).alias("f"))
+    return f.select("f.properties.*", F.col("f.geometry.coordinates").alias("coordinates"))
 
 
 def read_json_safe(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -92,5 +141,33 @@ def write_ranked_csv(df: DataFrame, path: str) -> None:
     df.orderBy(F.desc("attribution_score"), "ordinal").drop("ordinal").coalesce(1).write.csv(path, header=True)
 
 
+def read_ranked_csv(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.csv(path, header=True, schema=RANKED)
+
+
+def write_dataset(df: DataFrame, path: str) -> None:
+    """The patches of a data set, a folder per split, so that reading one split reads nothing of the others."""
+    df.write.partitionBy("split").parquet(path)
+
+
+def read_split(spark: SparkSession, path: str, split: str) -> DataFrame:
+    return spark.read.parquet(path).where(F.col("split") == split)
+
+
+def read_text(spark: SparkSession, path: str) -> DataFrame:
+    """Whole text files, such as reports: path, value."""
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+
+
+def save_model(model, path: str) -> None:
+    model.write().overwrite().save(path)
+
+
+def load_model(path: str):
+    from pyspark.ml.classification import RandomForestClassificationModel
+
+    return RandomForestClassificationModel.load(path)
+
+
 def write_text(df: DataFrame, path: str) -> None:
     df.select("value").write.text(path)

@@ -1,7 +1,8 @@
 """TIFF rasters as relations: pixels of two bands, masks, and what the tags say (shape, geotransform, geo tags).
 
 Classic TIFF of either byte order, in strips or tiles, bands interleaved or apart, plain or deflated, with the horizontal
-predictor for integers. Other encodings raise. A task decodes one file at a time and hands on one line at a time.
+predictor for integers. Other encodings raise. A task decodes one file at a time and hands on one line at a time; how many
+files' bytes a batch brings is spark.sql.execution.arrow.maxBytesPerBatch, for the session to set.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ import struct
 import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -89,13 +91,53 @@ def geotransform(t: dict[int, tuple]) -> tuple[float, ...] | None:
     return None if gt == IDENTITY else gt
 
 
-def _files(spark: SparkSession, path: str) -> DataFrame:
-    # A row of content is a file: one row per batch keeps one file in a worker.
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
+def encode(bands: np.ndarray, gt: tuple[float, ...] | None = None) -> bytes:
+    """A little-endian TIFF of (bands, height, width) in deflated strips of a line, bands interleaved, with a transformation tag."""
+    n, height, width = bands.shape
+    kind = {"u": 1, "i": 2, "f": 3}[bands.dtype.kind]
+    lines = np.ascontiguousarray(np.moveaxis(bands, 0, 2)).astype(bands.dtype.newbyteorder("<"))
+    strips = [zlib.compress(line.tobytes(), 1) for line in lines]
+    body = b"".join(strips) + bytes(sum(map(len, strips)) % 2)
+    offsets = [8, *(8 + np.cumsum([len(x) for x in strips])[:-1]).tolist()] if strips else []
+    fields = [(256, 4, [width]), (257, 4, [height]), (258, 3, [8 * bands.dtype.itemsize] * n), (259, 3, [8]), (273, 4, offsets), (277, 3, [n]), (278, 4, [1]), (279, 4, [len(x) for x in strips]), (284, 3, [1]), (339, 3, [kind] * n)]
+    if gt:
+        ox, rx, kx, oy, ky, ry = gt
+        fields.append((34264, 12, [rx, kx, 0.0, ox, ky, ry, 0.0, oy, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 1.0]))
+    at = 8 + len(body)
+    entries, far = b"", b""
+    for tag, code, values in fields:
+        raw = struct.pack(f"<{len(values)}{FIELDS[code]}", *values)
+        place = raw.ljust(4, b"\0") if len(raw) <= 4 else struct.pack("<I", at + 2 + 12 * len(fields) + 4 + len(far))
+        far += raw + bytes(len(raw) % 2) if len(raw) > 4 else b""
+        entries += struct.pack("<HHI", tag, code, len(values)) + place
+    return b"II" + struct.pack("<HI", 42, at) + body + struct.pack("<H", len(fields)) + entries + bytes(4) + far
+
+
+def encoded(pixels: DataFrame, bands: list[str], scenes: DataFrame | None = None) -> DataFrame:
+    """name and content: a float32 TIFF per scene, every pixel present. A file is one scene, so a task holds one scene at a time.
+
+    scenes: scene and gt (null: none), where files are to carry a geotransform.
+    """
+    df = pixels.select(F.col("scene").cast("string").alias("name"), "row", "col", *bands)
+    gt = scenes.select(F.col("scene").cast("string").alias("name"), "gt") if scenes is not None else pixels.sparkSession.createDataFrame([], "name string, gt struct<ox:double>")
+
+    def run(key, left, right):
+        h, w = int(left["row"].max()) + 1, int(left["col"].max()) + 1
+        out = np.zeros((len(bands), h, w), np.float32)
+        for i, b in enumerate(bands):
+            out[i, left["row"], left["col"]] = left[b]
+        t = right["gt"].iloc[0] if len(right) else None
+        return pd.DataFrame({"name": [key[0]], "content": [encode(out, tuple(t[k] for k in ("ox", "rx", "kx", "oy", "ky", "ry")) if t else None)]})
+
+    return df.groupBy("name").cogroup(gt.groupBy("name")).applyInPandas(run, "name string, content binary") if scenes is not None else df.groupBy("name").applyInPandas(lambda key, left: run(key, left, ()), "name string, content binary")
+
+
+def files(spark: SparkSession, path: str) -> DataFrame:
+    """name (without folders and extension) and content of the files of a path."""
     return spark.read.format("binaryFile").load(path).select(S.base_name(F.col("path")).alias("name"), "content")
 
 
-def _lines(spark, path, schema, columns):
+def _lines(found, schema, columns):
     def run(batches):
         for batch in batches:
             for name, content in zip(batch.column(0), batch.column(1)):
@@ -105,26 +147,43 @@ def _lines(spark, path, schema, columns):
                     values = [pa.array(v) for v in columns(bands, r)]
                     yield pa.RecordBatch.from_arrays([pa.array([name.as_py()] * n), pa.array(np.full(n, r, np.int32)), pa.array(np.arange(n, dtype=np.int32)), *values], names=[x.split()[0] for x in schema.split(", ")])
 
-    return _files(spark, path).mapInArrow(run, schema)
+    return found.mapInArrow(run, schema)
 
 
-def read_pixels(spark: SparkSession, path: str) -> DataFrame:
-    """name (of the file), row, col, vv and vh of two-band rasters; further bands are left out."""
+def pixels(found: DataFrame) -> DataFrame:
+    """name (of the file), row, col, vv and vh of two-band rasters (name, content); further bands are left out."""
 
     def columns(bands, r):
         if len(bands) < 2:
             raise ValueError("a scene has two bands")
         return bands[0, r].astype(np.float32), bands[1, r].astype(np.float32)
 
-    return _lines(spark, path, PIXELS, columns)
+    return _lines(found, PIXELS, columns)
 
 
-def read_masks(spark: SparkSession, path: str) -> DataFrame:
+def masks(found: DataFrame) -> DataFrame:
     """name, row, col and y, 1 where the first band is positive."""
-    return _lines(spark, path, MASKS, lambda bands, r: ((bands[0, r] > 0).astype(np.int32),))
+    return _lines(found, MASKS, lambda bands, r: ((bands[0, r] > 0).astype(np.int32),))
+
+
+def read_pixels(spark: SparkSession, path: str) -> DataFrame:
+    return pixels(files(spark, path))
+
+
+def read_masks(spark: SparkSession, path: str) -> DataFrame:
+    return masks(files(spark, path))
 
 
 def read_info(spark: SparkSession, path: str) -> DataFrame:
+    return info(files(spark, path))
+
+
+def unexpected_shapes(found: DataFrame, height: int = 2048, width: int = 2048) -> DataFrame:
+    """Of info() the rasters of another shape than scenes should have."""
+    return found.where((F.col("height") != height) | (F.col("width") != width))
+
+
+def info(found: DataFrame) -> DataFrame:
     """Shape, sample type, geotransform (null without one) and geo tags of every raster; pixels aren't decoded."""
 
     def run(batches):
@@ -139,4 +198,4 @@ def read_info(spark: SparkSession, path: str) -> DataFrame:
             names, kinds = ("name", "height", "width", "bands", "dtype", "gt", "tags"), (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.struct([(k, pa.float64()) for k in ("ox", "rx", "kx", "oy", "ky", "ry")]), pa.map_(pa.string(), pa.string()))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=list(names))
 
-    return _files(spark, path).mapInArrow(run, INFO)
+    return found.mapInArrow(run, INFO)
