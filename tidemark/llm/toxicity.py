@@ -4,14 +4,15 @@ A word is the bag of its character n-grams (3 to 5 bytes, with word ends, and th
 hashed table; words average their n-grams, windows of WORDS words average their words, and a softmax of two classes
 follows. Embeddings and softmax are trained together, so unseen misspellings share the vectors of the n-grams they keep.
 Training starts with every window under its document's label and then goes over to each document's worst window (the hard
-form of multiple-instance learning). A document's score is a logistic function of its worst windows and of the expected
-number of toxic windows: one ambiguous word is weaker evidence than several. As the model is linear up to the softmax,
+form of multiple-instance learning). The softmax speaks of windows; a document's score pools what it says of them, by a
+logistic function of the worst windows' logits and of the expected number of toxic windows: one ambiguous word is weaker
+evidence than several. As the model is linear up to the softmax,
 scoring needs one number per n-gram.
 
 It is fitted on the driver on at most PER_CLASS labelled rows of either class, none over MOST_BYTES, never held-out ones; classes
 are weighted back to their share in the labels.
 
-Defined results: texts without a word (null and empty ones too) score the share of toxic labels; without labels of both classes every score is the
+Defined results: texts of any length are scored whole; equal logits are pooled alike; texts without a word (null and empty ones too) score the share of toxic labels; without labels of both classes every score is the
 share of toxic labels (0 if none); repeated rows get equal scores; an empty table gives an empty result; further columns
 are ignored.
 """
@@ -25,7 +26,9 @@ from pyspark.sql import functions as F
 from .common import arrow, as_bytes, held_out, map_rows, session
 from .samples import labelled_sample
 
-BUCKETS, DIMENSIONS, WORDS = 1 << 16, 6, 2
+BUCKETS, DIMENSIONS = 1 << 16, 6
+#: Words of a window, chosen among 1, 2, 3, 4 and 6 by folds of the training rows alone.
+WORDS = 1
 PER_CLASS, MOST_BYTES = 1200, 12_000
 THRESHOLD = 0.7
 FOLDS = 5
