@@ -5,10 +5,10 @@ whose granules are empty, so that a player hears silence and all main data is an
 frame has the smallest bitrate that holds the rest.
 
 Reading: tags are parsed, frame headers are found again wherever bytes don't form one (a header counts if another follows
-at its end, or the stream ends there, or the frame before ended here), the table and all checksums are verified, exact durations counted in samples, and
+at its end, or the stream ends there, or the frame before ended here), the table, its seek places and all checksums are verified, exact durations counted in samples, and
 the offsets of all frames kept for seeking.
 
-Defined results: null text is empty and stored as 64 zero bytes; equal texts have equal values; broken media give what
+Defined results: null text is empty and stored as 64 zero bytes; texts of any length are stored whole, as one stream; equal texts have equal values; broken media give what
 could be read, with the counts of skipped bytes and failed checksums; an empty table gives an empty result; further columns are
 ignored.
 """
@@ -155,6 +155,13 @@ def tags(media: bytes) -> tuple[dict[str, str], int, int]:
     return found, at, end
 
 
+def _seeks(table: dict, offsets: list[int]) -> bool:
+    """Whether the table's hundred places of its bytes, in parts of 256, are those of the frames at every hundredth of the time."""
+    if "toc" not in table or not offsets or not table.get("bytes"):
+        return "toc" not in table
+    return all(mark == min(255, (offsets[k * len(offsets) // 100] - table["at"]) * 256 // table["bytes"]) for k, mark in enumerate(table["toc"]))
+
+
 def decode(media: bytes) -> dict:
     """Payload, tags, frame offsets, samples, rate, checksums that fail, bytes skipped, and what the table says."""
     found, at, end = tags(media)
@@ -209,7 +216,7 @@ def decode(media: bytes) -> dict:
         parts.append(media[o + 4 + 2 * protected + side : o + n])
     body = b"".join(parts)
     size = int(found["payload_bytes"]) if found.get("payload_bytes", "").isdigit() else len(body)
-    ok = table is None or (table.get("frames") == len(offsets) and table.get("bytes") == end - table["at"])
+    ok = table is None or (table.get("frames") == len(offsets) and table.get("bytes") == end - table["at"] and _seeks(table, offsets))
     return {"payload": body[:size], "tags": found, "offsets": offsets, "samples": samples, "rate": rate, "bad_crc": bad, "skipped": skipped, "table": table, "table_ok": ok}
 
 
@@ -248,7 +255,7 @@ def media_features(media: DataFrame) -> DataFrame:
                 out["media_bytes"].append(len(m or b""))
                 out["media_sha256"].append(hashlib.sha256(m or b"").hexdigest())
                 vbr = "none" if x["table"] is None else "ok" if x["table_ok"] else "wrong"
-                out["feature"].append(f"frames={len(x['offsets'])};samples={x['samples']};rate={x['rate']};ms={ms:g};vbr={vbr};bad_crc={x['bad_crc']};skipped={x['skipped']}")
+                out["feature"].append(f"frames={len(x['offsets'])};samples={x['samples']};rate={x['rate']};ms={ms!r};vbr={vbr};bad_crc={x['bad_crc']};skipped={x['skipped']}")
                 out["duration_ms"].append(ms)
                 out["frames"].append(len(x["offsets"]))
                 out["bad_crc"].append(x["bad_crc"])
