@@ -12,7 +12,8 @@ All labelled rows are counted by stratum and the places of their measures among
 (cutoffs + 1)^rules of these, however many rows it has. Cutoffs join back as a small table.
 Rows with crc32(doc_id) mod 3 = 1 are never used as labels.
 
-Defined results: null text has no words and fails the base rules, as do texts under 50 words; null lang is a stratum of
+Defined results: texts of any length are measured whole; a measure equal to a cutoff passes; of verdicts that reject as many
+bad documents the mildest holds; null text has no words and fails the base rules, as do texts under 50 words; null lang is a stratum of
 its own; several labels of one document count as one (the greatest); repeated rows are judged alike; an empty table gives
 an empty result; without labels only the base rules hold.
 """

@@ -7,7 +7,8 @@ and linked_spans() also take a reach in code points to both sides, REACH by defa
 What complements what: a weak secret needs an identifier, an account needs a secret, an endpoint needs both.
 Base spans count as parts: an access id as an identifier, assigned and hex values as secrets.
 
-Defined results: null and empty texts have no spans; equal rows give equal spans; nested spans of several kinds are all
+Defined results: null and empty texts have no spans; texts of any length are scanned whole, a paragraph of any length is one
+scope; spans that begin together are ordered by kind, then end; equal rows give equal spans; nested spans of several kinds are all
 reported; an empty table gives an empty result; further columns are ignored by the scan and kept by redacted().
 """
 

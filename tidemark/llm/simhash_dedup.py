@@ -10,7 +10,7 @@ edges within the radius. Of the links in a tree a spanning forest is kept, so a
 Components are the fixed point of alternating large-star and small-star rounds, each written to the shared folder. A
 shard's trees go to the tasks of that shard only, since trees of all shards would grow with the corpus.
 
-Defined results: null and empty texts have fingerprint zero and link like any other; rows with null doc_id have a
+Defined results: texts of any length are hashed whole; a bit set in exactly half the hashes is 0; null and empty texts have fingerprint zero and link like any other; rows with null doc_id have a
 component, the smallest known doc_id in it (null if there is none); repeated rows share fingerprint and component; an
 empty table gives an empty result; further columns are ignored.
 """
