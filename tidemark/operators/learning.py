@@ -9,11 +9,17 @@ FEATURES = ["vv_norm", "vh_norm", "diff_norm", "vv_std_norm"]
 
 
 def scene_split(manifest: DataFrame) -> DataFrame:
-    """valid scenes of oil_spill and look_alike with their split by position in the manifest; other classes are unused."""
+    """valid scenes of oil_spill and look_alike with their split by position in the manifest; other classes are unused.
+
+    Only the first eight ordinals (which are distinct) of a class decide: they alone are ranked, every other scene is compared with them.
+    """
+    valid = manifest.where((F.lower("valid") == "true") & F.col("class").isin("oil_spill", "look_alike"))
     n = F.row_number().over(Window.partitionBy("class").orderBy("ordinal"))
-    df = manifest.where(F.lower("valid") == "true").where(F.col("class").isin("oil_spill", "look_alike")).withColumn("n", n)
-    oil = F.when(F.col("n") <= 6, "train").when(F.col("n") <= 8, "validation").otherwise("test")
-    return df.withColumn("split", F.when(F.col("class") == "oil_spill", oil).otherwise(F.when(F.col("n") <= 1, "train").otherwise("test"))).drop("n")
+    first = valid.select("class", "ordinal", n.alias("n")).where(F.col("n") <= 8).groupBy("class").agg(F.array_sort(F.collect_list("ordinal")).alias("_o"))
+    df = valid.join(F.broadcast(first), "class")  # two rows
+    until = lambda k: F.col("ordinal") <= F.element_at("_o", F.least(F.lit(k), F.size("_o")))
+    oil = F.when(until(6), "train").when(until(8), "validation").otherwise("test")
+    return df.withColumn("split", F.when(F.col("class") == "oil_spill", oil).otherwise(F.when(until(1), "train").otherwise("test"))).select(*manifest.columns, "split")
 
 
 def split_quality(df: DataFrame, by: list[str], value: str, label: str) -> DataFrame:
