@@ -72,15 +72,15 @@ def vessel_distances(ais: DataFrame, centroid: tuple[float, float], track: list[
             df = df.where(lon.between(F.lit(float(min(xs))) - wide, F.lit(float(max(xs))) + wide))
     df = df.withColumns(dict(zip(("_x", "_y", "_z"), S.unit_vector(lon, lat))))
 
-    def squared(place):
+    def squared(place) -> str:
         x, y = (math.radians(v) for v in place)
         p = (math.cos(y) * math.cos(x), math.cos(y) * math.sin(x), math.sin(y))
-        d = [F.col(c) - F.lit(v) for c, v in zip(("_x", "_y", "_z"), p)]
-        return d[0] * d[0] + d[1] * d[1] + d[2] * d[2]
+        return " + ".join(f"({c} - {v!r}D) * ({c} - {v!r}D)" for c, v in zip(("_x", "_y", "_z"), p))
 
-    nearest = [squared(p) for p in track]
-    nearest = (F.least(*nearest) if len(nearest) > 1 else nearest[0]) if nearest else F.lit(None).cast("double")
-    df = _at_once(df, dist_centroid=S.chord_km(squared(centroid)), dist_track=S.chord_km(nearest)).drop("_x", "_y", "_z")
+    # one expression as text: built call by call, hundreds of points would take seconds on the driver
+    nearest = ", ".join(map(squared, track))
+    nearest = F.expr(f"least({nearest})" if len(track) > 1 else nearest or "CAST(NULL AS DOUBLE)")
+    df = _at_once(df, dist_centroid=S.chord_km(F.expr(squared(centroid))), dist_track=S.chord_km(nearest)).drop("_x", "_y", "_z")
     df = df.withColumn("effective", F.least("dist_centroid", "dist_track"))
     return df if reach is None else df.where(F.col("effective") <= reach)
 
