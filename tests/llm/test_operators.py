@@ -414,8 +414,10 @@ def test_mixing_deals_quotas_to_shards(spark, group):
     """Shards' draws are disjoint and add up to every source's quota; what documents give comes from them alone."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     sized = docs.select("doc_id", "source", mixing.size_of(F.col("text")).alias("size"))
-    plan, blocks = mixing.mix_plan(sized, group=group)
-    assert blocks == 4096
+    plan, blocks, depth = mixing.mix_plan(sized, group=group)
+    assert (blocks, depth) == (4096, 3)
+    out = mixing.mixed(docs, group=group)
+    assert out.rdd.getNumPartitions() == 8
     rows = plan.select("source", "target", "source_size", "block", "edge", F.posexplode("draws").alias("nth", "d")).select("*", "d.*").collect()
     # a block's draws are the passes 0, 1, ...: none twice, and each to one shard
     seen = Counter((r.source, r.block, r["pass"]) for r in rows)

@@ -38,7 +38,7 @@ WEIGHTS, LIMIT = (5, 2, 1), 3.0
 BLOCKS, SEED = 4096, 20240607
 #: Words of a shard on average, at most; the least depth of the tree; sources that a node's array holds.
 SHARD_WORDS, LEAST_DEPTH, GROUP = 1 << 22, 3, 256
-BROADCAST_SOURCES, BROADCAST_ROWS = 10_000, 200_000
+BROADCAST_SOURCES, BROADCAST_ROWS, MOST_PARTITIONS = 10_000, 200_000, 1 << 16
 #: Blocks whose words are summed together before the block at a source's cut is looked for.
 SUPERBLOCK = 1024
 WORD = r"[^\x20\x09-\x0D]+"
@@ -154,8 +154,8 @@ def _crossing(rows: DataFrame, by: str) -> DataFrame:
     return running.where("left > 0 and before <= left and before + words > left").drop("words").withColumn("left", F.col("left") - F.col("before")).drop("before")
 
 
-def mix_plan(sized: DataFrame, weights=WEIGHTS, limit: float = LIMIT, blocks: int = BLOCKS, seed: int = SEED, shard_words: int = SHARD_WORDS, group: int = GROUP) -> tuple[DataFrame, int]:
-    """A row per source and block, and the number of blocks.
+def mix_plan(sized: DataFrame, weights=WEIGHTS, limit: float = LIMIT, blocks: int = BLOCKS, seed: int = SEED, shard_words: int = SHARD_WORDS, group: int = GROUP) -> tuple[DataFrame, int, int]:
+    """A row per source and block, the number of blocks, and the depth of the tree.
 
     source_size, target, draws (of the block: pass and shard), and for the block at a source's cut, whose last draw is
     partial: edge and part (documents placed before the edge are taken, of that at the edge `part` words).
@@ -188,7 +188,7 @@ def mix_plan(sized: DataFrame, weights=WEIGHTS, limit: float = LIMIT, blocks: in
     table = per_block.select("number", "block").join(draws, ["number", "block"], "left").join(plan, "number")
     edge = F.col("block") == F.col("cut")
     table = table.select("source", "block", "source_size", "target", F.coalesce("draws", none).alias("draws"), F.when(edge, F.col("edge")).alias("edge"), F.when(edge, F.col("part")).alias("part"))
-    return written(table, "mix-plan"), blocks
+    return written(table, "mix-plan"), blocks, depth
 
 
 def _with_plan(sized: DataFrame, plan: DataFrame, blocks: int, seed: int) -> DataFrame:
@@ -207,7 +207,8 @@ def _with_plan(sized: DataFrame, plan: DataFrame, blocks: int, seed: int) -> Dat
 def taken(docs: DataFrame, blocks: int = BLOCKS, seed: int = SEED, shard_words: int = SHARD_WORDS, group: int = GROUP) -> DataFrame:
     """doc_id, source, size, source_size, target, taken (words, repeats counted) and the shard of each draw."""
     sized = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size_of(F.col("text").cast("string")).alias("size")), "mix-sizes")
-    rows = _with_plan(sized, *mix_plan(sized, blocks=blocks, seed=seed, shard_words=shard_words, group=group), seed)
+    plan, blocks, _ = mix_plan(sized, blocks=blocks, seed=seed, shard_words=shard_words, group=group)
+    rows = _with_plan(sized, plan, blocks, seed)
     shards = F.transform("draws", lambda x: x["shard"])
     return rows.select("doc_id", "source", "size", "source_size", "target", (F.col("whole") * F.col("size") + F.col("extra")).cast("long").alias("taken"), shards.alias("shards"))
 
@@ -223,13 +224,15 @@ def mixed(docs: DataFrame, blocks: int = BLOCKS, seed: int = SEED, shard_words:
         F.struct(*(F.col(f"`{c}`") for c in columns)).alias("_doc"), F.col("doc_id").cast("long").alias("doc_id"),
         F.col("source").cast("string").alias("source"), size_of(F.col("text").cast("string")).alias("size"),
     )
-    plan, blocks = mix_plan(written(rows.select("doc_id", "source", "size"), "mix-sizes"), blocks=blocks, seed=seed, shard_words=shard_words, group=group)
+    plan, blocks, depth = mix_plan(written(rows.select("doc_id", "source", "size"), "mix-sizes"), blocks=blocks, seed=seed, shard_words=shard_words, group=group)
     rows = _with_plan(rows, plan, blocks, seed).select("_doc", "size", "whole", "extra", F.posexplode("draws").alias("_nth", "_draw"))
     part = (F.col("_nth") >= F.col("whole")) & (F.col("extra") < F.col("size"))
     words = F.slice(F.regexp_extract_all(F.col("_doc.text"), F.lit(WORD), F.lit(0)), F.lit(1), F.col("extra").cast("int"))
     rows = rows.withColumn("_text", F.when(part, F.array_join(words, " ")).otherwise(F.col("_doc.text"))).withColumn("_shard", F.col("_draw.shard"))
     rows = rows.withColumn("_order", F.xxhash64("_doc.doc_id", "_draw.pass", F.lit(seed + 1)))
-    rows = rows.repartition("_shard").sortWithinPartitions("_shard", "_order")  # a shard is about SHARD_WORDS words at most
+    # a partition per shard, so it holds about SHARD_WORDS words at most; beyond MOST_PARTITIONS neighbours share one
+    together = max(0, depth - MOST_PARTITIONS.bit_length() + 1)
+    rows = rows.repartitionById(1 << (depth - together), F.shiftright("_shard", together).cast("int")).sortWithinPartitions("_shard", "_order")
     replaced = {"text": F.col("_text")} | ({"n_chars": F.when(part, F.char_length("_text")).otherwise(F.col("_doc.n_chars"))} if "n_chars" in columns else {})
     return rows.select(*(replaced.get(c, F.col("_doc").getField(c)).alias(c) for c in columns))
 
