@@ -28,7 +28,7 @@ def _place(spark, name: str) -> str:
 # --- rasters
 
 
-@query(f'WITH {PIXELS_SQL} SELECT scene, "row", col, round(CAST(CAST(vv AS FLOAT) AS DOUBLE), 4) AS vv, round(CAST(CAST(vh AS FLOAT) AS DOUBLE), 4) AS vh FROM pixels')
+@query(f'WITH {PIXELS_SQL} SELECT scene, "row", col, round(CAST(CAST(vv AS FLOAT) AS DOUBLE), 4) + 0e0 AS vv, round(CAST(CAST(vh AS FLOAT) AS DOUBLE), 4) + 0e0 AS vh FROM pixels')
 def tiff_scan(spark, sf_dir):
     """Scenes as float TIFFs, decoded again."""
     p = tiff.pixels(tiff.encoded(T.pixels(spark, sf_dir), ["vv", "vh"]))
