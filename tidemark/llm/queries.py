@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from .html_extraction import OP12_SQL, op12_html_extraction
+from .lexical_search import OP11_SQL, op11_lexical_search
 from .mixing import op8_mixing
 from .mpeg_audio import op7_mpeg_audio
 from .packing import op6_packing
+from .prefix_trie import OP13_SQL, op13_prefix_trie
 from .quality_crf import op5_quality_crf
 from .quality_rules import op10_quality_rules
 from .secret_scan import op2_secret_scan
@@ -24,7 +27,10 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_simhash_dedup": op9_simhash_dedup,
     "op10_quality_rules": op10_quality_rules,
+    "op11_lexical_search": op11_lexical_search,
+    "op12_html_extraction": op12_html_extraction,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
-#: None of the ten is wholly expressible: models, automata, XXH64, media bytes, seeded draws.
-ORACLE_SQL: dict[str, str] = {}
+#: The first ten are not wholly expressible: models, automata, XXH64, media bytes, seeded draws.
+ORACLE_SQL: dict[str, str] = {"op11_lexical_search": OP11_SQL, "op12_html_extraction": OP12_SQL, "op13_prefix_trie": OP13_SQL}
