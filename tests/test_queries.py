@@ -44,9 +44,10 @@ def test_rows_only(spark, name):
 
 
 def test_forest_is_whole(spark, monkeypatch):
-    from tidemark.operators import learning
+    from tidemark.operators import forest
 
     seen = []
-    monkeypatch.setattr(learning, "score_forest", lambda model, df, f=learning.score_forest: (seen.append(model), f(model, df))[1])
+    monkeypatch.setattr(forest, "score_balanced_forest", lambda nodes, df, f=forest.score_balanced_forest: (seen.append(nodes), f(nodes, df))[1])
     QUERIES["rf_fit_score"](spark, SF)
-    assert seen[0].getNumTrees == 100 and seen[0].getMaxDepth() == 15
+    n = seen[0].groupBy("tree").count().count()
+    assert n == 100

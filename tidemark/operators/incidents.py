@@ -85,33 +85,64 @@ def vessel_distances(ais: DataFrame, centroid: tuple[float, float], track: list[
     return df if reach is None else df.where(F.col("effective") <= reach)
 
 
+#: Points of a track that go through the join side by side, as columns of one row.
+SEGMENT = 8
+
+
+def _segments(incidents: DataFrame, reach: float, cell: float) -> DataFrame:
+    """Segments of up to SEGMENT points of every incident's track in the cells where a ship may need them: incident_id, the centroid's and the points' unit vectors, _row and _col.
+
+    A ship needs a segment within reach of it, and all segments if it is within reach of the centroid (the distance to the track
+    counts there however far it is). An incident without a track is one segment of null points.
+    """
+    across = round(360 / cell)
+    pair = lambda p: F.struct(p["lon"].cast("double").alias("lon"), p["lat"].cast("double").alias("lat"))
+    here = F.array(F.struct(F.col("lon").cast("double").alias("lon"), F.col("lat").cast("double").alias("lat")))
+    track = F.coalesce(F.transform("track", pair), F.array_except(here, here))
+    starts = F.sequence(F.lit(0), F.greatest(F.size("_track") - 1, F.lit(0)), F.lit(SEGMENT))
+    parts = incidents.select("incident_id", here.alias("_here"), track.alias("_track")).withColumn("_from", F.explode(starts))
+    parts = parts.select("incident_id", "_here", F.slice("_track", F.col("_from") + 1, F.lit(SEGMENT)).alias("_p"))
+
+    def cells(points):
+        of = lambda f: F.transform(points, lambda p: p[f])
+        low, high = F.array_min(of("lat")), F.array_max(of("lat"))
+        up, wide = _padding(reach, F.greatest(F.abs(low), F.abs(high)) + math.degrees(reach / S.EARTH_KM))
+        rows = F.sequence(F.floor((low - up) / cell), F.floor((high + up) / cell))
+        west, east = F.floor((F.array_min(of("lon")) - wide) / cell), F.floor((F.array_max(of("lon")) + wide) / cell)
+        cols = F.sequence(west, F.least(east, west + across - 1))
+        found = F.flatten(F.transform(rows, lambda r: F.transform(cols, lambda c: F.struct(r.alias("r"), F.pmod(c, F.lit(across)).alias("c")))))
+        return F.coalesce(found, F.filter(F.array(F.struct(F.lit(0).cast("long").alias("r"), F.lit(0).cast("long").alias("c"))), lambda x: F.lit(False)))
+
+    vector = lambda p: dict(zip("xyz", S.unit_vector(p["lon"], p["lat"])))
+    centre = {f"_c{k}": v for k, v in vector(F.col("_here")[0]).items()}
+    points = {f"_p{i}{k}": v for i in range(SEGMENT) for k, v in vector(F.get("_p", F.lit(i))).items()}
+    near = F.array_distinct(F.concat(cells(F.col("_p")), cells(F.col("_here"))))
+    df = parts.select("incident_id", *(v.alias(k) for k, v in {**centre, **points}.items()), F.explode(near).alias("_at"))
+    return df.select("*", F.col("_at.r").alias("_row"), F.col("_at.c").alias("_col")).drop("_at")
+
+
 def incident_distances(incidents: DataFrame, ais: DataFrame, reach: float = S.REACH_KM, cell: float = 0.25) -> DataFrame:
     """Vessels within reach of each incident, with their distances; a row per incident and vessel position.
 
     incidents: incident_id, lon, lat (centroid) and track, an array of lon and lat (null or empty: the centroid alone counts).
-    Incidents go to the cells of a grid that the box around their points, widened by the reach, touches; a position lies
-    in one cell, so the join is an equality and a pair meets once. Cells wrap round at 180 degrees.
+    Tracks are cut into segments, and each goes to the cells of a grid where a position may need it; a position lies in one
+    cell, so the join is an equality. Squared chords to a segment's points are one generated expression; pairs out of reach of
+    both go before the minimum over segments is taken, and only what is left costs an arc. Positions are dealt by a number of
+    their own, so crowded cells are spread over tasks, and the minimum needs no further shuffle where segments are few
+    enough for Spark to broadcast. Cells wrap round at 180 degrees.
     """
     across = round(360 / cell)
-    here = F.array(F.struct(F.col("lon").cast("double").alias("lon"), F.col("lat").cast("double").alias("lat")))
-    track = F.coalesce(F.transform("track", lambda p: F.struct(p["lon"].cast("double").alias("lon"), p["lat"].cast("double").alias("lat"))), F.array_except(here, here))
-    points = F.concat(here, track)
-    of = lambda f: F.transform(points, lambda p: p[f])
-    low, high = F.array_min(of("lat")), F.array_max(of("lat"))
-    up, wide = _padding(reach, F.greatest(F.abs(low), F.abs(high)) + math.degrees(reach / S.EARTH_KM))
-    rows = F.sequence(F.floor((low - up) / cell), F.floor((high + up) / cell))
-    west, east = F.floor((F.array_min(of("lon")) - wide) / cell), F.floor((F.array_max(of("lon")) + wide) / cell)
-    cols = F.array_distinct(F.transform(F.sequence(west, F.least(east, west + across - 1)), lambda c: F.pmod(c, F.lit(across))))
-    vector = lambda p: F.struct(*(c.alias(n) for n, c in zip("xyz", S.unit_vector(p["lon"], p["lat"]))))
-    sites = incidents.select("incident_id", vector({"lon": F.col("lon").cast("double"), "lat": F.col("lat").cast("double")}).alias("_c"), F.transform(track, vector).alias("_t"), F.explode(rows).alias("_row"), cols.alias("_cols"))
-    sites = sites.select("incident_id", "_c", "_t", "_row", F.explode("_cols").alias("_col"))
     lon, lat = F.col("lon").cast("double"), F.col("lat").cast("double")
-    ships = ais.withColumns({"_row": F.floor(lat / cell), "_col": F.pmod(F.floor(lon / cell), F.lit(across))})
-    both = ships.join(sites, ["_row", "_col"]).withColumns(dict(zip(("_x", "_y", "_z"), S.unit_vector(lon, lat))))
-    far = lambda p: sum((F.col(f"_{c}") - p[c]) * (F.col(f"_{c}") - p[c]) for c in "xyz")
-    both = _at_once(both, dist_centroid=S.chord_km(far(F.col("_c"))), dist_track=S.chord_km(F.array_min(F.transform("_t", far))))
-    both = both.drop("_row", "_col", "_c", "_t", "_x", "_y", "_z").withColumn("effective", F.least("dist_centroid", "dist_track"))
-    return both.where(F.col("effective") <= reach)
+    ships = ais.withColumn("_id", F.monotonically_increasing_id()).repartition("_id")
+    ships = ships.withColumns({"_row": F.floor(lat / cell), "_col": F.pmod(F.floor(lon / cell), F.lit(across)), **dict(zip(("_x", "_y", "_z"), S.unit_vector(lon, lat)))})
+    squared = lambda p: " + ".join(f"(_{k} - {p}{k}) * (_{k} - {p}{k})" for k in "xyz")
+    both = ships.join(_segments(incidents, reach, cell), ["_row", "_col"])
+    both = both.select(*ais.columns, "_id", "incident_id", F.expr(squared("_c")).alias("_centre"), F.expr("least(" + ", ".join(squared(f"_p{i}") for i in range(SEGMENT)) + ")").alias("_track"))
+    most = (2 * math.sin(min(reach / S.EARTH_KM, math.pi) / 2)) ** 2 * (1 + 1e-9) + 1e-18
+    both = both.where((F.col("_centre") <= most) | (F.col("_track") <= most))
+    least = both.groupBy("_id", "incident_id", *(f"`{c}`" for c in ais.columns)).agg(F.min("_centre").alias("_centre"), F.min("_track").alias("_track"))
+    least = least.select("incident_id", *(f"`{c}`" for c in ais.columns), S.chord_km(F.col("_centre")).alias("dist_centroid"), S.chord_km(F.col("_track")).alias("dist_track"))
+    return least.withColumn("effective", F.least("dist_centroid", "dist_track")).where(F.col("effective") <= reach)
 
 
 CANDIDATE = ("mmsi", "vessel_name", "vessel_type", "distance_to_spill_km", "distance_to_drift_track_km", "sog_knots", "cog_degrees", "attribution_score", "data_provenance", "evidence_summary")

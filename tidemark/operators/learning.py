@@ -31,15 +31,72 @@ def split_quality(df: DataFrame, by: list[str], value: str, label: str) -> DataF
     )
 
 
-def stratified_sample(df: DataFrame, label: str, key: Column, positives: int = 100_000, least_negatives: int = 200_000) -> DataFrame:
-    """min(n1, positives) rows of label 1 and min(n0, max(3 times those, least_negatives)) of label 0, exactly, in the key's order.
+#: Ranges that a count over keys is taken in, and keys that are ranked on the driver once one range holds no more.
+RANGES, RANKED = 1 << 14, 1 << 14
 
-    Rows are ranked by range-partitioned sorts (orderBy + limit), so no class meets in one task.
+
+def _cut(df: DataFrame, key: Column, n: int) -> tuple[int, int, int]:
+    """The key that the n-th row in order has, the number of rows with lesser keys, and of rows with that key. 0 < n <= rows; keys are long.
+
+    Keys are counted in ranges, and the range where the n-th row lies is cut again until it holds few keys or one: a pass
+    over the keys each time, whose result is at most RANGES rows.
+    """
+    keys = df.select(key.cast("long").alias("k"))
+    ends = keys.agg(F.min("k").alias("a"), F.max("k").alias("b")).first()
+    below, shift, prefix = 0, max(0, (ends["b"] - ends["a"]).bit_length() - (RANGES.bit_length() - 1)), None
+    while True:
+        part = keys if prefix is None else keys.where(F.shiftright("k", prefix[0]) == prefix[1])
+        ranges = sorted(part.groupBy(F.shiftright("k", shift).alias("r")).agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: r["r"])
+        for r in ranges:
+            if below + r["n"] >= n:
+                break
+            below += r["n"]
+        if shift == 0:
+            return r["r"], below, r["n"]
+        prefix = (shift, r["r"])
+        if r["n"] <= RANKED:
+            few = keys.where(F.shiftright("k", shift) == r["r"]).groupBy("k").agg(F.count(F.lit(1)).alias("n")).collect()
+            for x in sorted(few, key=lambda x: x["k"]):
+                if below + x["n"] >= n:
+                    return x["k"], below, x["n"]
+                below += x["n"]
+        shift = max(0, shift - (RANGES.bit_length() - 1))
+
+
+def first_rows(df: DataFrame, keys: list[Column], n: int, rows: int | None = None) -> DataFrame:
+    """Exactly the n rows (all, if fewer) that come first by keys, columns of whole numbers, nulls first; a filter of df, in its partitions.
+
+    The cutting key is found by counts of ranges; the next key decides among rows that tie with it. Rows that tie in all keys are
+    alike in the order: of those any are taken, so many as are wanted. df is read several times: give it written.
     """
-    pos = df.where(F.col(label) == 1)
-    taken = min(pos.count(), positives)
-    some = lambda d, n: d.orderBy(key).limit(n)
-    return some(pos, positives).unionByName(some(df.where(F.col(label) == 0), max(3 * taken, least_negatives)))
+    n = min(n, df.count() if rows is None else rows)
+    if n <= 0:
+        return df.limit(0)
+    taken, tied = F.lit(False), F.lit(True)
+    part, rest = df, n
+    for i, key in enumerate(keys):
+        key = F.coalesce(key.cast("long"), F.lit(-(1 << 63)))
+        value, below, same = _cut(part, key, rest)
+        taken = taken | (tied & (key < value))
+        tied = tied & (key == value)
+        rest -= below
+        if rest == same:
+            return df.where(taken | tied)
+        part = df.where(tied)
+    return df.where(taken).unionByName(part.limit(rest))
+
+
+def stratified_sample(df: DataFrame, label: str, keys: list[Column], positives: int = 100_000, least_negatives: int = 200_000) -> DataFrame:
+    """min(n1, positives) rows of label 1 and min(n0, max(3 times those, least_negatives)) of label 0, exactly, the first in the keys' order.
+
+    Classes are cut by thresholds (first_rows), so rows stay where they are and no class meets in one task. df is read several
+    times: give it written.
+    """
+    sizes = {r["y"]: r["n"] for r in df.where(F.col(label).isin(0, 1)).groupBy(F.col(label).cast("int").alias("y")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
+    taken = min(n1, positives)
+    some = lambda y, n, rows: first_rows(df.where(F.col(label) == y), keys, n, rows)
+    return some(1, taken, n1).unionByName(some(0, max(3 * taken, least_negatives), n0))
 
 
 def confusion(df: DataFrame) -> DataFrame:
@@ -96,7 +153,7 @@ def class_text(rows: DataFrame) -> DataFrame:
 
 
 def train_forest(df: DataFrame, label: str = "y", trees: int = 100, depth: int = 15, seed: int = 42):
-    """A random forest with balanced class weights; save it by model.write().save(path)."""
+    """A random forest of Spark ML with class weights balanced over all rows, for samples of any size; forest.py balances each bootstrap."""
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
 
@@ -113,7 +170,11 @@ def by_threshold(proba: Column, threshold: float) -> Column:
 
 
 def score_forest(model, df: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """proba (of class 1), pred by the threshold (reached counts) and hard (by 0.5)."""
+    """proba (of class 1), pred by the threshold (reached counts) and hard (by 0.5). model: a Spark ML model, or a forest's nodes (forest.py)."""
+    if isinstance(model, DataFrame):
+        from .forest import score_balanced_forest
+
+        return score_balanced_forest(model, df, threshold).drop("votes")
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 

@@ -11,13 +11,13 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators import incidents, learning, raster
+from tidemark.operators import forest, incidents, learning, raster
 from tidemark.sources import files, tiff
 
 from . import flows
 from . import surrogates as T
 from .lineage import run_dir, written
-from .queries import _BOX, _COMPONENTS, _G, _KEPT, _DIST, _MASKED, _RANKED, _SCORE, _SPILLS, _STD, _TRACK, CURRENT, NORM, WIND, _origins, _r, _spills, _stencil_sql, hindcast_points, query
+from .queries import _BOX, _COMPONENTS, _G, _KEPT, _DIST, _MASKED, _RANKED, _SCORE, _SPILLS, _STD, _TRACK, CURRENT, NORM, WIND, _origins, _r, _sample, _spills, _stencil_sql, hindcast_points, query
 from .surrogates import AIS_SQL, PIXELS_SQL
 
 
@@ -257,7 +257,7 @@ def forest_separable(spark, sf_dir):
     """A forest fitted, saved, loaded and applied where its answer is known: every pixel by both thresholds."""
     df = written(_separable(spark, sf_dir), "separable")
     path = _place(spark, "forest")
-    files.save_model(learning.train_forest(learning.stratified_sample(df, "y", F.xxhash64(*raster.KEY, F.lit(42))), trees=20, depth=8), path)
+    files.save_model(forest.train_balanced_forest(_sample(df), raster.KEY), path)
     out = learning.score_forest(files.load_model(path), df, 0.5)
     return out.select(*raster.KEY, "y", "hard", "pred", (F.col("proba") > 0.5).alias("likely"))
 
@@ -265,10 +265,38 @@ def forest_separable(spark, sf_dir):
 @query(f"{_STEPS} SELECT count(*) FILTER (y = 0) AS tn, CAST(0 AS BIGINT) AS fp, CAST(0 AS BIGINT) AS fn, count(*) FILTER (y = 1) AS tp, 1e0 AS precision, 1e0 AS recall, 1e0 AS f1, 1e0 AS iou, 1e0 AS accuracy FROM steps")
 def forest_evaluation(spark, sf_dir):
     df = written(_separable(spark, sf_dir), "separable")
-    model = learning.train_forest(learning.stratified_sample(df, "y", F.xxhash64(*raster.KEY, F.lit(42))), trees=20, depth=8)
+    model = written(forest.train_balanced_forest(_sample(df), raster.KEY), "forest")
     return flows.evaluate(model, df)[0]
 
 
+_SKEWED = f"""WITH skewed AS (SELECT event_id // 1000 AS scene, CAST((event_id % 1000) // 40 AS INTEGER) AS "row", CAST(event_id % 40 AS INTEGER) AS col, {_LEVEL} AS v,
+  CAST((event_id * 104729) % 100 < CASE WHEN {_LEVEL} < 4 THEN 35 ELSE 1 END AS INTEGER) AS y FROM events),
+  level AS (SELECT v, sum(y) * (SELECT count(*) - sum(y) FROM skewed) > (count(*) - sum(y)) * (SELECT sum(y) FROM skewed) AS more FROM skewed GROUP BY v)"""
+
+
+def _skewed(spark, sf_dir):
+    """Rare positives: a third of four levels of the first band, one in a hundred of the twelve others; the other bands say nothing."""
+    i = F.col("scene") * 1000 + F.col("row") * 40 + F.col("col")
+    p = T.pixels(spark, sf_dir).select(*raster.KEY, ((i * 7919) % 16).alias("v"), ((i * 104729) % 100).alias("u"))
+    rest = (F.lit(0.5).alias(f) for f in learning.FEATURES[1:])
+    return p.select(*raster.KEY, (F.col("v") / 16).alias(learning.FEATURES[0]), *rest, (F.col("u") < F.when(F.col("v") < 4, 35).otherwise(1)).cast("int").alias("y"))
+
+
+@query(f'{_SKEWED} SELECT scene, "row", col, y, CASE WHEN more THEN 100 ELSE 0 END AS votes, CAST(more AS INTEGER) AS hard, CAST(more AS INTEGER) AS pred FROM skewed JOIN level USING (v)')
+def forest_votes(spark, sf_dir):
+    """Balanced trees vote for a class where its share is above its share of all rows, however rare it is; every tree does here."""
+    df = written(_skewed(spark, sf_dir), "skewed")
+    nodes = written(forest.train_balanced_forest(_sample(df), raster.KEY), "forest")
+    return forest.score_balanced_forest(nodes, df).select(*raster.KEY, "y", "votes", "hard", "pred")
+
+
+@query("SELECT CAST(i AS INTEGER) AS tree, 0.5e0 AS share, count(*) FILTER (y = 1) > 0 AS splits FROM range(100) t(i), (SELECT CAST((event_id * 104729) % 100 < CASE WHEN (event_id * 7919) % 16 < 4 THEN 35 ELSE 1 END AS INTEGER) AS y FROM events) GROUP BY i")
+def forest_bootstraps(spark, sf_dir):
+    """Every tree's root: weights are balanced in each bootstrap, so both classes weigh the same in each tree exactly."""
+    nodes = forest.train_balanced_forest(_sample(written(_skewed(spark, sf_dir), "skewed")), raster.KEY)
+    return nodes.where("node = 0").select("tree", F.round("share", 9).alias("share"), (F.col("feature") >= 0).alias("splits"))
+
+
 @query("SELECT event_id, value / 100 AS proba, CAST(value / 100 >= 0.3e0 AS INTEGER) AS pred, CAST(value / 100 > 0.5e0 AS INTEGER) AS hard FROM events")
 def probability_threshold(spark, sf_dir):
     """The two rules by which a probability becomes a prediction; 0.3 itself counts, a tie of the classes does not."""

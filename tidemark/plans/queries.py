@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalar as S
-from tidemark.operators import incidents, learning, raster
+from tidemark.operators import forest, incidents, learning, raster
 from tidemark.sources import files
 
 from . import surrogates as T
@@ -166,8 +166,8 @@ def split_quality(spark, sf_dir):
 SELECT scene, "row", col, y FROM ranked, pos WHERE (y = 1 AND n <= 300) OR (y = 0 AND n <= greatest(3 * k, 500))""")
 def stratified_sample_n(spark, sf_dir):
     df = raster.with_mask(T.pixels(spark, sf_dir), T.masks(spark, sf_dir)).withColumn("_id", F.col("scene") * 1000 + F.col("row") * 40 + F.col("col"))
-    key = F.struct(F.expr("(_id * 48271) % 2147483647"), F.col("_id"))
-    return learning.stratified_sample(df, "y", key, 300, 500).select(*raster.KEY, "y")
+    keys = [F.expr("(_id * 48271) % 2147483647"), F.col("_id")]
+    return learning.stratified_sample(written(df, "masked"), "y", keys, 300, 500).select(*raster.KEY, "y")
 
 
 _TRUTH = "t AS (SELECT quality AS y, 1 - toxic AS pred FROM labels)"
@@ -460,8 +460,13 @@ def band_stats(spark, sf_dir):
     return T.pixels(spark, sf_dir).groupBy("scene").agg(*agg)
 
 
+def _sample(df: DataFrame) -> DataFrame:
+    """The training rows, by a hash of the pixel."""
+    return learning.stratified_sample(df, "y", [F.xxhash64(*raster.KEY, F.lit(42))])
+
+
 @query()
 def rf_fit_score(spark, sf_dir):
-    df = raster.with_mask(raster.features(T.pixels(spark, sf_dir)), T.masks(spark, sf_dir))
-    model = learning.train_forest(learning.stratified_sample(df, "y", F.xxhash64(*raster.KEY, F.lit(42))))
-    return learning.score_forest(model, df).select(*raster.KEY, "y", "proba", "pred", "hard")
+    df = written(raster.with_mask(raster.features(T.pixels(spark, sf_dir)), T.masks(spark, sf_dir)), "features")
+    nodes = written(forest.train_balanced_forest(_sample(df), raster.KEY), "forest")
+    return forest.score_balanced_forest(nodes, df).select(*raster.KEY, "y", "proba", "pred", "hard")

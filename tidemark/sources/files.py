@@ -160,13 +160,22 @@ def read_text(spark: SparkSession, path: str) -> DataFrame:
 
 
 def save_model(model, path: str) -> None:
-    model.write().overwrite().save(path)
+    """A Spark ML model, or a forest's nodes as Parquet."""
+    if isinstance(model, DataFrame):
+        model.write.mode("overwrite").parquet(path)
+    else:
+        model.write().overwrite().save(path)
 
 
 def load_model(path: str):
+    """What save_model() saved: Spark ML's folders have metadata, a forest's have rows."""
     from pyspark.ml.classification import RandomForestClassificationModel
 
-    return RandomForestClassificationModel.load(path)
+    spark = SparkSession.getActiveSession()
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/metadata")
+    if folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+        return RandomForestClassificationModel.load(path)
+    return spark.read.parquet(path)
 
 
 def write_text(df: DataFrame, path: str) -> None:
