@@ -70,7 +70,7 @@ def test_bootstrap_counts(spark):
 
 def test_forest_balances_every_bootstrap(spark, tmp_path):
     """Three positives among 400: a tree has any number of them, and all weigh as much as the others together."""
-    rows = [(i, float(i % 40), 0.0, 0.0, float(i % 7), int(i in (40, 80, 120))) for i in range(400)] + [(1000, None, 0.0, 0.0, 0.0, 1), (1001, float("nan"), 0.0, 0.0, 0.0, 1), (1002, 1.0, 1.0, 1.0, 1.0, None)]
+    rows = [(i, -9.0 if i in (40, 80, 120) else float(i % 40), 0.0, 0.0, float(i % 7), int(i in (40, 80, 120))) for i in range(400)] + [(1000, None, 0.0, 0.0, 0.0, 1), (1001, float("nan"), 0.0, 0.0, 0.0, 1), (1002, 1.0, 1.0, 1.0, 1.0, None)]
     df = spark.createDataFrame(rows, "id long, vv_norm double, vh_norm double, diff_norm double, vv_std_norm double, y int")
     nodes = forest.train_balanced_forest(df, ["id"], trees=12, depth=6)
     one = sorted(map(tuple, nodes.collect()))
@@ -82,7 +82,7 @@ def test_forest_balances_every_bootstrap(spark, tmp_path):
     out = learning.score_forest(files.load_model(str(tmp_path / "forest")), df, 0.3).collect()
     by = {r.id: r for r in out}
     assert by[1000].proba is None and by[1000].hard is None and by[1001].pred is None and len(out) == len(rows)
-    assert all(by[i].proba > 0.5 and by[i].hard == 1 for i in (40, 80, 120)) and by[5].proba == 0.0
+    assert all(by[i].proba > 0.5 and by[i].hard == 1 for i in (40, 80, 120)) and by[5].proba < 0.3
     assert forest.train_balanced_forest(df.limit(0), ["id"]).count() == 0
     assert forest.score_balanced_forest(nodes.limit(0), df).where("proba is not null").count() == 0
     only = forest.train_balanced_forest(df.where("y = 0"), ["id"], trees=2).collect()
