@@ -1,13 +1,16 @@
 """Relational rasters (scene, row, col, bands): stencils, despeckling, features, tiles, masks, components, polygons.
 
-Stencils are separable windows over lines of pixels, never over a scene, so a task holds single lines. Components run on
-runs of a line, not on pixels, and join neighbouring lines only.
+Stencils are separable windows over lines of pixels, never over a scene, so a task holds single lines. Components are
+found inside tiles and joined across their borders.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tidemark.functions import scalar as S
 from tidemark.plans.lineage import written
@@ -94,20 +97,65 @@ def with_mask(pixels: DataFrame, masks: DataFrame) -> DataFrame:
     return pixels.join(masks.select(*KEY, (F.col("y") > 0).cast("int").alias("y")), list(KEY))
 
 
-def labelled(mask: DataFrame) -> DataFrame:
+#: Rows and columns of the tiles that are labelled by one task each.
+TILE = 512
+
+
+def _tile_runs(row: np.ndarray, col: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Runs of a tile's pixels (row, c0, c1) in order, and for each the run that comes first in its component. Pixels may repeat."""
+    order = np.lexsort((col, row))
+    row, col = row[order], col[order]
+    starts = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (col[1:] > col[:-1] + 1)])
+    r, c0, c1 = row[starts], col[starts], col[np.r_[starts[1:], len(row)] - 1]
+    wide = int(c1.max() - c0.min()) + 2
+    at, left, right = (r - r[0] + 1) * wide, c0 - c0.min(), c1 - c0.min()
+    low = np.searchsorted(at + right, at - wide + left)  # runs of the row above that overlap
+    high = np.searchsorted(at + left, at - wide + right, side="right")
+    many = np.maximum(high - low, 0)
+    below = np.repeat(np.arange(len(r)), many)
+    above = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(low, many)
+    first = np.arange(len(r))
+    while True:
+        x, y = first[below], first[above]
+        apart = x != y
+        if not apart.any():
+            return r, c0, c1, first
+        np.minimum.at(first, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
+        while (first[first] != first).any():
+            first = first[first]
+
+
+def labelled(mask: DataFrame, tile: int = TILE) -> DataFrame:
     """The runs (scene, row, c0, c1) of a mask's pixels with the component of each: its first pixel's row and column.
 
-    Runs of a row are nodes, named by their place (a struct, so scenes may have any type and rasters any size); runs of
-    neighbouring rows that overlap are joined (four neighbours).
+    Tiles are labelled each in one task, which holds at most tile x tile pixels; a run ends at its tile's border. A tile's
+    components are nodes, named by their first pixel (a struct, so scenes may have any type and rasters any size); those that meet
+    across a border (four neighbours) are joined, by the runs along borders alone, and closed by star rounds. Masks whose
+    components stay in their tiles need no round.
     """
-    row = Window.partitionBy("scene", "row").orderBy("col")
-    run = mask.select(*KEY).withColumn("_g", F.col("col") - F.row_number().over(row))
-    runs = run.groupBy("scene", "row", "_g").agg(F.min("col").alias("c0"), F.max("col").alias("c1")).drop("_g")
-    runs = written(runs.withColumn("node", F.struct("scene", "row", "c0")), "runs")
-    above = runs.select("scene", (F.col("row") + 1).alias("row"), F.col("c0").alias("d0"), F.col("c1").alias("d1"), F.col("node").alias("b"))
-    edges = runs.join(above, ["scene", "row"]).where("c0 <= d1 and d0 <= c1").select(F.col("node").alias("a"), "b")
-    named = runs.join(components(edges), "node", "left").select("scene", "row", "c0", "c1", F.coalesce("root", "node").alias("component"))
-    return named.withColumn("component", F.struct(F.col("component.row").alias("row"), F.col("component.c0").alias("c0")))
+    kind = mask.schema["scene"].dataType
+    schema = StructType([StructField("scene", kind), *(StructField(c, LongType()) for c in ("row", "c0", "c1", "first_row", "first_c0"))])
+
+    def run(table: pa.Table) -> pa.Table:
+        r, c0, c1, first = _tile_runs(*(table.column(c).to_numpy().astype(np.int64) for c in ("row", "col")))
+        scene = table.column("scene").combine_chunks().slice(0, 1).take(pa.array(np.zeros(len(r), np.int64)))
+        return pa.table({"scene": scene, "row": r, "c0": c0, "c1": c1, "first_row": r[first], "first_c0": c0[first]})
+
+    placed = mask.select(*KEY).where(F.col("row").isNotNull() & F.col("col").isNotNull())
+    found = placed.groupBy("scene", F.floor(F.col("row") / tile), F.floor(F.col("col") / tile)).applyInArrow(run, schema)
+    whole = [F.col(c).cast(mask.schema[k].dataType).alias(c) for c, k in (("row", "row"), ("c0", "col"), ("c1", "col"))]
+    runs = written(found.select("scene", *whole, F.struct("scene", F.col("first_row").alias("row"), F.col("first_c0").alias("c0")).alias("node")), "runs")
+    edge = lambda c, at: F.pmod(F.col(c), F.lit(tile)) == at
+    above = runs.where(edge("row", tile - 1)).select("scene", (F.col("row") + 1).alias("row"), F.col("c0").alias("d0"), F.col("c1").alias("d1"), F.col("node").alias("b"))
+    down = runs.where(edge("row", 0)).join(above, ["scene", "row"]).where("c0 <= d1 and d0 <= c1").select(F.col("node").alias("a"), "b")
+    before = runs.where(edge("c1", tile - 1)).select("scene", "row", (F.col("c1") + 1).alias("c0"), F.col("node").alias("b"))
+    across = runs.where(edge("c0", 0)).join(before, ["scene", "row", "c0"]).select(F.col("node").alias("a"), "b")
+    edges = written(down.union(across).distinct(), "borders")
+    if edges.isEmpty():
+        named = runs.withColumn("component", F.col("node"))
+    else:
+        named = runs.join(components(edges), "node", "left").withColumn("component", F.coalesce("root", "node"))
+    return named.select("scene", "row", "c0", "c1", F.struct(F.col("component.row").alias("row"), F.col("component.c0").alias("c0")).alias("component"))
 
 
 def component_stats(runs: DataFrame, min_pixels: int = 50) -> DataFrame:
