@@ -17,8 +17,8 @@ from tidemark.sources import files, tiff
 from . import flows
 from . import surrogates as T
 from .lineage import run_dir, written
-from .queries import _BOX, _COMPONENTS, _G, _KEPT, _DIST, _MASKED, _RANKED, _SCORE, _SPILLS, _STD, _TRACK, CURRENT, NORM, WIND, _origins, _r, _sample, _spills, _stencil_sql, hindcast_points, query
-from .surrogates import AIS_SQL, PIXELS_SQL
+from .queries import _BOX, _COMPONENTS, _G, _KEPT, _DIST, _MASKED, _RANKED, _SCORE, _SPILLS, _STD, _TRACK, CURRENT, NORM, WIND, _BANDS, _LEE_NORM, VH, VV, _origins, _r, _sample, _spills, _stencil_sql, hindcast_points, query
+from .surrogates import AIS_SQL, MASK_SQL, PIXELS_SQL
 
 
 def _place(spark, name: str) -> str:
@@ -41,6 +41,15 @@ def mask_scan(spark, sf_dir):
     return p.select(F.col("name").cast("long").alias("scene"), "row", "col", "y")
 
 
+@query(f'WITH {PIXELS_SQL} SELECT scene, "row", col, round(CAST(CAST(vv AS FLOAT) AS DOUBLE), 4) + 0e0 AS vv, round(CAST(CAST(vh AS FLOAT) AS DOUBLE), 4) + 0e0 AS vh FROM pixels WHERE "row" BETWEEN 3 AND 21')
+def raster_files(spark, sf_dir):
+    """Scenes written by strips to files of a folder, and lines 3 to 21 of them read block by block."""
+    path = _place(spark, "rasters")
+    tiff.write_rasters(T.pixels(spark, sf_dir), ["vv", "vh"], path, lines=4)
+    p = tiff.read_pixels(spark, path, rows=(3, 21))
+    return p.select(F.col("name").cast("long").alias("scene"), "row", "col", *(F.round(F.col(b).cast("double"), 4).alias(b) for b in ("vv", "vh")))
+
+
 @query(f"""WITH {PIXELS_SQL} SELECT scene, CAST(max("row") + 1 AS INTEGER) AS height, CAST(max(col) + 1 AS INTEGER) AS width, CAST(2 AS INTEGER) AS bands, 'f32' AS dtype, CASE WHEN scene % 7 <> 3 THEN {_G['ox']}e0 END AS ox, CASE WHEN scene % 7 <> 3 THEN {_G['ry']}e0 END AS ry,
 CASE WHEN scene % 7 <> 3 THEN 'transformation' END AS tag, max("row") + 1 <> 25 OR max(col) + 1 <> 40 AS unexpected FROM pixels GROUP BY scene""")
 def raster_info(spark, sf_dir):
@@ -302,3 +311,51 @@ def probability_threshold(spark, sf_dir):
     """The two rules by which a probability becomes a prediction; 0.3 itself counts, a tie of the classes does not."""
     p = F.col("value") / 100
     return T.table(spark, sf_dir, "events").select("event_id", p.alias("proba"), learning.by_threshold(p, 0.3).alias("pred"), (p > 0.5).cast("int").alias("hard"))
+
+
+# --- runs from files to outputs, by a forest of one split, whose answer SQL can say
+
+STUMP = 0.31003
+
+
+def _stump(spark) -> DataFrame:
+    """A forest of one tree: class 1 up to STUMP of the first feature, with a share of 0.75."""
+    rows = [(0, 0, 0, STUMP, 1, 2, 0.5, 2), (0, 1, -1, 0.0, -1, -1, 0.75, 1), (0, 2, -1, 0.0, -1, -1, 0.125, 1)]
+    return spark.createDataFrame(rows, forest.NODES)
+
+
+def _scene_files(spark, sf_dir) -> str:
+    """The scenes as float TIFFs with their geotransforms."""
+    p = T.pixels(spark, sf_dir)
+    path = _place(spark, "scenes")
+    tiff.write_rasters(p, ["vv", "vh"], path, scenes=T.scenes(p), lines=8)
+    return path
+
+
+_FLOATS = f"(SELECT * REPLACE (CAST(CAST(vv AS FLOAT) AS DOUBLE) AS vv, CAST(CAST(vh AS FLOAT) AS DOUBLE) AS vh) FROM pixels)"
+_FILE_BANDS = f'SELECT scene, "row", col, {VV} AS vv, {VH} AS vh FROM {_FLOATS}'
+_FILE_NORM = _LEE_NORM.replace(_BANDS, _FILE_BANDS)
+_FOUND = f"SELECT scene, \"row\", col, CAST(vv_norm <= {STUMP} AS INTEGER) AS pred FROM ({_FILE_NORM})"
+
+
+@query(f'SELECT scene, "row", col, pred, CASE pred WHEN 1 THEN 0.75e0 ELSE 0.125e0 END AS proba FROM ({_FOUND})')
+def inference_files(spark, sf_dir):
+    """Scenes read from files, inferred with a saved model, and the mask and its probabilities read from the files written beside each other."""
+    model = _place(spark, "stump")
+    files.save_model(_stump(spark), model)
+    scenes = tiff.read_pixels(spark, _scene_files(spark, sf_dir)).withColumnRenamed("name", "scene")
+    out = _place(spark, "inferred")
+    flows.write_inference(flows.infer(files.load_model(model), scenes), out)
+    found = tiff.bands(tiff.files(spark, out), 1)
+    mask = found.where(~F.col("name").endswith("_proba")).select("name", "row", "col", F.col("b1").cast("int").alias("pred"))
+    proba = found.where(F.col("name").endswith("_proba")).select(F.regexp_replace("name", "_proba$", "").alias("name"), "row", "col", F.col("b1").cast("double").alias("proba"))
+    return mask.join(proba, ["name", "row", "col"]).select(F.col("name").cast("long").alias("scene"), "row", "col", "pred", "proba")
+
+
+@query(f"""WITH RECURSIVE {_COMPONENTS.replace(MASK_SQL, f'mask AS (SELECT scene, "row", col FROM ({_FOUND}) WHERE pred = 1)')}, {_KEPT.format(3)}, {_SPILLS},
+shape AS (SELECT scene, CAST(max("row") + 1 AS INTEGER) AS height, CAST(max(col) + 1 AS INTEGER) AS width FROM (WITH {PIXELS_SQL} SELECT * FROM pixels) GROUP BY scene)
+SELECT shape.scene, height, width, height = 25 AND width = 40 AS as_expected, count(spills.scene) AS n_polygons, round(coalesce(sum(area_km2), 0), 4) AS total_area_km2 FROM shape LEFT JOIN spills USING (scene) GROUP BY ALL""")
+def run_outputs(spark, sf_dir):
+    """The whole run: files in, preprocessed bands, features, masks and polygons out, and its summary."""
+    ran = flows.run_scenes(spark, _scene_files(spark, sf_dir), _stump(spark), _place(spark, "run"), 0.3, 3, (25, 40))
+    return ran.select(F.col("scene").cast("long").alias("scene"), "height", "width", "as_expected", "n_polygons", F.round("total_area_km2", 4).alias("total_area_km2"))

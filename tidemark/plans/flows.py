@@ -35,6 +35,12 @@ def infer(model, pixels: DataFrame, threshold: float = 0.3, despeckle: bool = Tr
     return learning.score_forest(model, raster.features(pixels, despeckle), threshold).select(*raster.KEY, "proba", "pred")
 
 
+def write_inference(found: DataFrame, path: str, lines: int = 64) -> None:
+    """The mask (bytes) and the probabilities (floats, named with _proba) of infer() as TIFFs beside each other, one of each per scene."""
+    tiff.write_rasters(found, ["pred"], path, "u1", lines=lines)
+    tiff.write_rasters(found, ["proba"], path, "f4", lines=lines, suffix="_proba")
+
+
 def polygonise(mask: DataFrame, scenes: DataFrame, min_pixels: int = 50) -> DataFrame:
     """Polygons of a mask (scene, row, col, pred). scenes: scene and gt, null without a geotransform."""
     return raster.polygons(raster.component_stats(raster.labelled(mask.where(F.col("pred") == 1)), min_pixels), scenes)
@@ -50,7 +56,7 @@ def detect(model, pixels: DataFrame, scenes: DataFrame, threshold: float = 0.3,
 
 
 def run_scenes(spark: SparkSession, images: str, model, out: str, threshold: float = 0.3, min_pixels: int = 50, shape: tuple[int, int] = (2048, 2048)) -> DataFrame:
-    """From rasters to outputs under `out`: preprocessed and features (Parquet by scene), mask, spills (a collection a scene, as text).
+    """From rasters to outputs under `out`: preprocessed and features (Parquet by scene), mask, spills (a collection a scene, as text), and rasters (mask and probabilities as TIFF).
 
     Returns the run's summary per scene: its shape, whether that is as expected, number of polygons, total area, and the
     outputs' folders. Scenes are the files' names.
@@ -58,11 +64,12 @@ def run_scenes(spark: SparkSession, images: str, model, out: str, threshold: flo
     found = written(tiff.files(spark, images), "rasters")
     pixels = tiff.pixels(found).withColumnRenamed("name", "scene")
     known = tiff.info(found).withColumnRenamed("name", "scene")
-    folders = {k: f"{out.rstrip('/')}/{k}" for k in ("preprocessed", "features", "mask", "spills")}
+    folders = {k: f"{out.rstrip('/')}/{k}" for k in ("preprocessed", "features", "mask", "spills", "rasters")}
     raster.preprocess(pixels).write.partitionBy("scene").parquet(folders["preprocessed"])
     raster.features(pixels).write.partitionBy("scene").parquet(folders["features"])
     infer(model, pixels, threshold).write.partitionBy("scene").parquet(folders["mask"])
     mask = spark.read.parquet(folders["mask"]).withColumn("scene", F.col("scene").cast("string"))
+    write_inference(mask, folders["rasters"])
     spills = written(polygonise(mask, known.select("scene", "gt"), min_pixels), "spills")
     files.write_text(files.polygons_collection(spills, raster.ring()), folders["spills"])
     per = spills.groupBy("scene").agg(F.count(F.lit(1)).alias("n"), F.sum("area_km2").alias("a"))

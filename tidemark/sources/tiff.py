@@ -1,20 +1,28 @@
 """TIFF rasters as relations: pixels of two bands, masks, and what the tags say (shape, geotransform, geo tags).
 
-Classic TIFF of either byte order, in strips or tiles, bands interleaved or apart, plain or deflated, with the horizontal
-predictor for integers. Other encodings raise. A task decodes one file at a time and hands on one line at a time; how many
-files' bytes a batch brings is spark.sql.execution.arrow.maxBytesPerBatch, for the session to set.
+Classic TIFF of either byte order, in strips or tiles, bands interleaved or apart, plain, deflated or LZW, with the horizontal
+predictor for integers or that for floats. Other encodings raise. A file's stored blocks (strips, tiles) are cut out of its bytes and
+dealt to tasks before they are decoded, so a scene is decoded by many tasks, each holding a block; lines that are not wanted are left
+out before that. How many files' bytes a batch brings is spark.sql.execution.arrow.maxBytesPerBatch, for the session to set.
+
+Files are written by strips as well: tasks pack a strip's lines, and a file is its strips one after the other behind a header that
+names the place of the directory, so it is streamed, never held. Files appear under their names when the job has ended well.
 """
 
 from __future__ import annotations
 
+import posixpath
 import struct
+import uuid
 import zlib
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
 from tidemark.functions import scalar as S
 
@@ -47,35 +55,107 @@ def tags(data: bytes) -> tuple[str, dict[int, tuple]]:
     return order, found
 
 
-def decode(data: bytes) -> np.ndarray:
-    """The raster as (bands, height, width)."""
+class Layout(NamedTuple):
+    """How a file stores its pixels: blocks of high x wide, `across` in a row of blocks."""
+
+    dtype: str
+    bands: int
+    height: int
+    width: int
+    high: int
+    wide: int
+    apart: bool
+    packing: int
+    predictor: int
+    across: int
+    down: int
+    offsets: tuple
+    counts: tuple
+
+
+def layout(data: bytes) -> Layout:
     order, t = tags(data)
     one = lambda tag, default: t.get(tag, (default,))[0]
-    width, height, bands, apart = one(256, 0), one(257, 0), one(277, 1), one(284, 1) == 2
+    width, height, bands = one(256, 0), one(257, 0), one(277, 1)
     bits, predictor, packing = set(t.get(258, (1,))), one(317, 1), one(259, 1)
     kind = SAMPLES.get(one(339, 1))
-    if len(bits) != 1 or next(iter(bits)) not in (8, 16, 32, 64) or kind is None or packing not in (1, 8, 32946) or predictor not in (1, 2) or (predictor == 2 and kind == "f"):
+    known = len(bits) == 1 and next(iter(bits)) in (8, 16, 32, 64) and kind is not None and packing in (1, 5, 8, 32946) and (predictor == 1 or (predictor == 2 and kind != "f") or (predictor == 3 and kind == "f"))
+    if not known:
         raise ValueError(f"unsupported TIFF encoding: bits {sorted(bits)}, format {one(339, 1)}, compression {packing}, predictor {predictor}")
-    dtype = np.dtype(f"{order}{kind}{next(iter(bits)) // 8}")
     if 324 in t:
         wide, high, offsets, counts = one(322, 0), one(323, 0), t[324], t[325]
     else:
-        wide, high, offsets, counts = width, min(one(278, height), height), t[273], t[279]
-    across, down = -(-width // wide), -(-height // high)
-    out = np.zeros((bands, height, width), dtype.newbyteorder("="))
-    inner = 1 if apart else bands
-    for i, (offset, count) in enumerate(zip(offsets, counts)):
-        raw = data[offset : offset + count]
-        raw = raw if packing == 1 else zlib.decompress(raw)
-        plane, place = divmod(i, across * down)
-        r, c = place // across * high, place % across * wide
-        block = np.frombuffer(raw, dtype)
-        block = block[: len(block) // (wide * inner) * wide * inner].reshape(-1, wide, inner)
-        if predictor == 2:
-            block = np.cumsum(block, 1, dtype=out.dtype)
-        h, w = min(len(block), high, height - r), min(wide, width - c)
-        lines = np.moveaxis(block[:h, :w], 2, 0)
-        out[plane : plane + 1 if apart else bands, r : r + h, c : c + w] = lines
+        wide, high, offsets, counts = width, min(one(278, height), height), t.get(273, ()), t.get(279, ())
+    across, down = -(-width // wide) if wide else 0, -(-height // high) if high else 0
+    return Layout(f"{order}{kind}{next(iter(bits)) // 8}", bands, height, width, high, wide, one(284, 1) == 2, packing, predictor, across, down, offsets, counts)
+
+
+def unpacked_lzw(data: bytes) -> bytes:
+    """LZW as TIFF has it: codes of 9 to 12 bits, highest bit first, 256 to begin anew, 257 to end, widths growing one code early."""
+    out, table, width, held, bits, last = [], [], 9, 0, 0, None
+    single = [bytes([i]) for i in range(256)] + [b"", b""]
+    for byte in data:
+        held, bits = (held << 8) | byte, bits + 8
+        if bits < width:
+            continue
+        bits -= width
+        code = held >> bits
+        held &= (1 << bits) - 1
+        if code == 257:
+            break
+        if code == 256:
+            table, width, last = single.copy(), 9, None
+            continue
+        if last is None:
+            now = single[code]
+        else:
+            now = table[code] if code < len(table) else last + last[:1]
+            table.append(last + now[:1])
+            if len(table) + 1 >= 1 << width and width < 12:
+                width += 1
+        out.append(now)
+        last = now
+    return b"".join(out)
+
+
+def block(parts: list[bytes], dtype: str, bands: int, wide: int, apart: bool, packing: int, predictor: int) -> np.ndarray:
+    """The pixels (bands, lines, wide) of a stored block: one part, or a part per band where bands lie apart."""
+    kind, inner = np.dtype(dtype), 1 if apart else bands
+    out = []
+    for raw in parts:
+        raw = raw if packing == 1 else unpacked_lzw(raw) if packing == 5 else zlib.decompress(raw)
+        line = wide * inner
+        if predictor == 3:  # a line's bytes lie by significance, highest first, as differences
+            n = len(raw) // (line * kind.itemsize)
+            planes = np.frombuffer(raw, np.uint8, n * line * kind.itemsize).reshape(n, -1, inner)
+            planes = np.cumsum(planes, 1, dtype=np.uint8).reshape(n, kind.itemsize, line)
+            values = np.ascontiguousarray(np.moveaxis(planes, 1, 2)).view(kind.newbyteorder(">")).reshape(n, wide, inner)
+        else:
+            values = np.frombuffer(raw, kind, len(raw) // kind.itemsize // line * line).reshape(-1, wide, inner)
+            if predictor == 2:
+                values = np.cumsum(values, 1, dtype=kind.newbyteorder("="))
+        out.append(np.moveaxis(values, 2, 0).astype(kind.newbyteorder("=")))
+    return np.concatenate(out) if len(out) > 1 else out[0]
+
+
+def blocks(data: bytes, rows: tuple[int, int] | None = None):
+    """First row, first column and parts of every stored block that has lines of `rows` (first, last)."""
+    t = layout(data)
+    for place in range(t.across * t.down):
+        r, c = place // t.across * t.high, place % t.across * t.wide
+        if rows is None or (r <= rows[1] and r + t.high > rows[0]):
+            which = range(place, len(t.offsets), t.across * t.down) if t.apart else (place,)
+            yield r, c, [bytes(data[t.offsets[i] : t.offsets[i] + t.counts[i]]) for i in which]
+
+
+def decode(data: bytes) -> np.ndarray:
+    """The raster as (bands, height, width)."""
+    t = layout(data)
+    out = np.zeros((t.bands, t.height, t.width), np.dtype(t.dtype).newbyteorder("="))
+    for r, c, parts in blocks(data):
+        found = block(parts, t.dtype, t.bands, t.wide, t.apart, t.packing, t.predictor)
+        h, w = min(found.shape[1], t.high, t.height - r), min(t.wide, t.width - c)
+        out[:, r : r + h, c : c + w] = found[:, :h, :w]
     return out
 
 
@@ -91,26 +171,42 @@ def geotransform(t: dict[int, tuple]) -> tuple[float, ...] | None:
     return None if gt == IDENTITY else gt
 
 
-def encode(bands: np.ndarray, gt: tuple[float, ...] | None = None) -> bytes:
-    """A little-endian TIFF of (bands, height, width) in deflated strips of a line, bands interleaved, with a transformation tag."""
-    n, height, width = bands.shape
-    kind = {"u": 1, "i": 2, "f": 3}[bands.dtype.kind]
-    lines = np.ascontiguousarray(np.moveaxis(bands, 0, 2)).astype(bands.dtype.newbyteorder("<"))
-    strips = [zlib.compress(line.tobytes(), 1) for line in lines]
-    body = b"".join(strips) + bytes(sum(map(len, strips)) % 2)
-    offsets = [8, *(8 + np.cumsum([len(x) for x in strips])[:-1]).tolist()] if strips else []
-    fields = [(256, 4, [width]), (257, 4, [height]), (258, 3, [8 * bands.dtype.itemsize] * n), (259, 3, [8]), (273, 4, offsets), (277, 3, [n]), (278, 4, [1]), (279, 4, [len(x) for x in strips]), (284, 3, [1]), (339, 3, [kind] * n)]
+def packed_strip(lines: np.ndarray) -> bytes:
+    """A deflated strip of (bands, lines, width), bands interleaved, low byte first."""
+    kind = lines.dtype.newbyteorder("<")
+    return zlib.compress(np.ascontiguousarray(np.moveaxis(lines, 0, 2)).astype(kind).tobytes(), 1)
+
+
+def header(strips: int) -> bytes:
+    """The beginning of a file whose strips have so many bytes in all: the directory comes after them."""
+    return b"II" + struct.pack("<HI", 42, 8 + strips + strips % 2)
+
+
+def directory(sizes: list[int], shape: tuple[int, int, int], dtype: np.dtype, lines: int, gt: tuple[float, ...] | None = None) -> bytes:
+    """The end of a file of (bands, height, width) after strips of these sizes, of `lines` lines each."""
+    n, height, width = shape
+    kind = {"u": 1, "i": 2, "f": 3}[dtype.kind]
+    total = sum(sizes)
+    offsets = (8 + np.cumsum([0, *sizes])[:-1]).tolist()
+    fields = [(256, 4, [width]), (257, 4, [height]), (258, 3, [8 * dtype.itemsize] * n), (259, 3, [8]), (273, 4, offsets), (277, 3, [n]), (278, 4, [lines]), (279, 4, sizes), (284, 3, [1]), (339, 3, [kind] * n)]
     if gt:
         ox, rx, kx, oy, ky, ry = gt
         fields.append((34264, 12, [rx, kx, 0.0, ox, ky, ry, 0.0, oy, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 1.0]))
-    at = 8 + len(body)
+    at = 8 + total + total % 2
     entries, far = b"", b""
     for tag, code, values in fields:
         raw = struct.pack(f"<{len(values)}{FIELDS[code]}", *values)
         place = raw.ljust(4, b"\0") if len(raw) <= 4 else struct.pack("<I", at + 2 + 12 * len(fields) + 4 + len(far))
         far += raw + bytes(len(raw) % 2) if len(raw) > 4 else b""
         entries += struct.pack("<HHI", tag, code, len(values)) + place
-    return b"II" + struct.pack("<HI", 42, at) + body + struct.pack("<H", len(fields)) + entries + bytes(4) + far
+    return bytes(total % 2) + struct.pack("<H", len(fields)) + entries + bytes(4) + far
+
+
+def encode(bands: np.ndarray, gt: tuple[float, ...] | None = None, lines: int = 1) -> bytes:
+    """A little-endian TIFF of (bands, height, width) in deflated strips, bands interleaved, with a transformation tag."""
+    strips = [packed_strip(bands[:, r : r + lines]) for r in range(0, bands.shape[1], lines)]
+    sizes = [len(x) for x in strips]
+    return header(sum(sizes)) + b"".join(strips) + directory(sizes, bands.shape, bands.dtype, lines, gt)
 
 
 def encoded(pixels: DataFrame, bands: list[str], scenes: DataFrame | None = None) -> DataFrame:
@@ -132,46 +228,222 @@ def encoded(pixels: DataFrame, bands: list[str], scenes: DataFrame | None = None
     return df.groupBy("name").cogroup(gt.groupBy("name")).applyInPandas(run, "name string, content binary") if scenes is not None else df.groupBy("name").applyInPandas(lambda key, left: run(key, left, ()), "name string, content binary")
 
 
+# --- files of a folder, written by strips
+
+_STRIPS = "name string, strip int, height int, width int, content binary"
+
+
+def strips(pixels: DataFrame, bands: list[str], dtype: str = "f4", lines: int = 64) -> DataFrame:
+    """Packed strips of so many lines of every scene: name, strip, height and width (of the scene), content. A task holds a strip.
+
+    Pixels that are missing are 0; of several pixels in one place any counts; values beyond the type are cut to it.
+    """
+    kind = np.dtype(dtype)
+    df = pixels.select(F.col("scene").cast("string").alias("name"), "row", "col", *(F.col(b).cast("double").alias(f"v{i}") for i, b in enumerate(bands)))
+    size = df.groupBy("name").agg((F.max("row") + 1).cast("int").alias("height"), (F.max("col") + 1).cast("int").alias("width"))
+    every = size.select(F.col("name").alias("of"), "height", "width", F.explode(F.sequence(F.lit(0), F.floor((F.col("height") - 1) / lines).cast("int"))).alias("at"))
+
+    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        height, width = (right.column(c)[0].as_py() for c in ("height", "width"))
+        name, strip = (k.as_py() for k in key)
+        out = np.zeros((len(bands), min(lines, height - strip * lines), width), kind)
+        if left.num_rows:
+            at = left.column("row").to_numpy() - strip * lines, left.column("col").to_numpy()
+            for i in range(len(bands)):
+                v = left.column(f"v{i}").fill_null(float("nan") if kind.kind == "f" else 0).to_numpy()
+                if kind.kind != "f":
+                    v = np.clip(np.nan_to_num(v), np.iinfo(kind).min, np.iinfo(kind).max)
+                out[i][at] = v
+        return pa.table({"name": [name], "strip": pa.array([strip], pa.int32()), "height": pa.array([height], pa.int32()), "width": pa.array([width], pa.int32()), "content": pa.array([packed_strip(out)], pa.binary())})
+
+    dealt = df.withColumn("strip", F.floor(F.col("row") / lines).cast("int"))
+    return dealt.groupBy("name", "strip").cogroup(every.groupBy("of", "at")).applyInArrow(run, _STRIPS)
+
+
+class _Commit(WriterCommitMessage):
+    def __init__(self, names: list[str]):
+        self.names = names
+
+
+def _store(path: str):
+    """File system and path of a folder by its address."""
+    from pyarrow.fs import FileSystem, LocalFileSystem
+
+    if path.startswith("file:"):
+        path = "/" + path[5:].lstrip("/")
+    return (LocalFileSystem(), path) if path.startswith("/") else FileSystem.from_uri(path)
+
+
+class _Writer(DataSourceWriter):
+    """Tasks stream whole files into a folder of this job; the driver moves them to their names when all have ended, or removes the folder."""
+
+    def __init__(self, options: dict):
+        self.path, self.dtype, self.bands, self.lines = options["path"], options["dtype"], int(options["bands"]), int(options["lines"])
+        self.job = posixpath.join("_temporary", uuid.uuid4().hex)
+        store, root = _store(self.path)
+        store.create_dir(posixpath.join(root, self.job), recursive=True)
+
+    def write(self, iterator):
+        store, root = _store(self.path)
+        mine = posixpath.join(root, self.job, uuid.uuid4().hex)  # an attempt's own: a second one of this task meets nothing
+        store.create_dir(mine, recursive=False)  # a task that outlives its job meets no folder
+        names, out, now, sizes, last = [], None, None, [], None
+
+        def finish():
+            if out is not None:
+                gt = last["gt"]
+                out.write(directory(sizes, (self.bands, last["height"], last["width"]), np.dtype(self.dtype), self.lines, tuple(gt) if gt else None))
+                out.close()
+
+        for row in iterator:
+            if row["name"] != now:
+                finish()
+                now, sizes = row["name"], []
+                names.append(posixpath.join(mine, f"{now}.tif"))
+                out = store.open_output_stream(names[-1])
+                out.write(header(row["total"]))
+            out.write(bytes(row["content"]))
+            sizes.append(len(row["content"]))
+            last = row
+        finish()
+        return _Commit(names)
+
+    def commit(self, messages):
+        store, root = _store(self.path)
+        for m in messages:
+            for name in m.names if m else ():
+                store.move(name, posixpath.join(root, posixpath.basename(name)))
+        self.abort(messages)
+
+    def abort(self, messages):
+        from pyarrow.fs import FileType
+
+        store, root = _store(self.path)
+        where = posixpath.join(root, self.job)
+        if store.get_file_info(where).type != FileType.NotFound:
+            store.delete_dir(where)
+        above = posixpath.join(root, "_temporary")
+        if store.get_file_info(above).type != FileType.NotFound and not store.get_file_info(_below(above)):
+            store.delete_dir(above)
+
+
+def _below(path: str):
+    from pyarrow.fs import FileSelector
+
+    return FileSelector(path)
+
+
+class TiffSink(DataSource):
+    """Sink of packed strips (name, strip, height, width, content, total, gt), sorted by name and strip within a task."""
+
+    @classmethod
+    def name(cls):
+        return "tidemark_tiff"
+
+    def writer(self, schema, overwrite):
+        return _Writer(dict(self.options))
+
+
+def write_rasters(pixels: DataFrame, bands: list[str], path: str, dtype: str = "f4", scenes: DataFrame | None = None, lines: int = 64, suffix: str = "") -> None:
+    """A TIFF per scene under a folder, named by the scene and the suffix. scenes: scene and gt (null: none), where files carry a geotransform.
+
+    A file is its strips in order: the task that writes it streams them. Scenes' names must be file names. A failed job leaves no file.
+    """
+    from tidemark.plans.lineage import written
+
+    spark = pixels.sparkSession
+    spark.dataSource.register(TiffSink)
+    found = written(strips(pixels, bands, dtype, lines), "strips")
+    total = found.groupBy("name").agg(F.sum(F.length("content")).alias("total"))
+    if scenes is not None:
+        total = total.join(scenes.select(F.col("scene").cast("string").alias("name"), F.when(F.col("gt").isNotNull(), F.array(*(F.col(f"gt.{k}") for k in ("ox", "rx", "kx", "oy", "ky", "ry")))).alias("gt")), "name", "left")
+    else:
+        total = total.withColumn("gt", F.lit(None).cast("array<double>"))
+    ready = found.join(total, "name").withColumn("name", F.concat("name", F.lit(suffix)))
+    # strips of a file meet in one task, packed; sorted, they are streamed
+    ready = ready.repartition("name").sortWithinPartitions("name", "strip")
+    ready.write.format("tidemark_tiff").option("dtype", dtype).option("bands", len(bands)).option("lines", lines).mode("append").save(path)
+
+
 def files(spark: SparkSession, path: str) -> DataFrame:
     """name (without folders and extension) and content of the files of a path."""
     return spark.read.format("binaryFile").load(path).select(S.base_name(F.col("path")).alias("name"), "content")
 
 
-def _lines(found, schema, columns):
+_BLOCKS = "name string, row int, col int, high int, wide int, stored int, dtype string, bands int, apart boolean, packing int, predictor int, parts array<binary>"
+
+
+def stored_blocks(found: DataFrame, rows: tuple[int, int] | None = None) -> DataFrame:
+    """The stored blocks of files (name, content), packed as they are, dealt by name and place; rows: only blocks with lines of these (first, last).
+
+    high and wide are the block's pixels in the raster, stored its width in the file.
+    """
+    kinds = pa.schema([("name", pa.string()), *((c, pa.int32()) for c in ("row", "col", "high", "wide", "stored")), ("dtype", pa.string()), ("bands", pa.int32()), ("apart", pa.bool_()), ("packing", pa.int32()), ("predictor", pa.int32()), ("parts", pa.list_(pa.binary()))])
+
     def run(batches):
         for batch in batches:
-            for name, content in zip(batch.column(0), batch.column(1)):
-                bands = decode(content.as_py())
-                n = bands.shape[2]
-                for r in range(bands.shape[1]):
-                    values = [pa.array(v) for v in columns(bands, r)]
-                    yield pa.RecordBatch.from_arrays([pa.array([name.as_py()] * n), pa.array(np.full(n, r, np.int32)), pa.array(np.arange(n, dtype=np.int32)), *values], names=[x.split()[0] for x in schema.split(", ")])
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+                data = content.as_buffer()
+                data = memoryview(data).tobytes() if data.size < 1 << 16 else memoryview(data)
+                t = layout(data)
+                for r, c, parts in blocks(data, rows):
+                    row = [name, r, c, min(t.high, t.height - r), min(t.wide, t.width - c), t.wide, t.dtype, t.bands, t.apart, t.packing, t.predictor, parts]
+                    yield pa.RecordBatch.from_arrays([pa.array([v], k.type) for v, k in zip(row, kinds)], schema=kinds)
+
+    return found.select("name", "content").mapInArrow(run, _BLOCKS).repartition("name", "row", "col")
 
-    return found.mapInArrow(run, schema)
 
+#: Pixels that a batch of decoded lines has about.
+PIXELS_AT_ONCE = 1 << 16
 
-def pixels(found: DataFrame) -> DataFrame:
-    """name (of the file), row, col, vv and vh of two-band rasters (name, content); further bands are left out."""
 
-    def columns(bands, r):
-        if len(bands) < 2:
+def _lines(found, schema, columns, rows):
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def run(batches):
+        for batch in batches:
+            for b in batch.to_pylist():
+                lines = block(b["parts"], b["dtype"], b["bands"], b["stored"], b["apart"], b["packing"], b["predictor"])[:, : b["high"], : b["wide"]]
+                first = 0 if rows is None else max(0, rows[0] - b["row"])
+                last = lines.shape[1] if rows is None else min(lines.shape[1], rows[1] - b["row"] + 1)
+                step = max(1, PIXELS_AT_ONCE // max(1, b["wide"]))
+                for r in range(first, last, step):
+                    part = lines[:, r : min(r + step, last)]
+                    h, w = part.shape[1:]
+                    row = np.repeat(np.arange(r, r + h, dtype=np.int32) + b["row"], w)
+                    col = np.tile(np.arange(w, dtype=np.int32) + b["col"], h)
+                    yield pa.RecordBatch.from_arrays([pa.array([b["name"]] * (h * w)), pa.array(row), pa.array(col), *(pa.array(v.reshape(-1)) for v in columns(part))], names=names)
+
+    return stored_blocks(found, rows).mapInArrow(run, schema)
+
+
+def pixels(found: DataFrame, rows: tuple[int, int] | None = None) -> DataFrame:
+    """name (of the file), row, col, vv and vh of two-band rasters (name, content); further bands are left out. rows: only lines first to last."""
+
+    def columns(part):
+        if len(part) < 2:
             raise ValueError("a scene has two bands")
-        return bands[0, r].astype(np.float32), bands[1, r].astype(np.float32)
+        return part[0].astype(np.float32), part[1].astype(np.float32)
 
-    return _lines(found, PIXELS, columns)
+    return _lines(found, PIXELS, columns, rows)
 
 
-def masks(found: DataFrame) -> DataFrame:
+def masks(found: DataFrame, rows: tuple[int, int] | None = None) -> DataFrame:
     """name, row, col and y, 1 where the first band is positive."""
-    return _lines(found, MASKS, lambda bands, r: ((bands[0, r] > 0).astype(np.int32),))
+    return _lines(found, MASKS, lambda part: ((part[0] > 0).astype(np.int32),), rows)
+
+
+def bands(found: DataFrame, n: int, rows: tuple[int, int] | None = None) -> DataFrame:
+    """name, row, col and b1 to bn as floats."""
+    return _lines(found, "name string, row int, col int, " + ", ".join(f"b{i + 1} float" for i in range(n)), lambda part: [part[i].astype(np.float32) for i in range(n)], rows)
 
 
-def read_pixels(spark: SparkSession, path: str) -> DataFrame:
-    return pixels(files(spark, path))
+def read_pixels(spark: SparkSession, path: str, rows: tuple[int, int] | None = None) -> DataFrame:
+    return pixels(files(spark, path), rows)
 
 
-def read_masks(spark: SparkSession, path: str) -> DataFrame:
-    return masks(files(spark, path))
+def read_masks(spark: SparkSession, path: str, rows: tuple[int, int] | None = None) -> DataFrame:
+    return masks(files(spark, path), rows)
 
 
 def read_info(spark: SparkSession, path: str) -> DataFrame:
