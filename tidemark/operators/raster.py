@@ -1,7 +1,7 @@
 """Relational rasters (scene, row, col, bands): stencils, despeckling, features, tiles, masks, components, polygons.
 
-Stencils are separable windows over lines of pixels, never over a scene, so a task holds single lines. Components are
-found inside tiles and joined across their borders.
+Stencils run on tiles that know their neighbours' nearest lines; components are found inside tiles and joined across their
+borders. No task holds a scene.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from tidemark.functions import scalar as S
 from tidemark.plans.lineage import written
@@ -19,24 +19,69 @@ from .graph import components
 
 KEY = ("scene", "row", "col")
 
+#: Rows and columns of the tiles that one task takes at a time.
+TILE = 512
+
+
+def _moving_sum(a: np.ndarray, size: int) -> np.ndarray:
+    """Sums over size x size windows of a padded array, by sums of columns and then of lines."""
+    h, w = a.shape[0] - size + 1, a.shape[1] - size + 1
+    across = sum(a[:, i : i + w] for i in range(size))
+    return sum(across[i : i + h] for i in range(size))
+
 
-def _line_mean(df: DataFrame, values: list[str], along: str, across: str, radius: int) -> DataFrame:
-    """Moving means along one axis; beyond the edge the line is mirrored (c b a | a b c)."""
-    line = Window.partitionBy("scene", across)
-    size = F.max(along).over(line) + 1
-    at, n = F.col(along), F.col("_n")
-    places = F.array_compact(F.array(at, F.when(at < radius, -1 - at), F.when(at >= n - radius, 2 * n - 1 - at)))
-    wide = df.withColumn("_n", size).withColumn("_at", F.explode(places))
-    near = line.orderBy("_at").rowsBetween(-radius, radius)
-    for v in values:
-        wide = wide.withColumn(v, F.avg(v).over(near))
-    return wide.where(F.col("_at") == at).drop("_at", "_n")
+def _with_edges(a: np.ndarray, before: tuple[int, int], after: tuple[int, int], mode: str) -> np.ndarray:
+    return np.pad(a, tuple(zip(before, after)), mode={"mirror": "symmetric", "edge": "edge"}[mode])
 
 
-def box_mean(df: DataFrame, values: list[str], size: int = 5) -> DataFrame:
-    """The columns `values` replaced by their size x size means."""
+def box_mean(df: DataFrame, values: list[str], size: int = 5, mode: str = "mirror", tile: int = TILE) -> DataFrame:
+    """The columns `values` replaced by their size x size means, as doubles.
+
+    Pixels go once to their tiles, those near a border to the neighbours' too, and a tile is one array in one task: a single
+    exchange of at most (tile + size)^2 pixels a task. Beyond the scene's edge lines are mirrored (c b a | a b c), or the last one
+    repeated (mode "edge"). Missing pixels and nulls are not counted; NaN spreads over its windows. Of pixels in one place all get
+    the mean in which the last one counts.
+    """
     r = size // 2
-    return _line_mean(_line_mean(df, values, "col", "row", r), values, "row", "col", r)
+    kinds = StructType([StructField(f.name, DoubleType() if f.name in values else f.dataType) for f in df.schema])
+    inner = StructType([StructField(f"c{i}", f.dataType) for i, f in enumerate(kinds)])
+    at = {c: df.columns.index(c) for c in (*KEY, *values)}
+
+    def run(key, table):
+        _, tr, tc = (k.as_py() for k in key)
+        table = table.drop_columns(["_tr", "_tc"])
+        row, col = (table.column(at[c]).to_numpy().astype(np.int64) for c in ("row", "col"))
+        core = (row // tile == tr) & (col // tile == tc)
+        if not core.any():
+            return table.slice(0, 0)
+        r0, c0 = int(row.min()), int(col.min())
+        shape = int(row.max()) - r0 + 1, int(col.max()) - c0 + 1
+        top, left = int(row[core].min()), int(col[core].min())
+        bottom, right = int(row[core].max()), int(col[core].max())
+        before = max(0, r - (top - r0)), max(0, r - (left - c0))
+        after = max(0, r - (r0 + shape[0] - 1 - bottom)), max(0, r - (c0 + shape[1] - 1 - right))
+        shift = r0 - before[0] + r, c0 - before[1] + r  # the first place whose window is whole
+        here = row[core] - shift[0], col[core] - shift[1]
+        out = table.filter(pa.array(core))
+        for v in values:
+            known = table.column(at[v]).is_valid().to_numpy(zero_copy_only=False)
+            a, n = np.zeros(shape), np.zeros(shape)
+            a[row[known] - r0, col[known] - c0] = table.column(at[v]).to_numpy()[known]
+            n[row[known] - r0, col[known] - c0] = 1
+            total = _moving_sum(_with_edges(a, before, after, mode), size)[here]
+            count = float(size * size) if n.all() else _moving_sum(_with_edges(n, before, after, mode), size)[here]
+            mean = total / np.maximum(count, 1)
+            out = out.set_column(at[v], f"c{at[v]}", pa.array(mean, pa.float64(), mask=np.broadcast_to(np.asarray(count) == 0, mean.shape)))
+        return out
+
+    def near(c: str):
+        t = F.floor(F.col(f"c{at[c]}") / tile)
+        place = F.pmod(F.col(f"c{at[c]}"), F.lit(tile))
+        return F.array_compact(F.array(t, F.when(place < r, t - 1), F.when(place >= tile - r, t + 1)))
+
+    placed = df.select(*(F.col(f"`{f.name}`").cast(kinds[i].dataType).alias(f"c{i}") for i, f in enumerate(df.schema)))
+    placed = placed.withColumn("_tr", F.explode(near("row"))).withColumn("_tc", F.explode(near("col")))
+    return placed.groupBy(f"c{at['scene']}", "_tr", "_tc").applyInArrow(run, inner).toDF(*df.columns)
 
 
 def lee(df: DataFrame, bands: list[str], size: int = 5) -> DataFrame:
@@ -52,6 +97,22 @@ def lee(df: DataFrame, bands: list[str], size: int = 5) -> DataFrame:
     return out.select(df.columns)
 
 
+def despeckle(df: DataFrame, bands: list[str], radius: int = 3, looks: int = 1) -> DataFrame:
+    """Lee's filter for multiplicative noise of so many looks: m + b (x - m), b = c / (c + 1 / looks), with local mean m, variance v and c = v / m^2.
+
+    Edges repeat their last line. Where the mean is 0 there is no signal to keep: the value is 0.
+    """
+    if looks < 1 or radius < 1:
+        raise ValueError("a filter has a radius and looks of at least 1")
+    squares = df.select("*", *(F.col(b).cast("double").alias(f"_m_{b}") for b in bands), *((F.col(b) * F.col(b)).alias(f"_s_{b}") for b in bands))
+    out = box_mean(squares, [f"_{k}_{b}" for b in bands for k in "ms"], 2 * radius + 1, "edge")
+    for b in bands:
+        m, x = F.col(f"_m_{b}"), F.col(b)
+        v = F.greatest(F.col(f"_s_{b}") - m * m, F.lit(0.0))
+        out = out.withColumn(b, F.when(m == 0, F.lit(0.0)).otherwise(m + v / (v + m * m / looks) * (x - m)))
+    return out.select(df.columns)
+
+
 def local_std(df: DataFrame, value: str, out: str, size: int = 5) -> DataFrame:
     """Local standard deviation of a column."""
     wide = df.select("*", F.col(value).alias("_m"), (F.col(value) * F.col(value)).alias("_s"))
@@ -97,10 +158,6 @@ def with_mask(pixels: DataFrame, masks: DataFrame) -> DataFrame:
     return pixels.join(masks.select(*KEY, (F.col("y") > 0).cast("int").alias("y")), list(KEY))
 
 
-#: Rows and columns of the tiles that are labelled by one task each.
-TILE = 512
-
-
 def _tile_runs(row: np.ndarray, col: np.ndarray) -> tuple[np.ndarray, ...]:
     """Runs of a tile's pixels (row, c0, c1) in order, and for each the run that comes first in its component. Pixels may repeat."""
     order = np.lexsort((col, row))

@@ -88,6 +88,23 @@ def lee_despeckle_7x7(spark, sf_dir):
     return raster.lee(p, ["vv", "vh"], 7).select(*raster.KEY, *_r("vv", "vh", places=5))
 
 
+def _looks_sql(band: str, looks: int) -> str:
+    v = f"greatest(s{band} - m{band} * m{band}, 0)"
+    return f"round(CASE WHEN m{band} = 0 THEN 0 ELSE m{band} + {v} / ({v} + m{band} * m{band} / {looks}e0) * (src.{band} - m{band}) END, 5) AS {band}"
+
+
+_EDGES = _stencil_sql(_BANDS, "avg(n.vv) AS mvv, avg(n.vh) AS mvh, avg(n.vv * n.vv) AS svv, avg(n.vh * n.vh) AS svh", 3)
+_EDGES = _EDGES[: _EDGES.index("near AS")] + f"""near AS (SELECT s.scene, s."row", s.col, least(greatest(s."row" + dr, 0), h - 1) AS nr, least(greatest(s.col + dc, 0), w - 1) AS nc FROM src s JOIN dim USING (scene) CROSS JOIN off),
+""" + _EDGES[_EDGES.index("means AS") :]
+
+
+@query(_EDGES + f'SELECT src.scene, src."row", src.col, {_looks_sql("vv", 4)}, {_looks_sql("vh", 4)} FROM means JOIN src USING (scene, "row", col)')
+def despeckle_looks(spark, sf_dir):
+    """Speckle of four looks filtered over 7 x 7 pixels."""
+    p = T.pixels(spark, sf_dir).withColumns({b: S.clip_db(F.col(b)) for b in ("vv", "vh")})
+    return raster.despeckle(p, ["vv", "vh"], 3, 4).select(*raster.KEY, *_r("vv", "vh", places=5))
+
+
 def _lee_sql() -> str:
     """Despeckled bands, unrounded: scene, row, col, vv, vh."""
     exact = "CASE WHEN t{0} = 0 THEN src.{0} ELSE m{0} + greatest(s{0} - m{0} * m{0}, 0) / (greatest(s{0} - m{0} * m{0}, 0) + t{0}) * (src.{0} - m{0}) END AS {0}"
