@@ -182,8 +182,9 @@ def attribution_summary(incidents: DataFrame, candidates: DataFrame, n: int = 3,
     best = candidates.withColumn("place", place).where(F.col("place") <= n)
     best = best.groupBy("incident_id").agg(F.array_sort(F.collect_list(F.struct("place", F.struct(*CANDIDATE).alias("x")))).alias("p"))
     counts = candidates.groupBy("incident_id").agg(F.count(F.lit(1)).alias("n"))
+    none = F.from_json(F.lit("[]"), best.schema["p"].dataType)
     df = incidents.select("incident_id").join(counts, "incident_id", "left").join(best, "incident_id", "left")
-    return df.select("incident_id", F.coalesce("n", F.lit(0).cast("long")).alias("n_candidates"), F.lit(not synthetic).alias("real_ais"), F.coalesce(F.transform("p", lambda x: x["x"]), F.transform(F.filter("p", lambda x: F.lit(False)), lambda x: x["x"])).alias("priority"))
+    return df.select("incident_id", F.coalesce("n", F.lit(0).cast("long")).alias("n_candidates"), F.lit(not synthetic).alias("real_ais"), F.transform(F.coalesce("p", none), lambda x: x["x"]).alias("priority"))
 
 
 # Fixed values of the documents.
@@ -204,14 +205,26 @@ def attribution_report(incidents: DataFrame, candidates: DataFrame, synthetic: b
     """incident_id and report (a struct): origin, track points and all candidates in order. A report holds one incident's candidates."""
     ranked = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("attribution_score")).alias("s"), "ordinal", F.struct(*CANDIDATE).alias("x")))), lambda r: r["x"])
     ranked = candidates.groupBy("incident_id").agg(ranked.alias("ranked"))
+    none = F.from_json(F.lit("[]"), ranked.schema["ranked"].dataType)
     df = incidents.join(ranked, "incident_id", "left")
     report = F.struct(
         F.array("lon", "lat").alias("spill_origin"), F.coalesce(F.size("track"), F.lit(0)).alias("hindcast_track_points"), F.lit(not synthetic).alias("real_ais_data_present"),
-        F.lit(AIS_NOTE).alias("provenance_disclaimer"), F.lit(LEGAL).alias("legal_disclaimer"), F.coalesce("ranked", F.filter("ranked", lambda x: F.lit(False))).alias("candidates_ranked"),
+        F.lit(AIS_NOTE).alias("provenance_disclaimer"), F.lit(LEGAL).alias("legal_disclaimer"), F.coalesce("ranked", none).alias("candidates_ranked"),
     )
     return df.select("incident_id", report.alias("report"))
 
 
+def report_pieces(incidents: DataFrame, candidates: DataFrame, synthetic: bool = False) -> DataFrame:
+    """The JSON texts of attribution_report() line by line, a candidate a line: incident_id, part, at and value, for any number of candidates."""
+    from tidemark.sources.files import pieces
+
+    whole = attribution_report(incidents, candidates.limit(0), synthetic)
+    text = F.to_json(F.struct(*(F.col(f"report.{f}").alias(f) for f in whole.schema["report"].dataType.names if f != "candidates_ranked")), {"ignoreNullFields": "false"})
+    heads = whole.select("incident_id", F.concat(F.substring(text, F.lit(1), F.length(text) - 1), F.lit(',"candidates_ranked":[')).alias("value"))
+    rows = candidates.select("incident_id", "attribution_score", "ordinal", F.to_json(F.struct(*CANDIDATE), {"ignoreNullFields": "false"}).alias("value"))
+    return pieces(rows, "incident_id", [-F.col("attribution_score"), F.col("ordinal")], heads, "]}")
+
+
 def spill_summary(spills: DataFrame, by: list[str]) -> DataFrame:
     """Number of spills and total area (unknown areas count 0) per incident."""
     return spills.groupBy(*by).agg(F.count(F.lit(1)).alias("n_spills"), F.coalesce(F.sum(F.coalesce("area_km2", F.lit(0.0))), F.lit(0.0)).alias("total_area_km2"))

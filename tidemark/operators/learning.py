@@ -147,6 +147,25 @@ def report_text(found: DataFrame, head: str) -> DataFrame:
     return found.select(F.concat_ws("\n", *lines, *counts, *cells).alias("value"))
 
 
+def report_lines(rows: DataFrame, head: list[str]) -> DataFrame:
+    """A whole report of rows (y, pred) as lines in order (line, value): the head's, numbers of pixels with shares, scores, the confusion matrix and the classes' rows."""
+    four = lambda c: F.format_string("%.4f", c)
+    n = F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp")
+    share = lambda c: F.format_string("%d (%.2f%%)", c, _ratio(c, n) * 100)
+    scores = [F.concat(F.lit(f"  - {t}: "), four(F.col(c))) for t, c in (("Precision", "precision"), ("Recall", "recall"), ("F1-Score", "f1"), ("IoU", "iou"), ("Accuracy", "accuracy"))]
+    matrix = [F.format_string("[[%d %d]", "tn", "fp"), F.format_string(" [%d %d]]", "fn", "tp")]
+    values = [*map(F.lit, head), F.concat(F.lit("Pixels evaluated: "), n), F.concat(F.lit("Positive in truth: "), share(F.col("fn") + F.col("tp"))), F.concat(F.lit("Predicted positive: "), share(F.col("fp") + F.col("tp")))]
+    values += [F.lit("Metrics of the positive class:"), *scores, F.lit("Confusion matrix (TN, FP / FN, TP):"), *matrix, F.lit("Classes (precision, recall, f1, support):")]
+    text = metrics(rows).select(F.posexplode(F.array(*values)).alias("line", "value"))
+    order = F.element_at(F.create_map(*(x for i, k in enumerate(("0", "1", "macro avg", "weighted avg")) for x in (F.lit(k), F.lit(len(values) + i)))), F.col("label"))
+    return text.unionByName(class_text(report(rows)).select(order.alias("line"), "value"))
+
+
+def training_head(model: str, features: list[str], positives: int, negatives: int, made: str) -> list[str]:
+    """The head's lines of a training report."""
+    return ["Pixel classifier training report", f"Generated: {made}", f"Model: {model}", f"Features: {len(features)} channels ({', '.join(features)})", f"Training samples: {positives + negatives} pixels (positive: {positives}, other: {negatives})", "Validation:"]
+
+
 def class_text(rows: DataFrame) -> DataFrame:
     """Text lines (label, value) of the rows of report()."""
     return rows.select("label", F.format_string("%12s %.4f %.4f %.4f %d", "label", "precision", "recall", "f1", "support").alias("value"))

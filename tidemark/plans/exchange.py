@@ -17,7 +17,7 @@ from tidemark.sources import files, tiff
 from . import flows
 from . import surrogates as T
 from .lineage import run_dir, written
-from .queries import _BOX, _COMPONENTS, _G, _KEPT, _DIST, _MASKED, _RANKED, _SCORE, _SPILLS, _STD, _TRACK, CURRENT, NORM, WIND, _BANDS, _LEE_NORM, VH, VV, _origins, _r, _sample, _spills, _stencil_sql, hindcast_points, query
+from .queries import _BOX, _COMPONENTS, _G, _KEPT, _DIST, _MASKED, _RANKED, _SCORE, _SPILLS, _STD, _TRACK, CURRENT, NORM, WIND, _BANDS, _LEE_NORM, _MANY, SQL, VH, VV, _many, _origins, _r, _sample, _spills, _stencil_sql, hindcast_points, query
 from .surrogates import AIS_SQL, MASK_SQL, PIXELS_SQL
 
 
@@ -248,6 +248,78 @@ def archive_names(spark, sf_dir):
     return p.select("page_id", F.replace("url", F.lit(".html"), F.lit("_prob.html")).alias("probability_path"), F.col("url").contains("scene_00000").alias("is_first"))
 
 
+_REPORT = """lines AS (SELECT 100 + unnest([0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12]) AS line, unnest(['Pixels evaluated: ' || n, 'Positive in truth: ' || printf('%d (%.2f%%)', fn + tp, 100 * (fn + tp)::DOUBLE / n), 'Predicted positive: ' || printf('%d (%.2f%%)', fp + tp, 100 * (fp + tp)::DOUBLE / n), 'Metrics of the positive class:',
+  '  - Precision: ' || {p}, '  - Recall: ' || {r}, '  - F1-Score: ' || {f}, '  - IoU: ' || {i}, '  - Accuracy: ' || {a}, 'Confusion matrix (TN, FP / FN, TP):', printf('[[%d %d]', tn, fp), printf(' [%d %d]]', fn, tp), 'Classes (precision, recall, f1, support):']) AS value FROM (SELECT *, tn + fp + fn + tp AS n FROM c)
+  UNION ALL SELECT 200 + CASE label WHEN '0' THEN 0 WHEN '1' THEN 1 WHEN 'macro avg' THEN 2 ELSE 3 END, lpad(label, 12, ' ') || printf(' %.4f %.4f %.4f %d', precision, recall, f1, support) FROM ({classes}))""".format(
+    p=_FOUR.format("tp", "tp + fp"), r=_FOUR.format("tp", "tp + fn"), f=_FOUR.format("2 * tp", "2 * tp + fp + fn"), i=_FOUR.format("tp", "tp + fp + fn"), a=_FOUR.format("tp + tn", "tp + tn + fp + fn"), classes=SQL["classification_report"]
+)
+
+
+def _written_lines(spark, lines: DataFrame, name: str) -> DataFrame:
+    """Lines written in order as one file of text (a report: a few dozen of them), read again as one value."""
+    path = _place(spark, name)
+    lines.orderBy("line").select("value").coalesce(1).write.text(path)
+    return files.read_text(spark, path).where("value <> ''").select(F.regexp_replace("value", "\\n$", "").alias("value"))
+
+
+@query(f"""{_CELL}, {_REPORT} SELECT string_agg(value, chr(10) ORDER BY line) AS value FROM (SELECT * FROM lines UNION ALL VALUES (0, 'TEST EVALUATION REPORT'), (1, 'Model: forest'), (2, 'Test dataset: labels'))""")
+def test_report_file(spark, sf_dir):
+    """The whole test report as a file: model, data set, pixels and shares, scores, matrix, classes."""
+    return _written_lines(spark, learning.report_lines(T.truth(spark, sf_dir), ["TEST EVALUATION REPORT", "Model: forest", "Test dataset: labels"]), "test-report")
+
+
+@query(f"""{_CELL}, {_REPORT}, s AS (SELECT count(*) FILTER ((event_id * 7919) % 16 < 6) AS p, count(*) FILTER ((event_id * 7919) % 16 >= 6) AS q FROM events)
+SELECT string_agg(value, chr(10) ORDER BY line) AS value FROM (SELECT * FROM lines UNION ALL SELECT unnest([0, 1, 2, 3, 4, 5]), unnest(['Pixel classifier training report', 'Generated: 2026-09-16', 'Model: balanced forest (100 trees, depth 15)', 'Features: 4 channels (vv_norm, vh_norm, diff_norm, vv_std_norm)', 'Training samples: ' || p + q || ' pixels (positive: ' || p || ', other: ' || q || ')', 'Validation:']) FROM s)""")
+def training_report_file(spark, sf_dir):
+    """The training report as a file: model, features, sizes of the sample, and the validation's scores and classes."""
+    n = {r["y"]: r["n"] for r in _sample(written(_separable(spark, sf_dir), "separable")).groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    head = learning.training_head("balanced forest (100 trees, depth 15)", learning.FEATURES, n.get(1, 0), n.get(0, 0), "2026-09-16")
+    return _written_lines(spark, learning.report_lines(T.truth(spark, sf_dir), head), "training-report")
+
+
+@query(f"WITH {PIXELS_SQL} SELECT scene, band, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS std, min(v) AS lo, max(v) AS hi FROM (SELECT scene, 'vv' AS band, round(vv, 6) AS v FROM pixels UNION ALL SELECT scene, 'vh', round(vh, 6) FROM pixels) GROUP BY scene, band")
+def stats_file(spark, sf_dir):
+    """Statistics of every scene's bands written as CSV and read again."""
+    path = _place(spark, "stats")
+    p = T.pixels(spark, sf_dir).select("scene", F.inline(F.array(*(F.struct(F.lit(b).alias("band"), F.round(b, 6).alias("v")) for b in ("vv", "vh")))))
+    p.groupBy("scene", "band").agg(F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("lo"), F.max("v").alias("hi")).write.csv(path, header=True)
+    return spark.read.csv(path, header=True, schema="scene long, band string, mean double, std double, lo double, hi double").select("scene", "band", *_r("mean", "std"), "lo", "hi")
+
+
+@query(f"SELECT * EXCLUDE (scene) FROM ({SQL['geojson_polygons']})")
+def geojson_pieces(spark, sf_dir):
+    """Collections written line by line over many files, and their features read line by line."""
+    path = _place(spark, "pieces")
+    spills = _spills(spark, sf_dir)
+    files.write_pieces(files.polygon_pieces(spills, raster.ring()), "scene", path)
+    lines = spark.read.text(path).where(F.col("value").contains('"Feature"')).select(F.regexp_replace("value", "^,", "").alias("value"))
+    kind = spark.createDataFrame([], "x " + files.POLYGONS.split("features ")[1].replace("array<", "", 1)[:-1]).schema["x"].dataType
+    f = lines.select(F.from_json("value", kind).alias("f")).select("f.properties.*", F.col("f.geometry.coordinates")[0].alias("c"))
+    at = lambda i, k, n: F.round(F.col("c")[i][k], 6).alias(n)
+    return f.select("component_id", "pixel_count", *_r(*_BOX), "area_km2", "georeferenced", F.size("c").alias("corners"), (F.col("c")[0] == F.col("c")[4]).alias("closed"), at(0, 0, "left_x"), at(0, 1, "top_y"), at(2, 0, "right_x"), at(2, 1, "bottom_y"))
+
+
+@query(f"WITH RECURSIVE {_MANY} SELECT mmsi, distance_to_spill_km, distance_to_drift_track_km, attribution_score, evidence_summary FROM ranked")
+def report_pieces(spark, sf_dir):
+    """Attribution reports written line by line, and their candidates read line by line."""
+    path = _place(spark, "reports")
+    sites = _many(spark, sf_dir)
+    files.write_pieces(incidents.report_pieces(sites, incidents.incident_candidates(sites, T.ais(spark, sf_dir))), "incident_id", path)
+    lines = spark.read.text(path).where(F.col("value").contains('"mmsi"')).select(F.regexp_replace("value", "^,", "").alias("value"))
+    return lines.select(F.from_json("value", "mmsi long, distance_to_spill_km double, distance_to_drift_track_km double, attribution_score double, evidence_summary string").alias("j")).select("j.*")
+
+
+@query(f"WITH {PIXELS_SQL} SELECT scene, scene % 2 = 1 AS georeferenced, CASE WHEN scene % 2 = 1 THEN 0.5e0 END AS rx FROM pixels GROUP BY scene")
+def identity_transform(spark, sf_dir):
+    """Files whose transformation is the identity have no geotransform; others keep theirs."""
+    p = T.pixels(spark, sf_dir)
+    one = lambda rx, ry: F.struct(*(F.lit(v).alias(k) for k, v in (("ox", 0.0), ("rx", rx), ("kx", 0.0), ("oy", 0.0), ("ky", 0.0), ("ry", ry))))
+    scenes = p.select("scene").distinct().withColumn("gt", F.when(F.col("scene") % 2 == 1, one(0.5, -0.5)).otherwise(one(1.0, 1.0)))
+    path = _place(spark, "identity")
+    tiff.write_rasters(p, ["vv"], path, scenes=scenes)
+    return tiff.read_info(spark, path).select(F.col("name").cast("long").alias("scene"), F.col("gt").isNotNull().alias("georeferenced"), F.col("gt.rx").alias("rx"))
+
+
 # --- the forest, on truth that a tree can say exactly
 
 _LEVEL = "(event_id * 7919) % 16"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -105,6 +107,35 @@ def polygons_collection(polygons: DataFrame, ring: Column) -> DataFrame:
     return polygons.groupBy("scene").agg(features.alias("f")).select("scene", _collection(F.transform("f", lambda x: x["f"])))
 
 
+def pieces(rows: DataFrame, by: str, order: list[Column], heads: DataFrame, tail: str) -> DataFrame:
+    """Documents line by line: `by`, part (0 head, 1 row, 2 tail), at (a row's place in the order, as a struct) and value.
+
+    rows: by, value and what `order` needs; heads: by and value, of documents without rows too. The first row of a document has no
+    comma before it, so the lines one after the other are the document. No row holds more than one of its rows; rows that tie go
+    in any order.
+    """
+    from tidemark.plans.lineage import written
+
+    # a row's number decides ties and must be the same wherever it is read
+    placed = written(rows.select(by, F.struct(*(c.alias(f"o{i}") for i, c in enumerate(order)), F.monotonically_increasing_id().alias("n")).alias("at"), "value"), "pieces")
+    first = placed.groupBy(by).agg(F.min("at").alias("_first"))
+    body = placed.join(first, by).select(by, F.lit(1).alias("part"), "at", F.when(F.col("at") == F.col("_first"), F.col("value")).otherwise(F.concat(F.lit(","), "value")).alias("value"))
+    ends = lambda part, value: heads.select(by, F.lit(part).alias("part"), F.lit(None).cast(placed.schema["at"].dataType).alias("at"), value.alias("value"))
+    return body.union(ends(0, F.col("value"))).union(ends(2, F.lit(tail)))
+
+
+def write_pieces(lines: DataFrame, by: str, path: str) -> None:
+    """The lines of pieces() in order over the folder's files, cut by range: a document may go on in the next file."""
+    lines.repartitionByRange(by, "part", "at").sortWithinPartitions(by, "part", "at").select("value").write.text(path)
+
+
+def polygon_pieces(polygons: DataFrame, ring: Column) -> DataFrame:
+    """polygons_collection() in pieces, for scenes of any number of features."""
+    head = json.dumps({"type": "FeatureCollection", "crs": {"type": "name", "properties": {"name": CRS}}, "features": []}, separators=(",", ":"))[:-2]
+    scenes = polygons.select("scene").distinct().withColumn("value", F.lit(head))
+    return pieces(polygons_geojson(polygons, ring), "scene", [F.col("component_id")], scenes, "]}")
+
+
 POLYGONS = "type string, crs struct<type:string,properties:struct<name:string>>, features array<struct<type:string,geometry:struct<type:string,coordinates:array<array<array<double>>>>,properties:struct<component_id:long,pixel_count:long,centroid_x:double,centroid_y:double,bbox_min_x:double,bbox_min_y:double,bbox_max_x:double,bbox_max_y:double,area_km2:double,georeferenced:boolean>>>"
 
 
