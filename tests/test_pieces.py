@@ -45,5 +45,5 @@ def test_attribution_reports(spark, tmp_path):
 def test_report_lines(spark):
     rows = spark.createDataFrame([(1, 1), (0, 0), (0, 1), (1, 0), (0, 0)], "y int, pred int")
     lines = [r.value for r in learning.report_lines(rows, ["head"]).orderBy("line").collect()]
-    assert lines[0] == "head" and "Pixels evaluated: 5" in lines and "Positive in truth: 2 (40.00%)" in lines and "  - Accuracy: 0.6000" in lines and len(lines) == 17
+    assert lines[0] == "head" and "Pixels evaluated: 5" in lines and "Positive in truth: 2 (40.00%)" in lines and "  - Accuracy: 0.6000" in lines and len(lines) == 18
     assert [r.value for r in learning.report_lines(rows.limit(0), []).orderBy("line").collect()][0] == "Pixels evaluated: 0"

@@ -171,6 +171,16 @@ def ais_fallback(spark, sf_dir):
     return df.select("mmsi", "vessel_name", "vessel_type", *_r("lon", "lat"), "sog_knots", F.lit(synthetic).alias("synthetic"))
 
 
+@query("""WITH o AS (SELECT event_id // 1000 AS incident_id, 4.035e0 + (event_id // 1000) * 0.01e0 AS lon, 55.243e0 + (event_id // 1000) * 0.005e0 AS lat FROM events GROUP BY ALL)
+SELECT incident_id, CAST(m AS BIGINT) AS mmsi, name AS vessel_name, type AS vessel_type, round(lon + dx, 6) AS lon, round(lat + dy, 6) AS lat, sog AS sog_knots, CAST(i AS BIGINT) AS ordinal FROM o, (VALUES (0, 244123000, 'SYNTHETIC_TANKER_ALPHA', 'Crude Oil Tanker', -0.02e0, -0.015e0, 11.4e0),
+(1, 219001000, 'SYNTHETIC_CHEM_BETA', 'Chemical Tanker', -0.04e0, -0.03e0, 12.1e0), (2, 211987000, 'SYNTHETIC_CARGO_GAMMA', 'General Cargo', 0.08e0, 0.06e0, 13.8e0), (3, 257456000, 'SYNTHETIC_SUPPLY_DELTA', 'Offshore Supply', 0.15e0, -0.10e0, 8.2e0)) v(i, m, name, type, dx, dy, sog)""")
+def ais_fallback_incidents(spark, sf_dir):
+    """The synthetic vessels around every scene's own origin."""
+    s = T.pixels(spark, sf_dir).select(F.col("scene").alias("incident_id")).distinct()
+    o = s.select("incident_id", (F.col("incident_id") * 0.01 + 4.035).alias("lon"), (F.col("incident_id") * 0.005 + 55.243).alias("lat"))
+    return files.synthetic_around(o).select("incident_id", "mmsi", "vessel_name", "vessel_type", *_r("lon", "lat"), "sog_knots", "ordinal")
+
+
 @query(f"""WITH {_DIST}, gaps AS (SELECT ordinal, mmsi, dc, dt, CASE WHEN ordinal % 5 = 1 THEN 'Unknown' ELSE vessel_type END AS vessel_type, CASE WHEN ordinal % 7 = 2 THEN 10e0 ELSE sog_knots END AS sog_knots FROM near)
 SELECT ordinal, mmsi, 'Unknown' AS vessel_name, vessel_type, sog_knots, 0e0 AS cog_degrees, {_SCORE} AS attribution_score, 'SYNTHETIC_TEST_DATA' AS data_provenance,
 '[SYNTHETIC_TEST_DATA] Proximity ' || round(least(dc, dt), 1) || 'km, Category ' || vessel_type || ', SOG ' || sog_knots || ' kts' AS evidence_summary FROM gaps WHERE least(dc, dt) <= 25""")

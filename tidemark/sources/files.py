@@ -28,15 +28,24 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, header=True, schema=MANIFEST).coalesce(1).withColumn("ordinal", F.monotonically_increasing_id())
 
 
+# The four synthetic vessels (number, name, type, offsets from the origin in degrees, speed, course).
+SYNTHETIC = (
+    (244123000, "SYNTHETIC_TANKER_ALPHA", "Crude Oil Tanker", -0.02, -0.015, 11.4, 45.0),
+    (219001000, "SYNTHETIC_CHEM_BETA", "Chemical Tanker", -0.04, -0.03, 12.1, 50.0),
+    (211987000, "SYNTHETIC_CARGO_GAMMA", "General Cargo", 0.08, 0.06, 13.8, 60.0),
+    (257456000, "SYNTHETIC_SUPPLY_DELTA", "Offshore Supply", 0.15, -0.10, 8.2, 210.0),
+)
+
+
 def synthetic_vessels(spark: SparkSession, lon: float, lat: float) -> DataFrame:
-    # The four synthetic vessels, offsets in degrees from the origin.
-    rows = [
-        (244123000, "SYNTHETIC_TANKER_ALPHA", "Crude Oil Tanker", lon - 0.02, lat - 0.015, 11.4, 45.0),
-        (219001000, "SYNTHETIC_CHEM_BETA", "Chemical Tanker", lon - 0.04, lat - 0.03, 12.1, 50.0),
-        (211987000, "SYNTHETIC_CARGO_GAMMA", "General Cargo", lon + 0.08, lat + 0.06, 13.8, 60.0),
-        (257456000, "SYNTHETIC_SUPPLY_DELTA", "Offshore Supply", lon + 0.15, lat - 0.10, 8.2, 210.0),
-    ]
-    return spark.createDataFrame(rows, AIS)
+    return spark.createDataFrame([(m, name, kind, lon + x, lat + y, speed, course) for m, name, kind, x, y, speed, course in SYNTHETIC], AIS)
+
+
+def synthetic_around(incidents: DataFrame) -> DataFrame:
+    """The synthetic vessels around every incident (incident_id, lon, lat), with an ordinal in each: for incidents without positions."""
+    one = lambda i, v: F.struct(*(F.lit(x).alias(n) for n, x in zip(("mmsi", "vessel_name", "vessel_type"), v)), (F.col("lon") + v[3]).alias("lon"), (F.col("lat") + v[4]).alias("lat"), F.lit(v[5]).alias("sog_knots"), F.lit(v[6]).alias("cog"), F.lit(i).cast("long").alias("ordinal"))
+    ships = incidents.select("incident_id", F.explode(F.array(*(one(i, v) for i, v in enumerate(SYNTHETIC)))).alias("v"))
+    return ships.select("incident_id", F.col("v.mmsi").cast("long").alias("mmsi"), *(f"v.{c}" for c in ("vessel_name", "vessel_type", "lon", "lat", "sog_knots", "cog", "ordinal")))
 
 
 def load_ais(spark: SparkSession, path: str | None, lon: float, lat: float) -> tuple[DataFrame, bool]:
