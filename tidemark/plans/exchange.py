@@ -361,16 +361,16 @@ def forest_evaluation(spark, sf_dir):
 
 
 _SKEWED = f"""WITH skewed AS (SELECT event_id // 1000 AS scene, CAST((event_id % 1000) // 40 AS INTEGER) AS "row", CAST(event_id % 40 AS INTEGER) AS col, {_LEVEL} AS v,
-  CAST((event_id * 104729) % 100 < CASE WHEN {_LEVEL} < 4 THEN 35 ELSE 1 END AS INTEGER) AS y FROM events),
+  CAST((event_id * 104729) % 100 < CASE WHEN {_LEVEL} < 4 THEN 35 ELSE 0 END AS INTEGER) AS y FROM events),
   level AS (SELECT v, sum(y) * (SELECT count(*) - sum(y) FROM skewed) > (count(*) - sum(y)) * (SELECT sum(y) FROM skewed) AS more FROM skewed GROUP BY v)"""
 
 
 def _skewed(spark, sf_dir):
-    """Rare positives: a third of four levels of the first band, one in a hundred of the twelve others; the other bands say nothing."""
+    """Rare positives: a third of the rows of four levels of the first band, none of the twelve others; the other bands say nothing."""
     i = F.col("scene") * 1000 + F.col("row") * 40 + F.col("col")
     p = T.pixels(spark, sf_dir).select(*raster.KEY, ((i * 7919) % 16).alias("v"), ((i * 104729) % 100).alias("u"))
     rest = (F.lit(0.5).alias(f) for f in learning.FEATURES[1:])
-    return p.select(*raster.KEY, (F.col("v") / 16).alias(learning.FEATURES[0]), *rest, (F.col("u") < F.when(F.col("v") < 4, 35).otherwise(1)).cast("int").alias("y"))
+    return p.select(*raster.KEY, (F.col("v") / 16).alias(learning.FEATURES[0]), *rest, (F.col("u") < F.when(F.col("v") < 4, 35).otherwise(0)).cast("int").alias("y"))
 
 
 @query(f'{_SKEWED} SELECT scene, "row", col, y, CASE WHEN more THEN 100 ELSE 0 END AS votes, CAST(more AS INTEGER) AS hard, CAST(more AS INTEGER) AS pred FROM skewed JOIN level USING (v)')
@@ -381,7 +381,7 @@ def forest_votes(spark, sf_dir):
     return forest.score_balanced_forest(nodes, df).select(*raster.KEY, "y", "votes", "hard", "pred")
 
 
-@query("SELECT CAST(i AS INTEGER) AS tree, 0.5e0 AS share, count(*) FILTER (y = 1) > 0 AS splits FROM range(100) t(i), (SELECT CAST((event_id * 104729) % 100 < CASE WHEN (event_id * 7919) % 16 < 4 THEN 35 ELSE 1 END AS INTEGER) AS y FROM events) GROUP BY i")
+@query("SELECT CAST(i AS INTEGER) AS tree, 0.5e0 AS share, count(*) FILTER (y = 1) > 0 AS splits FROM range(100) t(i), (SELECT CAST((event_id * 104729) % 100 < CASE WHEN (event_id * 7919) % 16 < 4 THEN 35 ELSE 0 END AS INTEGER) AS y FROM events) GROUP BY i")
 def forest_bootstraps(spark, sf_dir):
     """Every tree's root: weights are balanced in each bootstrap, so both classes weigh the same in each tree exactly."""
     nodes = forest.train_balanced_forest(_sample(written(_skewed(spark, sf_dir), "skewed")), raster.KEY)
