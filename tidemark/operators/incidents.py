@@ -89,13 +89,30 @@ def vessel_distances(ais: DataFrame, centroid: tuple[float, float], track: list[
 SEGMENT = 8
 
 
+def _most(reach: float) -> float:
+    """The squared chord of a distance of `reach` km, rounded up."""
+    return (2 * math.sin(min(reach / S.EARTH_KM, math.pi) / 2)) ** 2 * (1 + 1e-9) + 1e-18
+
+
+def _cells(points: Column, reach: float, cell: float) -> Column:
+    """The grid cells (r, c) where something within reach of any of the points (an array of lon and lat) may lie; without a place none."""
+    across = round(360 / cell)
+    of = lambda f: F.transform(points, lambda p: p[f])
+    low, high = F.array_min(of("lat")), F.array_max(of("lat"))
+    up, wide = _padding(reach, F.greatest(F.abs(low), F.abs(high)) + math.degrees(reach / S.EARTH_KM))
+    rows = F.sequence(F.floor((low - up) / cell), F.floor((high + up) / cell))
+    west, east = F.floor((F.array_min(of("lon")) - wide) / cell), F.floor((F.array_max(of("lon")) + wide) / cell)
+    cols = F.sequence(west, F.least(east, west + across - 1))
+    found = F.flatten(F.transform(rows, lambda r: F.transform(cols, lambda c: F.struct(r.alias("r"), F.pmod(c, F.lit(across)).alias("c")))))
+    return F.coalesce(found, F.filter(F.array(F.struct(F.lit(0).cast("long").alias("r"), F.lit(0).cast("long").alias("c"))), lambda x: F.lit(False)))
+
+
 def _segments(incidents: DataFrame, reach: float, cell: float) -> DataFrame:
     """Segments of up to SEGMENT points of every incident's track in the cells where a ship may need them: incident_id, the centroid's and the points' unit vectors, _row and _col.
 
     A ship needs a segment within reach of it, and all segments if it is within reach of the centroid (the distance to the track
     counts there however far it is). An incident without a track is one segment of null points.
     """
-    across = round(360 / cell)
     pair = lambda p: F.struct(p["lon"].cast("double").alias("lon"), p["lat"].cast("double").alias("lat"))
     here = F.array(F.struct(F.col("lon").cast("double").alias("lon"), F.col("lat").cast("double").alias("lat")))
     track = F.coalesce(F.transform("track", pair), F.array_except(here, here))
@@ -103,20 +120,10 @@ def _segments(incidents: DataFrame, reach: float, cell: float) -> DataFrame:
     parts = incidents.select("incident_id", here.alias("_here"), track.alias("_track")).withColumn("_from", F.explode(starts))
     parts = parts.select("incident_id", "_here", F.slice("_track", F.col("_from") + 1, F.lit(SEGMENT)).alias("_p"))
 
-    def cells(points):
-        of = lambda f: F.transform(points, lambda p: p[f])
-        low, high = F.array_min(of("lat")), F.array_max(of("lat"))
-        up, wide = _padding(reach, F.greatest(F.abs(low), F.abs(high)) + math.degrees(reach / S.EARTH_KM))
-        rows = F.sequence(F.floor((low - up) / cell), F.floor((high + up) / cell))
-        west, east = F.floor((F.array_min(of("lon")) - wide) / cell), F.floor((F.array_max(of("lon")) + wide) / cell)
-        cols = F.sequence(west, F.least(east, west + across - 1))
-        found = F.flatten(F.transform(rows, lambda r: F.transform(cols, lambda c: F.struct(r.alias("r"), F.pmod(c, F.lit(across)).alias("c")))))
-        return F.coalesce(found, F.filter(F.array(F.struct(F.lit(0).cast("long").alias("r"), F.lit(0).cast("long").alias("c"))), lambda x: F.lit(False)))
-
     vector = lambda p: dict(zip("xyz", S.unit_vector(p["lon"], p["lat"])))
     centre = {f"_c{k}": v for k, v in vector(F.col("_here")[0]).items()}
     points = {f"_p{i}{k}": v for i in range(SEGMENT) for k, v in vector(F.get("_p", F.lit(i))).items()}
-    near = F.array_distinct(F.concat(cells(F.col("_p")), cells(F.col("_here"))))
+    near = F.array_distinct(F.concat(_cells(F.col("_p"), reach, cell), _cells(F.col("_here"), reach, cell)))
     df = parts.select("incident_id", *(v.alias(k) for k, v in {**centre, **points}.items()), F.explode(near).alias("_at"))
     return df.select("*", F.col("_at.r").alias("_row"), F.col("_at.c").alias("_col")).drop("_at")
 
@@ -138,13 +145,62 @@ def incident_distances(incidents: DataFrame, ais: DataFrame, reach: float = S.RE
     squared = lambda p: " + ".join(f"(_{k} - {p}{k}) * (_{k} - {p}{k})" for k in "xyz")
     both = ships.join(_segments(incidents, reach, cell), ["_row", "_col"])
     both = both.select(*ais.columns, "_id", "incident_id", F.expr(squared("_c")).alias("_centre"), F.expr("least(" + ", ".join(squared(f"_p{i}") for i in range(SEGMENT)) + ")").alias("_track"))
-    most = (2 * math.sin(min(reach / S.EARTH_KM, math.pi) / 2)) ** 2 * (1 + 1e-9) + 1e-18
-    both = both.where((F.col("_centre") <= most) | (F.col("_track") <= most))
+    both = both.where((F.col("_centre") <= _most(reach)) | (F.col("_track") <= _most(reach)))
     least = both.groupBy("_id", "incident_id", *(f"`{c}`" for c in ais.columns)).agg(F.min("_centre").alias("_centre"), F.min("_track").alias("_track"))
     least = least.select("incident_id", *(f"`{c}`" for c in ais.columns), S.chord_km(F.col("_centre")).alias("dist_centroid"), S.chord_km(F.col("_track")).alias("dist_track"))
     return least.withColumn("effective", F.least("dist_centroid", "dist_track")).where(F.col("effective") <= reach)
 
 
+def _minute(df: DataFrame, name: str) -> Column:
+    """Whole minutes since 1970: a time without zone counts as it is written, one with a zone by its instant (hours that a clock repeats too)."""
+    c = F.col(name)
+    if df.schema[name].dataType.typeName() == "timestamp_ntz":
+        return F.datediff(c, F.lit("1970-01-01")).cast("long") * 1440 + F.hour(c) * 60 + F.minute(c)
+    return F.floor(F.unix_seconds(c) / 60)
+
+
+def timed_pairs(steps: DataFrame, ais: DataFrame, reach: float = S.REACH_KM, minutes: int = 30, cell: float = 0.5) -> DataFrame:
+    """Positions that lie within reach of a track step and within `minutes` of its time: ais's columns, incident_id, step and _squared (of the chord).
+
+    An extension: the ranking by place alone does not look at times. steps: incident_id, step, ts, lon, lat, as drift() gives them
+    for one mode; ais: lon, lat, ts and more. Both bounds count as within. A step goes to the few cells and spans of time where a
+    position may need it, a position lies in one of each, so the join is an equality on cell and span, and Spark splits crowded
+    ones of positions at runtime. Rows without a time or place meet nothing. Both sides may have repeated rows. `ais` may be a stream.
+    """
+    across, span = round(360 / cell), 2 * minutes
+    lon, lat = F.col("lon").cast("double"), F.col("lat").cast("double")
+    here = F.array(F.struct(lon.alias("lon"), lat.alias("lat")))
+    at = _minute(steps, "ts")
+    place = {f"_p{k}": v for k, v in zip("xyz", S.unit_vector(lon, lat))}
+    spans = F.sequence(F.floor((at - minutes) / span), F.floor((at + minutes) / span))
+    own = steps.select("incident_id", "step", F.col("ts").alias("_at"), *(v.alias(k) for k, v in place.items()), _cells(here, reach, cell).alias("_cells"), spans.alias("_spans"))
+    own = own.withColumn("_span", F.explode("_spans")).select("*", F.inline("_cells").alias("_row", "_col")).drop("_cells", "_spans")
+    key = {"_row": F.floor(lat / cell), "_col": F.pmod(F.floor(lon / cell), F.lit(across)), "_span": F.floor(_minute(ais, "ts") / span)}
+    ships = ais.withColumns({**key, **dict(zip(("_x", "_y", "_z"), S.unit_vector(lon, lat)))})
+    both = ships.join(own, list(key))
+    near = F.make_dt_interval(mins=F.lit(minutes))
+    both = both.where((F.col("ts") >= F.col("_at") - near) & (F.col("ts") <= F.col("_at") + near))
+    squared = " + ".join(f"(_{k} - _p{k}) * (_{k} - _p{k})" for k in "xyz")
+    both = both.select(*(f"`{c}`" for c in ais.columns), "incident_id", "step", F.expr(squared).alias("_squared"))
+    return both.where((F.col("_squared") <= _most(reach)) & (S.chord_km(F.col("_squared")) <= reach))
+
+
+def timed_candidates(steps: DataFrame, ais: DataFrame, reach: float = S.REACH_KM, minutes: int = 30, cell: float = 0.5) -> DataFrame:
+    """Every position near a track in place and time, once per incident: ais's columns, incident_id, the nearest step (the earlier number of equals), distance_km and attribution_score."""
+    pairs = timed_pairs(steps, ais.withColumn("_id", F.monotonically_increasing_id()), reach, minutes, cell)
+    best = pairs.groupBy("incident_id", "_id", *(f"`{c}`" for c in ais.columns)).agg(F.min(F.struct("_squared", "step")).alias("_best"))
+    km, kind, sog = S.chord_km(F.col("_best._squared")), F.coalesce("vessel_type", F.lit("Unknown")), F.coalesce(F.col("sog_knots").cast("double"), F.lit(10.0))
+    score = S.attribution_score(S.distance_score(km, reach), S.type_score(kind), S.speed_score(sog))
+    return best.select("incident_id", *(f"`{c}`" for c in ais.columns), F.col("_best.step").alias("step"), F.round(km, 2).alias("distance_km"), F.round(score, 1).alias("attribution_score"))
+
+
+def closest_approaches(pairs: DataFrame, window: str = "1 hour") -> DataFrame:
+    """What timed_pairs() found, by window of the positions' times, incident and vessel: n_pairs, closest_km and the step of it. For tables and streams."""
+    best = F.min(F.struct("_squared", "step")).alias("_best")
+    df = pairs.groupBy(F.window("ts", window).alias("_w"), "incident_id", "mmsi").agg(F.count(F.lit(1)).alias("n_pairs"), best)
+    return df.select(F.col("_w.start").alias("window_start"), "incident_id", "mmsi", "n_pairs", S.chord_km(F.col("_best._squared")).alias("closest_km"), F.col("_best.step").alias("closest_step"))
+
+
 CANDIDATE = ("mmsi", "vessel_name", "vessel_type", "distance_to_spill_km", "distance_to_drift_track_km", "sog_knots", "cog_degrees", "attribution_score", "data_provenance", "evidence_summary")
 
 

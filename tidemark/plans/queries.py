@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,9 +11,10 @@ from pyspark.sql import functions as F
 from tidemark.functions import scalar as S
 from tidemark.operators import forest, incidents, learning, raster
 from tidemark.sources import files
+from tidemark.streaming import approaches
 
 from . import surrogates as T
-from .lineage import written
+from .lineage import run_dir, written
 from .surrogates import AIS_SQL, MASK_SQL, PIXELS_SQL
 
 CURRENT, WIND = (0.12, 0.10), (4.5, 4.0)
@@ -362,6 +364,46 @@ def attribution_report(spark, sf_dir):
         F.array_join(F.transform(got, lambda x: x["mmsi"].cast("string")), ",").alias("ranked"), F.try_element_at(got, F.lit(1))["evidence_summary"].alias("first_evidence"),
     )
 
+# --- positions against track steps in place and time, as a table and as a stream (extensions)
+
+_PAIRS = f"""{T.TIMED_SQL}, steps(incident_id, step, ts, lon, lat) AS (SELECT incident_id, 0, ts, lon, lat FROM origins
+UNION ALL SELECT incident_id, step + 1, ts - INTERVAL 15 MINUTE, lon - {_U!r}e0 * 900 / (111412.84e0 * cos(radians(lat))), lat - {_V!r}e0 * 900 / (111132.92e0 - 559.82e0 * cos(2 * radians(lat))) FROM steps WHERE step < 48),
+places AS (SELECT incident_id, step, ts AS due, {_POINTS} AS x, {_POINTS.replace('lon', 'lat')} AS y FROM steps),
+pairs AS (SELECT * FROM (SELECT incident_id, step, ordinal, mmsi, vessel_type, sog_knots, ts, {_hav('x', 'y')} AS d FROM places JOIN fixes ON ts >= due - INTERVAL 30 MINUTE AND ts <= due + INTERVAL 30 MINUTE) WHERE d <= 25)"""
+_APPROACHES = f"""WITH RECURSIVE {_PAIRS} SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%dT%H:%M:%S') AS window_start, incident_id, mmsi, count(*) AS n_pairs, round(min(d), 4) AS closest_km, arg_min(step, (d, step)) AS closest_step FROM pairs GROUP BY ALL"""
+
+
+def _steps(spark, sf_dir) -> DataFrame:
+    return incidents.drift(T.timed_origins(spark, sf_dir).withColumn("mode", F.lit("hindcast")), 12, CURRENT, WIND)
+
+
+@query(f"""WITH RECURSIVE {_PAIRS} SELECT incident_id, ordinal, mmsi, step, round(dc, 2) AS distance_km, {_SCORE} AS attribution_score
+FROM (SELECT incident_id, ordinal, mmsi, vessel_type, sog_knots, arg_min(step, (d, step)) AS step, min(d) AS dc, min(d) AS dt FROM pairs GROUP BY ALL)""")
+def timed_rank_many(spark, sf_dir):
+    """Vessels near each incident's track when the spill was there, give or take half an hour (an extension: the reference has no time predicate)."""
+    c = incidents.timed_candidates(_steps(spark, sf_dir), T.timed_ais(spark, sf_dir))
+    return c.select("incident_id", "ordinal", "mmsi", "step", "distance_km", "attribution_score")
+
+
+def _shown(df: DataFrame) -> DataFrame:
+    return df.select(F.date_format("window_start", "yyyy-MM-dd'T'HH:mm:ss").alias("window_start"), "incident_id", "mmsi", "n_pairs", *_r("closest_km", places=4), "closest_step")
+
+
+@query(_APPROACHES)
+def closest_approaches(spark, sf_dir):
+    """Closest approaches by hour, incident and vessel (an extension)."""
+    return _shown(incidents.closest_approaches(incidents.timed_pairs(_steps(spark, sf_dir), T.timed_ais(spark, sf_dir))))
+
+
+@query(_APPROACHES)
+def stream_approaches(spark, sf_dir):
+    """The same from the events as a stream (an extension): all that is there now, then the state that is left in the folder."""
+    where = f"{run_dir(spark)}/approaches-{uuid.uuid4().hex}"
+    positions = T.timed_ais(spark, sf_dir, T.event_stream(spark, sf_dir))
+    approaches.start(positions, written(_steps(spark, sf_dir), "steps"), f"{where}/out", f"{where}/checkpoint").awaitTermination()
+    return _shown(approaches.current(spark, f"{where}/out"))
+
+
 
 def dossiers(spark, sf_dir) -> DataFrame:
     """A dossier per scene: its spills, tracks from its primary spill where that is georeferenced, and vessels near those."""

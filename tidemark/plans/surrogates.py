@@ -18,6 +18,9 @@ AIS_SQL = """ais AS (SELECT event_id AS ordinal, 200000000 + user_id AS mmsi, 4.
   55.243e0 + ((event_id * 10007) % 301 - 150) / 200e0 AS lat, value - 25 * floor(value / 25) AS sog_knots,
   CASE event_type WHEN 'purchase' THEN 'Crude Oil Tanker' WHEN 'view' THEN 'General Cargo' WHEN 'click' THEN 'Fishing' WHEN 'signup' THEN 'Container Ship' ELSE 'Offshore Supply' END AS vessel_type FROM events)"""
 
+TIMED_SQL = f"""{AIS_SQL}, fixes AS (SELECT ais.*, ts FROM ais JOIN events ON event_id = ordinal),
+origins AS (SELECT s_suppkey AS incident_id, 4.035e0 + ((s_suppkey * 37) % 101 - 50) / 100e0 AS lon, 55.243e0 + ((s_suppkey * 53) % 101 - 50) / 150e0 AS lat, TIMESTAMP '2024-01-02 00:00:00' + to_hours((s_suppkey * 7919) % 672) AS ts FROM supplier)"""
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -44,16 +47,37 @@ def masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(*(c.alias(n) for n, c in _place(e).items()), F.expr("if((event_id * 7919) % 1009 < 420, 255, 0)").alias("y"))
 
 
-def ais(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")
+def _positions(e: DataFrame, *more: str) -> DataFrame:
     kind = F.expr("case event_type when 'purchase' then 'Crude Oil Tanker' when 'view' then 'General Cargo' when 'click' then 'Fishing' when 'signup' then 'Container Ship' else 'Offshore Supply' end")
     return e.select(
         F.col("event_id").alias("ordinal"), (F.col("user_id") + 200000000).alias("mmsi"), F.expr("4.035e0 + ((event_id * 7919) % 401 - 200) / 200e0").alias("lon"),
         F.expr("55.243e0 + ((event_id * 10007) % 301 - 150) / 200e0").alias("lat"), F.expr("value - 25 * floor(value / 25)").alias("sog_knots"), kind.alias("vessel_type"),
-        F.lit(None).cast("string").alias("vessel_name"), F.lit(None).cast("double").alias("cog"),
+        F.lit(None).cast("string").alias("vessel_name"), F.lit(None).cast("double").alias("cog"), *more,
     )
 
 
+def ais(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _positions(table(spark, sf_dir, "events"))
+
+
+def timed_ais(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
+    """The positions with the times of their events; `events` may be a stream of that table."""
+    e = table(spark, sf_dir, "events") if events is None else events
+    return _positions(e, "ts")
+
+
+def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a stream of files. (A path with a pattern, since a stream takes a single file only so.)"""
+    return spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parque[t]")
+
+
+def timed_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An origin per supplier, in the place and the month of the positions."""
+    place = "4.035e0 + ((s_suppkey * 37) % 101 - 50) / 100e0 AS lon", "55.243e0 + ((s_suppkey * 53) % 101 - 50) / 150e0 AS lat"
+    ts = F.expr("timestamp_ntz'2024-01-02 00:00:00'") + F.make_dt_interval(hours=((F.col("s_suppkey") * 7919) % 672).cast("int"))
+    return table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS incident_id", *place, "s_suppkey").withColumn("ts", ts).drop("s_suppkey")
+
+
 def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
     kind = F.expr("case lang when 'en' then 'oil_spill' when 'de' then 'look_alike' else 'no_oil' end")
