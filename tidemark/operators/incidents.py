@@ -177,7 +177,7 @@ def timed_pairs(steps: DataFrame, ais: DataFrame, reach: float = S.REACH_KM, min
     own = own.withColumn("_span", F.explode("_spans")).select("*", F.inline("_cells").alias("_row", "_col")).drop("_cells", "_spans")
     key = {"_row": F.floor(lat / cell), "_col": F.pmod(F.floor(lon / cell), F.lit(across)), "_span": F.floor(_minute(ais, "ts") / span)}
     ships = ais.withColumns({**key, **dict(zip(("_x", "_y", "_z"), S.unit_vector(lon, lat)))})
-    both = ships.join(own, list(key))
+    both = ships.join(own.hint("merge"), list(key))  # never broadcast: Spark does not count what the generators add to the steps
     near = F.make_dt_interval(mins=F.lit(minutes))
     both = both.where((F.col("ts") >= F.col("_at") - near) & (F.col("ts") <= F.col("_at") + near))
     squared = " + ".join(f"(_{k} - _p{k}) * (_{k} - _p{k})" for k in "xyz")
