@@ -76,8 +76,10 @@ def test_dossier_and_report(spark):
     assert bare.sar_detection_summary.primary_slick.pixel_count == 0 and bare.fusion_confidence.overall_confidence_score == 0.3
 
 
-def test_vessels_near_many_incidents(spark):
-    """The grid join against all pairs: places at the date line and near a pole, tracks that are missing or empty."""
+@pytest.mark.parametrize("most", [incidents.BROADCAST_SEGMENTS, 0])
+def test_vessels_near_many_incidents(spark, monkeypatch, most):
+    """The grid join against all pairs, its segments broadcast or shuffled: places at the date line and near a pole, tracks that are missing or empty."""
+    monkeypatch.setattr(incidents, "BROADCAST_SEGMENTS", most)
     rng = np.random.default_rng(5)
     sites = [(0, 179.95, 10.0, [(179.99, 10.1), (-179.95, 10.2)]), (1, -179.99, -10.0, None), (2, 30.0, 89.9, []), (3, 4.0, 55.0, [(4.0 + k / 50, 55.0) for k in range(40)]), (4, 4.0, 55.0, [(4.1, 55.1)]), (5, 0.0, 0.0, [])]
     centres = [(s[1], s[2]) for s in sites] + [p for s in sites for p in (s[3] or [])]
@@ -89,7 +91,9 @@ def test_vessels_near_many_incidents(spark):
         ships.append((i, i, float((x + 180) % 360 - 180), y))
     frame = spark.createDataFrame(sites, "incident_id long, lon double, lat double, track array<struct<lon:double,lat:double>>")
     ais = spark.createDataFrame(ships, "ordinal long, mmsi long, lon double, lat double")
-    got = {(r.incident_id, r.ordinal): (r.dist_centroid, r.dist_track) for r in incidents.incident_distances(frame, ais).collect()}
+    found = incidents.incident_distances(frame, ais)
+    assert ("BroadcastHashJoin" in found._jdf.queryExecution().executedPlan().toString()) == (most > 0)
+    got = {(r.incident_id, r.ordinal): (r.dist_centroid, r.dist_track) for r in found.collect()}
 
     def km(x1, y1, x2, y2):
         x1, y1, x2, y2 = map(np.radians, (x1, y1, x2, y2))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalar as S
+from tidemark.plans.lineage import written
 
 
 def drift(origins: DataFrame, hours: float, current: tuple[float, float], wind: tuple[float, float], leeway: float = S.LEEWAY, deflection: float = S.DEFLECTION, minutes: int = 15) -> DataFrame:
@@ -87,6 +88,13 @@ def vessel_distances(ais: DataFrame, centroid: tuple[float, float], track: list[
 
 #: Points of a track that go through the join side by side, as columns of one row.
 SEGMENT = 8
+#: Rows of segments and cells (some thirty numbers each, about 25 MB in all) that may go to every task.
+BROADCAST_SEGMENTS = 100_000
+
+
+def _spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt by keys over all shuffle partitions: few rows that later steps multiply must not be put together for their small size."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
 def _most(reach: float) -> float:
@@ -118,7 +126,7 @@ def _segments(incidents: DataFrame, reach: float, cell: float) -> DataFrame:
     track = F.coalesce(F.transform("track", pair), F.array_except(here, here))
     starts = F.sequence(F.lit(0), F.greatest(F.size("_track") - 1, F.lit(0)), F.lit(SEGMENT))
     parts = incidents.select("incident_id", here.alias("_here"), track.alias("_track")).withColumn("_from", F.explode(starts))
-    parts = parts.select("incident_id", "_here", F.slice("_track", F.col("_from") + 1, F.lit(SEGMENT)).alias("_p"))
+    parts = _spread(parts, "incident_id", "_from").select("incident_id", "_here", F.slice("_track", F.col("_from") + 1, F.lit(SEGMENT)).alias("_p"))
 
     vector = lambda p: dict(zip("xyz", S.unit_vector(p["lon"], p["lat"])))
     centre = {f"_c{k}": v for k, v in vector(F.col("_here")[0]).items()}
@@ -134,16 +142,21 @@ def incident_distances(incidents: DataFrame, ais: DataFrame, reach: float = S.RE
     incidents: incident_id, lon, lat (centroid) and track, an array of lon and lat (null or empty: the centroid alone counts).
     Tracks are cut into segments, and each goes to the cells of a grid where a position may need it; a position lies in one
     cell, so the join is an equality. Squared chords to a segment's points are one generated expression; pairs out of reach of
-    both go before the minimum over segments is taken, and only what is left costs an arc. Positions are dealt by a number of
-    their own, so crowded cells are spread over tasks, and the minimum needs no further shuffle where segments are few
-    enough for Spark to broadcast. Cells wrap round at 180 degrees.
+    both go before the minimum over segments is taken, and only what is left costs an arc. Cells wrap round at 180 degrees.
+
+    Segments with their cells are written and counted. Up to BROADCAST_SEGMENTS of them go to all tasks: positions, dealt by a
+    number of their own, stay where they are, so crowded cells are spread, and the minimum needs no further shuffle.
+    More are joined by a shuffle on the cells, where crowded ones are left to Spark's splitting of skewed joins.
     """
     across = round(360 / cell)
     lon, lat = F.col("lon").cast("double"), F.col("lat").cast("double")
-    ships = ais.withColumn("_id", F.monotonically_increasing_id()).repartition("_id")
+    segments = written(_segments(incidents, reach, cell), "segments")
+    few = segments.count() <= BROADCAST_SEGMENTS
+    ships = ais.withColumn("_id", F.monotonically_increasing_id())
+    ships = _spread(ships, "_id") if few else ships
     ships = ships.withColumns({"_row": F.floor(lat / cell), "_col": F.pmod(F.floor(lon / cell), F.lit(across)), **dict(zip(("_x", "_y", "_z"), S.unit_vector(lon, lat)))})
     squared = lambda p: " + ".join(f"(_{k} - {p}{k}) * (_{k} - {p}{k})" for k in "xyz")
-    both = ships.join(_segments(incidents, reach, cell), ["_row", "_col"])
+    both = ships.join(segments.hint("broadcast" if few else "merge"), ["_row", "_col"])
     both = both.select(*ais.columns, "_id", "incident_id", F.expr(squared("_c")).alias("_centre"), F.expr("least(" + ", ".join(squared(f"_p{i}") for i in range(SEGMENT)) + ")").alias("_track"))
     both = both.where((F.col("_centre") <= _most(reach)) | (F.col("_track") <= _most(reach)))
     least = both.groupBy("_id", "incident_id", *(f"`{c}`" for c in ais.columns)).agg(F.min("_centre").alias("_centre"), F.min("_track").alias("_track"))
@@ -173,7 +186,7 @@ def timed_pairs(steps: DataFrame, ais: DataFrame, reach: float = S.REACH_KM, min
     at = _minute(steps, "ts")
     place = {f"_p{k}": v for k, v in zip("xyz", S.unit_vector(lon, lat))}
     spans = F.sequence(F.floor((at - minutes) / span), F.floor((at + minutes) / span))
-    own = steps.select("incident_id", "step", F.col("ts").alias("_at"), *(v.alias(k) for k, v in place.items()), _cells(here, reach, cell).alias("_cells"), spans.alias("_spans"))
+    own = _spread(steps, "incident_id", "step").select("incident_id", "step", F.col("ts").alias("_at"), *(v.alias(k) for k, v in place.items()), _cells(here, reach, cell).alias("_cells"), spans.alias("_spans"))
     own = own.withColumn("_span", F.explode("_spans")).select("*", F.inline("_cells").alias("_row", "_col")).drop("_cells", "_spans")
     key = {"_row": F.floor(lat / cell), "_col": F.pmod(F.floor(lon / cell), F.lit(across)), "_span": F.floor(_minute(ais, "ts") / span)}
     ships = ais.withColumns({**key, **dict(zip(("_x", "_y", "_z"), S.unit_vector(lon, lat)))})
