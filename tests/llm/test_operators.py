@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import mixing, mpeg_audio, packing, quality_crf, quality_rules, secret_scan, simhash_dedup, toxicity
 from tidemark.llm.queries import QUERIES
+from tidemark.llm.samples import labelled_sample
 
 SF = "/root/testdata/sf0.001"
 ODD = "doc_id long, text string, lang string, source string, n_chars long, body string, row long, h long, size long, _size long, _row long, fp long, `a.b` string"
@@ -414,8 +416,9 @@ def test_mixing_deals_quotas_to_shards(spark, group):
     """Shards' draws are disjoint and add up to every source's quota; what documents give comes from them alone."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     sized = docs.select("doc_id", "source", mixing.size_of(F.col("text")).alias("size"))
-    plan, blocks, depth = mixing.mix_plan(sized, group=group)
-    assert (blocks, depth) == (4096, 3)
+    plan, names, depth = mixing.mix_plan(sized, group=group)
+    texts = Counter(r.source for r in sized.where("size > 0").collect())
+    assert depth == 3 and {r.of: r.blocks for r in names.collect()} == {s: min(4096, n) for s, n in texts.items()}
     out = mixing.mixed(docs, group=group)
     assert out.rdd.getNumPartitions() == 8
     rows = plan.select("source", "target", "source_size", "block", "edge", F.posexplode("draws").alias("nth", "d")).select("*", "d.*").collect()
@@ -428,13 +431,36 @@ def test_mixing_deals_quotas_to_shards(spark, group):
         per = Counter(r.shard for r in rows if r.source == s)
         assert max(per.values()) < 3 * sum(per.values()) / 8 + 6
     given = {(r.source, r.block): r for r in plan.collect()}
-    block = {r.doc_id: (r.source, r.block) for r in sized.withColumn("block", mixing._block(mixing.SEED, blocks)).collect()}
+    numbered = sized.join(names, F.col("source").eqNullSafe(F.col("of")))
+    block = {r.doc_id: (r.source, r.block) for r in numbered.withColumn("block", mixing._block(mixing.SEED, F.col("blocks"))).collect()}
     for r in mixing.taken(docs, group=group).collect():
         x = given[block[r.doc_id]]
         assert r.shards == [d.shard for d in x.draws][: len(r.shards)] and len(x.draws) - len(r.shards) <= (x.edge is not None)
         assert r.taken == len(r.shards) * r.size if x.edge is None else len(r.shards) * r.size >= r.taken
 
 
+def test_mixing_many_small_sources(spark, monkeypatch):
+    """A large source and a thousand small ones: a few rows of the plan a document, targets met, however sources are joined."""
+    rows = [(i, " ".join(["w"] * (1 + i % 9)), "large" if i < 3000 else None if i % 1000 == 7 else f"s{i % 1000}") for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    sized = docs.select("doc_id", "source", mixing.size_of(F.col("text")).alias("size"))
+    plan, names, _ = mixing.mix_plan(sized)
+    blocks = {r.of: r.blocks for r in names.collect()}
+    assert len(blocks) == 1001 and blocks["large"] == 3000 and set(blocks.values()) == {3, 3000}
+    table = plan.collect()
+    assert len(table) <= len(rows) and sum(len(r.draws) for r in table) <= 4 * len(rows)
+    got = mixing.taken(docs).collect()
+    took, sizes = Counter(), Counter()
+    for r in got:
+        took[r.source] += r.taken
+        sizes[r.source] += r.size
+        assert r.taken <= 3 * r.size
+    want = plain_targets(sizes)
+    assert len(got) == len(rows) and all(abs(took[s] - want[s]) <= 3 for s in sizes)
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 10)
+    assert sorted(map(str, mixing.taken(docs).collect())) == sorted(map(str, got))
+
+
 def test_mixing_is_native(spark):
     plan = mixing.taken(spark.read.parquet(f"{SF}/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
@@ -589,6 +615,65 @@ def test_classifiers_on_odd_rows(spark, odd, none, module, label):
     assert module.scored(none, build(none, labels)).count() == 0
 
 
+def plain_quality(text, model):
+    """A document's score from the model's numbers, line by line in plain Python."""
+    lines, own, seen = text.split(b"\n"), [], set()
+    kinds = list(quality_crf._CLASSES.values())  # a byte counts for the last class that has it
+    kinds = [set(k).difference(*kinds[i + 1 :]) for i, k in enumerate(kinds)]
+    for x in lines:
+        f = [Fraction(sum(b in k for b in x), max(1, len(x))) > Fraction(str(s)) for k in kinds for s in quality_crf._STEPS]
+        w = x.split()
+        fresh = Fraction(len(set(w)), len(w)) if w else 1
+        f += [len(x) >= s for s in quality_crf._LENGTHS]
+        f += [bool(w) and x in seen, len(w) == 1, len(w) >= 40, bool(w) and len(x) > 12 * len(w)]
+        f += [len(w) >= 4 and fresh < Fraction(s) for s in ("0.75", "0.55", "0.4", "0.25")]
+        seen.add(x)
+        own.append(f)
+    n = len(own[0])
+    part = lambda k, f: sum(model.weights[k * n + i] for i, on in enumerate(f) if on)
+    e = []
+    for i in range(len(own)):
+        v = part(0, own[i]) + (part(1, own[i - 1]) if i else 0) + (part(2, own[i + 1]) if i + 1 < len(own) else 0) + model.weights[-1]
+        e.append(min(30, max(-30, v)))
+    ahead, back, t = [(0.0, e[0])], [(0.0, 0.0)], model.transition
+    log_sum = lambda a, b: max(a, b) + math.log1p(math.exp(-abs(a - b)))
+    for v in e[1:]:
+        ahead.append(tuple(log_sum(ahead[-1][0] + t[0, y], ahead[-1][1] + t[1, y]) + y * v for y in (0, 1)))
+    for v in e[:0:-1]:
+        back.append(tuple(log_sum(t[y, 0] + back[-1][0], t[y, 1] + v + back[-1][1]) for y in (0, 1)))
+    good = [1 / (1 + math.exp(min(700, a[0] + b[0] - a[1] - b[1]))) for a, b in zip(ahead, back[::-1])]
+    p = sum(g * (len(x) + 1) for g, x in zip(good, lines)) / sum(len(x) + 1 for x in lines)
+    p = min(1 - 1e-6, max(1e-6, p))
+    return 1 / (1 + math.exp(-(model.scale * math.log(p / (1 - p)) + model.shift)))
+
+
+def test_crf_scores_against_plain_version(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{n}.parquet") for n in ("documents", "labels"))
+    model = quality_crf.quality_model(docs, labels)
+    text = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    rows = QUERIES["op5_quality_crf"](spark, "/root/testdata/sf0.01").collect()
+    assert len(rows) == len(text)
+    for r in rows:
+        assert r.score == pytest.approx(plain_quality(text[r.doc_id], model), abs=1e-5) and r.predicted == (r.score >= 0.5)
+
+
+def test_crf_gradient_and_bound_on_lines(spark):
+    rng = np.random.default_rng(3)
+    counts = np.array([1, 4, 2])
+    own = (rng.random((7, quality_crf.BASE)) < 0.3).astype(np.float32)
+    w, d, inner = rng.normal(size=quality_crf.FEATURES), rng.normal(size=7), quality_crf._inner(counts)
+    g = quality_crf.gradient(own, d, inner)
+    for k in (*range(0, quality_crf.FEATURES, 13), quality_crf.FEATURES - 1):
+        step = np.zeros(quality_crf.FEATURES)
+        step[k] = 1
+        moved = quality_crf.emissions(own, w + step, inner) - quality_crf.emissions(own, w, inner)
+        assert g[k] == pytest.approx(d @ moved, abs=1e-4)
+    docs = spark.createDataFrame([(i, "\n" * (i * 10)) for i in range(30)] + [(40, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(41)], "doc_id long, quality int")
+    texts, _, _ = labelled_sample(docs, labels, "quality", 100, 10_000, 101)
+    assert sorted(map(len, texts)) == sorted([i * 10 for i in range(11) if zlib.crc32(str(i).encode()) % 3 != 1] + ([0] if zlib.crc32(b"40") % 3 != 1 else []))
+
+
 def test_crf_marginals_against_all_labellings():
     r = np.random.default_rng(2)
     counts = np.array([3, 1, 4])

@@ -13,8 +13,9 @@ that source's draws, from where the leaves before it end; a draw is a pass over
 blocks, and what a document gives is what the leaves were dealt. Shards order their rows by a hash. All is a function of
 the rows and the seed, so reruns agree.
 
-The tree has at least eight leaves and as many as it takes for a leaf to have SHARD_WORDS words at most on average; there are
-sixteen blocks or more per source and leaf, 4,096 at least. Sources are dealt in groups of GROUP: a node's draws first
+The tree has at least eight leaves and as many as it takes for a leaf to have SHARD_WORDS words at most on average. All blocks
+together are sixteen a leaf, 4,096 at least; a source has as many of them as its share of all words asks for, 4,096 at least, but
+never more than it has documents with words, so draws and the plan have a few rows a document at most. Sources are dealt in groups of GROUP: a node's draws first
 among groups, then within each, so no array grows with the sources but that of the groups' sums. The blocks' table
 (source, block, its draws) is broadcast only when it has at most BROADCAST_ROWS rows, else joined by a shuffle, where a
 source is spread over its blocks.
@@ -39,6 +40,8 @@ BLOCKS, SEED = 4096, 20240607
 #: Words of a shard on average, at most; the least depth of the tree; sources that a node's array holds.
 SHARD_WORDS, LEAST_DEPTH, GROUP = 1 << 22, 3, 256
 BROADCAST_SOURCES, BROADCAST_ROWS, MOST_PARTITIONS = 10_000, 200_000, 1 << 16
+#: Parts in which rows of one source meet its row where sources are too many to go to every task.
+SALTS = 64
 #: Blocks whose words are summed together before the block at a source's cut is looked for.
 SUPERBLOCK = 1024
 WORD = r"[^\x20\x09-\x0D]+"
@@ -48,7 +51,7 @@ def size_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def _block(seed: int, blocks: int) -> Column:
+def _block(seed: int, blocks: int | Column) -> Column:
     return F.pmod(F.xxhash64("doc_id", "source", "size", F.lit(seed)), F.lit(blocks)).cast("int")
 
 
@@ -58,15 +61,15 @@ def _place(seed: int) -> Column:
 
 
 def targets(sized: DataFrame, weights=WEIGHTS, limit: float = LIMIT) -> DataFrame:
-    """A row per source: number (by code point, null last), source, source_size and target."""
-    totals = sized.groupBy("source").agg(F.sum("size").alias("source_size")).orderBy(F.col("source").asc_nulls_last())
+    """A row per source: number (by code point, null last), source, source_size, texts (documents with words) and target."""
+    totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count_if(F.col("size") > 0).alias("texts")).orderBy(F.col("source").asc_nulls_last())
     # a sorted row's number: its place in its partition and the rows of the partitions before
     totals = written(totals.withColumn("at", F.monotonically_increasing_id()), "mix-sources")
     part = F.shiftright("at", 33)
     before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     parts = totals.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).select("part", before.alias("before"))
     number = F.col("before") + F.col("at").bitwiseAND((1 << 33) - 1)
-    rows = totals.withColumn("part", part).join(parts, "part").select(number.alias("number"), "source", "source_size")
+    rows = totals.withColumn("part", part).join(parts, "part").select(number.alias("number"), "source", "source_size", "texts")
     rows = written(rows.withColumn("weight", F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.col("number") % len(weights) + 1).cast("int"))), "mix-weights")
     cap = F.col("source_size") * limit / F.col("weight")
     size, weight = (x or 0 for x in rows.agg(F.sum("source_size"), F.sum("weight")).first())
@@ -77,7 +80,7 @@ def targets(sized: DataFrame, weights=WEIGHTS, limit: float = LIMIT) -> DataFram
             break
         capped, left = n, weight - w
         level = (size - limit * words) / left if left > 0 else math.inf  # where every source is capped each target is its cap
-    return rows.select("number", "source", "source_size", F.least(F.col("source_size") * limit, F.col("weight") * F.lit(float(level))).alias("target"))
+    return rows.select("number", "source", "source_size", "texts", F.least(F.col("source_size") * limit, F.col("weight") * F.lit(float(level))).alias("target"))
 
 
 def hypergeometric(total: Column, good: Column, draws: Column, *salt: Column) -> Column:
@@ -154,8 +157,20 @@ def _crossing(rows: DataFrame, by: str) -> DataFrame:
     return running.where("left > 0 and before <= left and before + words > left").drop("words").withColumn("left", F.col("left") - F.col("before")).drop("before")
 
 
-def mix_plan(sized: DataFrame, weights=WEIGHTS, limit: float = LIMIT, blocks: int = BLOCKS, seed: int = SEED, shard_words: int = SHARD_WORDS, group: int = GROUP) -> tuple[DataFrame, int, int]:
-    """A row per source and block, the number of blocks, and the depth of the tree.
+def _by_source(rows: DataFrame, names: DataFrame) -> DataFrame:
+    """Rows with their source's number and blocks; a source's rows never meet in one task.
+
+    Up to BROADCAST_SOURCES sources go to every task; more are joined on source and one of SALTS parts.
+    """
+    if names.count() <= BROADCAST_SOURCES:
+        return rows.join(F.broadcast(names), F.col("source").eqNullSafe(F.col("of"))).drop("of")
+    parts = names.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "size"), F.lit(SALTS)).cast("int"))
+    return salted.join(parts, F.col("source").eqNullSafe(F.col("of")) & (F.col("_salt") == F.col("_part"))).drop("of", "_part", "_salt")
+
+
+def mix_plan(sized: DataFrame, weights=WEIGHTS, limit: float = LIMIT, blocks: int = BLOCKS, seed: int = SEED, shard_words: int = SHARD_WORDS, group: int = GROUP) -> tuple[DataFrame, DataFrame, int]:
+    """A row per source and block, the sources (number, of, blocks), and the depth of the tree.
 
     source_size, target, draws (of the block: pass and shard), and for the block at a source's cut, whose last draw is
     partial: edge and part (documents placed before the edge are taken, of that at the edge `part` words).
@@ -164,9 +179,10 @@ def mix_plan(sized: DataFrame, weights=WEIGHTS, limit: float = LIMIT, blocks: in
     goal = written(goal.withColumn("rest", F.greatest(F.lit(0.0), F.col("target") - F.col("passes") * F.col("source_size"))), "mix-targets")
     words, sources = goal.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.max("number") + 1, F.lit(0))).first()
     depth = max(LEAST_DEPTH, math.ceil(math.log2(max(1.0, words / shard_words))))
-    blocks = max(blocks, 16 << depth)
-    names = goal.select("number", F.col("source").alias("of"))
-    named = sized.join(F.broadcast(names) if sources <= BROADCAST_SOURCES else names, F.col("source").eqNullSafe(F.col("of"))).drop("of").withColumn("block", _block(seed, blocks))
+    share = F.ceil(F.col("source_size") * F.lit(max(blocks, 16 << depth) / max(1, words)))
+    goal = goal.withColumn("blocks", F.greatest(F.lit(1), F.least("texts", F.greatest(F.lit(blocks), share))).cast("long")).drop("texts")
+    names = goal.select("number", F.col("source").alias("of"), "blocks")
+    named = _by_source(sized, names).withColumn("block", _block(seed, F.col("blocks"))).drop("blocks")
     per_block = written(named.groupBy("number", "block").agg(F.sum("size").alias("words")), "mix-blocks")
     big = F.expr(f"block div {SUPERBLOCK}").alias("big")
     coarse = _crossing(per_block.groupBy("number", big).agg(F.sum("words").alias("words")).join(goal.select("number", F.col("rest").alias("left")), "number"), "big")
@@ -177,27 +193,27 @@ def mix_plan(sized: DataFrame, weights=WEIGHTS, limit: float = LIMIT, blocks: in
     inside = _crossing(inside, "edge").select("number", "edge", F.expr("left div copies").alias("part"))
     cut = cut.select("number", F.col("block").alias("cut")).join(inside, "number", "left")
     # no block was cut: the rest is nothing, or all words by a rounding error
-    plan = goal.join(cut, "number", "left").withColumn("cut", F.coalesce("cut", F.when(F.col("rest") > 0, F.lit(blocks)).otherwise(F.lit(0))))
-    plan = written(plan.withColumn("quota", (F.col("passes") * blocks + F.col("cut") + F.when(F.col("edge").isNotNull(), 1).otherwise(0)).cast("long")), "mix-quotas")
+    plan = goal.join(cut, "number", "left").withColumn("cut", F.coalesce("cut", F.when(F.col("rest") > 0, F.col("blocks")).otherwise(F.lit(0))))
+    plan = written(plan.withColumn("quota", (F.col("passes") * F.col("blocks") + F.col("cut") + F.when(F.col("edge").isNotNull(), 1).otherwise(0)).cast("long")), "mix-quotas")
     quotas = plan.groupBy(F.expr(f"number div {group}").alias("group")).agg(F.transform(F.array_sort(F.collect_list(F.struct("number", "quota"))), lambda x: x["quota"]).alias("quota"))
     leaves = split(quotas, depth, seed, -(-sources // group) or 1)
     of = leaves.select("node", "group", F.posexplode(F.arrays_zip("quota", "start")).alias("i", "x")).select((F.col("group") * group + F.col("i")).alias("number"), F.col("node").alias("shard"), "x.quota", "x.start").where("quota > 0")
-    draws = of.select("number", "shard", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("quota") - 1)).alias("draw"))
-    draws = draws.groupBy("number", F.pmod("draw", F.lit(blocks)).cast("int").alias("block")).agg(F.sort_array(F.collect_list(F.struct(F.expr(f"draw div {blocks}").alias("pass"), "shard"))).alias("draws"))
+    draws = of.join(names.select("number", "blocks"), "number").select("number", "shard", "blocks", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("quota") - 1)).alias("draw"))
+    draws = draws.groupBy("number", F.pmod("draw", "blocks").cast("int").alias("block")).agg(F.sort_array(F.collect_list(F.struct(F.expr("draw div blocks").alias("pass"), "shard"))).alias("draws"))
     none = F.array().cast("array<struct<pass:bigint,shard:bigint>>")
     table = per_block.select("number", "block").join(draws, ["number", "block"], "left").join(plan, "number")
     edge = F.col("block") == F.col("cut")
-    table = table.select("source", "block", "source_size", "target", F.coalesce("draws", none).alias("draws"), F.when(edge, F.col("edge")).alias("edge"), F.when(edge, F.col("part")).alias("part"))
-    return written(table, "mix-plan"), blocks, depth
+    table = table.select("number", "source", "block", "source_size", "target", F.coalesce("draws", none).alias("draws"), F.when(edge, F.col("edge")).alias("edge"), F.when(edge, F.col("part")).alias("part"))
+    return written(table, "mix-plan"), names, depth
 
 
-def _with_plan(sized: DataFrame, plan: DataFrame, blocks: int, seed: int) -> DataFrame:
+def _with_plan(sized: DataFrame, plan: DataFrame, names: DataFrame, seed: int) -> DataFrame:
     """Rows with their block's columns; draws: those that take a word of the row; extra: words that a partial draw takes."""
-    plan = plan.select(F.col("source").alias("_source"), F.col("block").alias("_block"), "source_size", "target", "draws", "edge", "part")
+    plan = plan.drop("source")
     if plan.count() <= BROADCAST_ROWS:
         plan = F.broadcast(plan)
-    rows = sized.withColumn("block", _block(seed, blocks))
-    rows = rows.join(plan, F.col("source").eqNullSafe(F.col("_source")) & (F.col("block") == F.col("_block"))).drop("_source", "_block")
+    rows = _by_source(sized, names).withColumn("block", _block(seed, F.col("blocks"))).drop("blocks")
+    rows = rows.join(plan, ["number", "block"])
     place = _place(seed)
     extra = F.when(place < F.col("edge"), F.col("size")).when(place == F.col("edge"), F.least("size", "part")).otherwise(F.lit(0)).cast("long")
     rows = rows.withColumn("whole", F.size("draws") - F.when(F.col("edge").isNotNull(), 1).otherwise(0)).withColumn("extra", F.when(F.col("edge").isNotNull(), extra).otherwise(F.lit(0)).cast("long"))
@@ -207,8 +223,8 @@ def _with_plan(sized: DataFrame, plan: DataFrame, blocks: int, seed: int) -> Dat
 def taken(docs: DataFrame, blocks: int = BLOCKS, seed: int = SEED, shard_words: int = SHARD_WORDS, group: int = GROUP) -> DataFrame:
     """doc_id, source, size, source_size, target, taken (words, repeats counted) and the shard of each draw."""
     sized = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size_of(F.col("text").cast("string")).alias("size")), "mix-sizes")
-    plan, blocks, _ = mix_plan(sized, blocks=blocks, seed=seed, shard_words=shard_words, group=group)
-    rows = _with_plan(sized, plan, blocks, seed)
+    plan, names, _ = mix_plan(sized, blocks=blocks, seed=seed, shard_words=shard_words, group=group)
+    rows = _with_plan(sized, plan, names, seed)
     shards = F.transform("draws", lambda x: x["shard"])
     return rows.select("doc_id", "source", "size", "source_size", "target", (F.col("whole") * F.col("size") + F.col("extra")).cast("long").alias("taken"), shards.alias("shards"))
 
@@ -224,8 +240,8 @@ def mixed(docs: DataFrame, blocks: int = BLOCKS, seed: int = SEED, shard_words:
         F.struct(*(F.col(f"`{c}`") for c in columns)).alias("_doc"), F.col("doc_id").cast("long").alias("doc_id"),
         F.col("source").cast("string").alias("source"), size_of(F.col("text").cast("string")).alias("size"),
     )
-    plan, blocks, depth = mix_plan(written(rows.select("doc_id", "source", "size"), "mix-sizes"), blocks=blocks, seed=seed, shard_words=shard_words, group=group)
-    rows = _with_plan(rows, plan, blocks, seed).select("_doc", "size", "whole", "extra", F.posexplode("draws").alias("_nth", "_draw"))
+    plan, names, depth = mix_plan(written(rows.select("doc_id", "source", "size"), "mix-sizes"), blocks=blocks, seed=seed, shard_words=shard_words, group=group)
+    rows = _with_plan(rows, plan, names, seed).select("_doc", "size", "whole", "extra", F.posexplode("draws").alias("_nth", "_draw"))
     part = (F.col("_nth") >= F.col("whole")) & (F.col("extra") < F.col("size"))
     words = F.slice(F.regexp_extract_all(F.col("_doc.text"), F.lit(WORD), F.lit(0)), F.lit(1), F.col("extra").cast("int"))
     rows = rows.withColumn("_text", F.when(part, F.array_join(words, " ")).otherwise(F.col("_doc.text"))).withColumn("_shard", F.col("_draw.shard"))

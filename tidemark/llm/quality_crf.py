@@ -5,7 +5,8 @@ neighbouring labels a transition. Lines of a labelled document carry its label i
 gradient steps in numpy). A document's quality is the mean of its lines' marginals for "good", weighted by their lengths, put
 through a logistic calibration on the same sample.
 
-It is fitted on the driver on at most PER_CLASS labelled rows of either class, none over MOST_BYTES, never held-out ones.
+It is fitted on the driver on at most PER_CLASS labelled rows of either class, none over MOST_BYTES or MOST_LINES, never held-out
+ones: 1.2 million lines of BASE single-precision numbers at most, about 330 MB.
 
 Defined results: null and empty texts are one empty line; a line may have any length; without labels of both classes every score
 is the share of good labels (0.5 if there are none); repeated rows get equal scores; an empty table gives an empty result;
@@ -21,9 +22,9 @@ from pyspark.sql import functions as F
 from .common import arrow, as_bytes, held_out, session
 from .samples import labelled_sample
 
-PER_CLASS, MOST_BYTES = 1200, 20_000
+PER_CLASS, MOST_BYTES, MOST_LINES = 1200, 20_000, 500
 THRESHOLD = 0.5
-#: Classes of bytes that are counted in a line, and the shares of its bytes at which a feature sets in.
+#: Classes of bytes that are counted in a line (a byte counts for the last that has it), and the shares of its bytes at which a feature sets in.
 _CLASSES = {
     "symbol": b"#*$%&|<>", "bang": b"!", "upper": bytes(range(65, 91)), "digit": b"0123456789", "stop": b".,;:?", "space": b" \t\r\x0b\x0c",
     "vowel": b"aeiouAEIOU", "high": bytes(range(128, 256)), "slash": b"/@=_+{}[]()\\~^`\"'",
@@ -82,14 +83,28 @@ def line_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return out, lengths, counts
 
 
-def with_neighbours(own: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Own features, those of the line before and after (zero at the ends of a text), and a constant."""
-    first = np.concatenate([[0], np.cumsum(counts)[:-1]])
-    before, after = np.zeros_like(own), np.zeros_like(own)
-    before[1:], after[:-1] = own[:-1], own[1:]
-    before[first] = 0
-    after[first + counts - 1] = 0
-    return np.concatenate([own, before, after, np.ones((len(own), 1), np.float32)], 1)
+def _inner(counts: np.ndarray) -> np.ndarray:
+    """Lines that have one before them in their text."""
+    inner = np.ones(int(counts.sum()), bool)
+    inner[np.concatenate([[0], np.cumsum(counts)[:-1]])] = False
+    return np.flatnonzero(inner)
+
+
+def emissions(own: np.ndarray, weights: np.ndarray, inner: np.ndarray) -> np.ndarray:
+    """Log odds of every line from its own features, those of the lines before and after it, and a constant."""
+    here, before, after = (own @ weights[k * BASE : (k + 1) * BASE].astype(np.float32) for k in range(3))
+    out = here.astype(np.float64) + weights[-1]
+    out[inner] += before[inner - 1]
+    out[inner - 1] += after[inner]
+    return out
+
+
+def gradient(own: np.ndarray, d: np.ndarray, inner: np.ndarray) -> np.ndarray:
+    """The weights' gradient, given that of the emissions; no line's features are copied to its neighbours."""
+    before, after = np.zeros_like(d), np.zeros_like(d)
+    before[inner - 1], after[inner] = d[inner], d[inner - 1]
+    sums = np.stack([d, before, after], 1).astype(np.float32)
+    return np.concatenate([(own.T @ sums).T.ravel().astype(np.float64), [d.sum()]])
 
 
 def marginals(emission: np.ndarray, transition: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -130,20 +145,12 @@ class Model:
         """Length-weighted mean marginal of each text."""
         own, lengths, counts = line_features(texts)
         first = np.concatenate([[0], np.cumsum(counts)[:-1]])
-        here, before, after = (own @ self.weights[k * BASE : (k + 1) * BASE].astype(np.float32) for k in range(3))
-        emission = here.astype(np.float64) + self.weights[-1]
-        inner = np.ones(len(own), bool)
-        inner[first] = False
-        inner = np.flatnonzero(inner)  # lines that have one before them in their text
-        emission[inner] += before[inner - 1]
-        emission[inner - 1] += after[inner]
-        good, _, _ = marginals(emission, self.transition, counts)
+        good, _, _ = marginals(emissions(own, self.weights, _inner(counts)), self.transition, counts)
         weight = lengths + 1.0
         return np.add.reduceat(good * weight, first) / np.add.reduceat(weight, first)
 
-    def scores(self, texts: list[bytes]) -> np.ndarray:
-        if self.constant is not None:
-            return np.full(len(texts), self.constant)
+    def parted(self, texts: list[bytes]) -> np.ndarray:
+        """raw() of parts of about two million bytes."""
         out = []
         part, size = [], 0
         for t in [*texts, None]:
@@ -153,7 +160,12 @@ class Model:
             if t is not None:
                 part.append(t)
                 size += len(t)
-        r = np.concatenate(out) if out else np.zeros(0)
+        return np.concatenate(out) if out else np.zeros(0)
+
+    def scores(self, texts: list[bytes]) -> np.ndarray:
+        if self.constant is not None:
+            return np.full(len(texts), self.constant)
+        r = self.parted(texts)
         return 1 / (1 + np.exp(-(self.scale * _logit(r) + self.shift)))
 
 
@@ -167,26 +179,21 @@ def fit(texts: list[bytes], labels: list[int], share: float, steps: int = 150, r
     if len(set(labels)) < 2:
         return Model(np.zeros(FEATURES), np.zeros((2, 2)), constant=share)
     y = np.array(labels)
-    own, lengths, counts = line_features(texts)
-    x = with_neighbours(own, counts).astype(np.float64)
-    line_y = np.repeat(y, counts)
     class_weight = np.where(y == 1, share / max(1, (y == 1).sum()), (1 - share) / max(1, (y == 0).sum()))
     # the gradient wants pair counts of texts weighted alike, so each class is one batch
     parts = []
     for c in (0, 1):
-        rows = np.flatnonzero(line_y == c)
-        parts.append((c, rows, counts[y == c], float(class_weight[y == c][0]) if (y == c).any() else 0.0))
+        own, _, n = line_features([t for t, k in zip(texts, labels) if k == c])
+        parts.append((c, own, _inner(n), n, float(class_weight[y == c][0])))
     w, trans = np.zeros(FEATURES), np.zeros((2, 2))
     m, v = np.zeros(FEATURES + 4), np.zeros(FEATURES + 4)
     for step in range(1, steps + 1):
         gw, gt = decay * w, decay * trans
-        for c, rows, n, weight in parts:
-            if not len(rows):
-                continue
-            good, pairs, _ = marginals(x[rows] @ w, trans, n)
+        for c, own, inner, n, weight in parts:
+            good, pairs, _ = marginals(emissions(own, w, inner), trans, n)
             # long texts would drown short ones: the sum over lines is shared by the mean number of lines
             scale = weight / max(1.0, n.mean())
-            gw = gw + scale * (x[rows].T @ (good - c))
+            gw = gw + scale * gradient(own, good - c, inner)
             seen = np.zeros((2, 2))
             seen[c, c] = (n - 1).sum()
             gt = gt + scale * (pairs - seen)
@@ -195,7 +202,7 @@ def fit(texts: list[bytes], labels: list[int], share: float, steps: int = 150, r
         move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         w, trans = w - move[:FEATURES], trans - move[FEATURES:].reshape(2, 2)
     model = Model(w, trans)
-    r = _logit(model.raw(texts))
+    r = _logit(model.parted(texts))
     weight = class_weight / class_weight.sum()
     a, b = 1.0, 0.0
     for _ in range(200):  # Newton steps on two numbers
@@ -211,8 +218,8 @@ def fit(texts: list[bytes], labels: list[int], share: float, steps: int = 150, r
     return Model(w, trans, max(float(a), 0.05), float(b))
 
 
-def quality_model(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, most_bytes: int = MOST_BYTES) -> Model:
-    texts, y, sizes = labelled_sample(docs, labels, "quality", per_class, most_bytes)
+def quality_model(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, most_bytes: int = MOST_BYTES, most_lines: int = MOST_LINES) -> Model:
+    texts, y, sizes = labelled_sample(docs, labels, "quality", per_class, most_bytes, most_lines)
     total = sum(sizes.values())
     return fit(texts, y, sizes.get(1, 0) / total if total else 0.5)
 
