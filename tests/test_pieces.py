@@ -47,3 +47,19 @@ def test_report_lines(spark):
     lines = [r.value for r in learning.report_lines(rows, ["head"]).orderBy("line").collect()]
     assert lines[0] == "head" and "Pixels evaluated: 5" in lines and "Positive in truth: 2 (40.00%)" in lines and "  - Accuracy: 0.6000" in lines and len(lines) == 18
     assert [r.value for r in learning.report_lines(rows.limit(0), []).orderBy("line").collect()][0] == "Pixels evaluated: 0"
+
+
+def test_texts_joined_over_ranges(spark):
+    rows = spark.range(3000).select((F.col("id") % 2).alias("incident_id"), F.struct((-(F.col("id") % 7)).alias("o0"), F.col("id").alias("o1")).alias("at"), F.concat(F.lit("m"), "id").alias("m"))
+    got = {r.incident_id: r for r in incidents.joined_in_order(rows, "incident_id", "at", F.col("m"), F.col("m")).collect()}
+    for k in (0, 1):
+        want = [f"m{i}" for i in sorted(range(k, 3000, 2), key=lambda i: (-(i % 7), i))]
+        assert got[k].joined == ",".join(want) and got[k].n == 1500 and got[k].first == want[0]
+
+
+def test_report_is_read_line_by_line(spark):
+    """The report query joins texts range by range, not all candidates in one row."""
+    from tidemark.plans import queries
+
+    plan = queries.attribution_report(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" in plan

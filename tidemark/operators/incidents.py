@@ -294,6 +294,26 @@ def report_pieces(incidents: DataFrame, candidates: DataFrame, synthetic: bool =
     return pieces(rows, "incident_id", [-F.col("attribution_score"), F.col("ordinal")], heads, "]}")
 
 
+def report_readings(lines: DataFrame, head: str, row: str) -> tuple[DataFrame, DataFrame]:
+    """What a reader gets from report_pieces(), line by line: heads (incident_id, r, by the schema `head`) and candidates (incident_id, at, x, by the schema `row`)."""
+    heads = lines.where(F.col("part") == 0).select("incident_id", F.from_json(F.concat("value", F.lit("]}")), head).alias("r"))
+    rows = lines.where(F.col("part") == 1).select("incident_id", "at", F.from_json(F.regexp_replace("value", "^,", ""), row).alias("x"))
+    return heads, rows
+
+
+def joined_in_order(rows: DataFrame, by: str, at: str, text: Column, first: Column) -> DataFrame:
+    """by, n, joined (the texts in the order of `at`, comma-joined) and first (that of the least `at`).
+
+    Rows are cut by ranges of that order, a range's texts are joined where they lie, and only those pieces meet: a task holds a
+    range, and what meets for one key is no more than its text.
+    """
+    cut = rows.select(by, F.col(at).alias("at"), text.alias("text"), first.alias("first")).repartitionByRange(by, "at").withColumn("_range", F.spark_partition_id())
+    texts = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "text"))), lambda r: r["text"]), ",")
+    parts = cut.groupBy(by, "_range").agg(F.count(F.lit(1)).alias("n"), texts.alias("text"), F.min("at").alias("at"), F.min_by("first", "at").alias("first"))
+    texts = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_range", "text"))), lambda r: r["text"]), ",")
+    return parts.groupBy(by).agg(F.sum("n").alias("n"), texts.alias("joined"), F.min_by("first", "at").alias("first"))
+
+
 def spill_summary(spills: DataFrame, by: list[str]) -> DataFrame:
     """Number of spills and total area (unknown areas count 0) per incident."""
     return spills.groupBy(*by).agg(F.count(F.lit(1)).alias("n_spills"), F.coalesce(F.sum(F.coalesce("area_km2", F.lit(0.0))), F.lit(0.0)).alias("total_area_km2"))

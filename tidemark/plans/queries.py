@@ -352,18 +352,19 @@ def vessel_rank_many(spark, sf_dir):
 string_agg(CAST(mmsi AS VARCHAR), ',' ORDER BY attribution_score DESC, ordinal) AS ranked, arg_min(evidence_summary, (-attribution_score, ordinal)) AS first_evidence
 FROM (SELECT DISTINCT spill_id AS incident_id, 4.035e0 + spill_id * 0.1e0 AS ox, 55.243e0 + spill_id * 0.05e0 AS oy FROM track) LEFT JOIN ranked USING (incident_id) GROUP BY incident_id""")
 def attribution_report(spark, sf_dir):
-    """The report as JSON text, and what a reader gets from it."""
+    """The report as JSON text line by line, and what a reader gets from it: no row but the last one's text grows with the candidates."""
     sites = _many(spark, sf_dir)
-    r = incidents.attribution_report(sites, incidents.incident_candidates(sites, T.ais(spark, sf_dir)))
-    schema = r.schema["report"].dataType
-    r = r.select("incident_id", F.from_json(F.to_json("report", {"ignoreNullFields": "false"}), schema).alias("r"))
-    got = F.col("r.candidates_ranked")
-    return r.select(
+    lines = incidents.report_pieces(sites, incidents.incident_candidates(sites, T.ais(spark, sf_dir)))
+    head = "spill_origin array<double>, hindcast_track_points int, real_ais_data_present boolean, provenance_disclaimer string, legal_disclaimer string"
+    heads, rows = incidents.report_readings(lines, head, "mmsi long, evidence_summary string")
+    ranked = incidents.joined_in_order(rows, "incident_id", "at", F.col("x.mmsi").cast("string"), F.col("x.evidence_summary"))
+    return heads.join(ranked, "incident_id", "left").select(
         "incident_id", F.col("r.spill_origin")[0].alias("lon"), F.col("r.spill_origin")[1].alias("lat"), F.col("r.hindcast_track_points").alias("track_points"), F.col("r.real_ais_data_present").alias("real_ais"),
-        F.col("r.legal_disclaimer").alias("legal_disclaimer"), F.col("r.provenance_disclaimer").alias("provenance_disclaimer"), F.size(got).cast("long").alias("n_candidates"),
-        F.array_join(F.transform(got, lambda x: x["mmsi"].cast("string")), ",").alias("ranked"), F.try_element_at(got, F.lit(1))["evidence_summary"].alias("first_evidence"),
+        F.col("r.legal_disclaimer").alias("legal_disclaimer"), F.col("r.provenance_disclaimer").alias("provenance_disclaimer"), F.coalesce("n", F.lit(0).cast("long")).alias("n_candidates"),
+        F.coalesce("joined", F.lit("")).alias("ranked"), F.col("first").alias("first_evidence"),
     )
 
+
 # --- positions against track steps in place and time, as a table and as a stream (extensions)
 
 _PAIRS = f"""{T.TIMED_SQL}, steps(incident_id, step, ts, lon, lat) AS (SELECT incident_id, 0, ts, lon, lat FROM origins
