@@ -113,3 +113,22 @@ def test_stream_equals_table_across_runs_and_drops_what_is_late(spark, tmp_path)
     assert any(n > 1 for *_, n, _, _ in whole)
     _put(spark, [(0, 7777, DAY + dt.timedelta(minutes=5), -0.1, 55.2, None, None)], folder)
     assert _run(spark, folder, out, steps) == whole  # hours after its window has closed
+
+
+@pytest.mark.parametrize("bundle, crowd", [(16, 200_000), (3, 5)])
+def test_bundled_steps_give_what_all_pairs_give(spark, monkeypatch, bundle, crowd):
+    """Dense steps and crowded cells too; with whole bundles the candidates' pairs are not grouped."""
+    monkeypatch.setattr(incidents, "BUNDLE", bundle)
+    monkeypatch.setattr(incidents, "CROWD", crowd)
+    steps, ships = rows(5)
+    a, b = spark.createDataFrame(steps, STEP.format("timestamp_ntz")), spark.createDataFrame(ships, SHIP.format("timestamp_ntz"))
+    best = incidents.timed_candidates(a, b)
+    pairs = incidents.timed_pairs(a, b)
+    near = pairs.groupBy("incident_id", "ordinal").agg(F.min(F.struct("_squared", "step")).alias("m")).select("incident_id", "ordinal", "m.step")
+    assert {tuple(r) for r in best.select("incident_id", "ordinal", "step").collect()} == {tuple(r) for r in near.collect()}
+    for window in ("1 hour", "10 minutes", "3 hours"):
+        shown = lambda df: sorted(map(tuple, df.withColumn("closest_km", F.round("closest_km", 6)).select("window_start", "incident_id", "mmsi", "n_pairs", "closest_km", "closest_step").collect()), key=str)
+        assert shown(incidents.timed_approaches(a, b, window)) == shown(incidents.closest_approaches(pairs, window))
+    if bundle == 16:
+        text = best._jdf.queryExecution().optimizedPlan().toString()
+        assert "Aggregate" not in text.split("Join")[0]
