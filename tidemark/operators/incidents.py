@@ -376,6 +376,44 @@ def attribution_summary(incidents: DataFrame, candidates: DataFrame, n: int = 3,
     return df.select("incident_id", F.coalesce("n", F.lit(0).cast("long")).alias("n_candidates"), F.lit(not synthetic).alias("real_ais"), F.transform(F.coalesce("p", none), lambda x: x["x"]).alias("priority"))
 
 
+def near_summary(incidents: DataFrame, ais: DataFrame, n: int = 3, reach: float = S.REACH_KM) -> DataFrame:
+    """attribution_summary() of incident_candidates(), without a row per candidate.
+
+    Incidents of one place and track are one site, positions of one place one row, with their number and the n first (by ordinal)
+    of every class that scores alike there (of type and speed, eight at most). Sites meet places; a site's candidates are the
+    sum of those numbers, its best are among the first ones of its best places. So the work grows with sites times places
+    within reach, not with incidents times positions.
+    """
+    kind, sog = F.coalesce("vessel_type", F.lit("Unknown")), F.coalesce(F.col("sog_knots").cast("double"), F.lit(10.0))
+    place = Window.partitionBy("lon", "lat", "track")
+    sites = written(incidents.select("incident_id", "lon", "lat", "track").withColumn("_site", F.min("incident_id").over(place)), "sites")
+    one = sites.where("incident_id = _site").drop("_site")
+    ships = ais.withColumns({"_t": S.type_score(kind), "_v": S.speed_score(sog), "lon": F.col("lon").cast("double"), "lat": F.col("lat").cast("double")})
+    alike = Window.partitionBy("lon", "lat", "_t", "_v").orderBy("ordinal")
+    first = written(ships.withColumn("_place", F.row_number().over(alike)).where(F.col("_place") <= n).withColumn("_id", F.monotonically_increasing_id()), "first-vessels")
+    scored_by = lambda far, of: F.round(S.attribution_score(S.distance_score(far, reach), F.col(f"{of}_t"), F.col(f"{of}_v")), 1)
+    likeliest = F.max(F.struct(S.attribution_score(F.lit(0.0), F.col("_t"), F.col("_v")).alias("s"), "_t", "_v")).alias("_top")
+    counts = ships.groupBy("lon", "lat").agg(F.count(F.lit(1)).alias("_n"), likeliest).where("lon IS NOT NULL AND lat IS NOT NULL")
+    places = written(counts.select("lon", "lat", "_n", F.col("_top._t").alias("_top_t"), F.col("_top._v").alias("_top_v")).withColumn("_spot", F.monotonically_increasing_id()), "places")
+    near = incident_distances(one, places, reach).withColumn("_most", scored_by(F.col("effective"), "_top"))
+    near = written(near.select("incident_id", "_spot", "lon", "lat", "_n", "_most", "dist_centroid", "dist_track", "effective"), "near")
+    total = near.groupBy("incident_id").agg(F.sum("_n").alias("n"))
+    # the n-th best of the places' best scores: no place whose best is below it has one of the n best
+    high = near.withColumn("place", F.row_number().over(Window.partitionBy("incident_id").orderBy(F.desc("_most"), "_spot"))).where(F.col("place") <= n)
+    cut = high.groupBy("incident_id").agg(F.when(F.count(F.lit(1)) == n, F.min("_most")).otherwise(-1.0).alias("_cut"))
+    left = near.join(cut, "incident_id").where("_most >= _cut").select("incident_id", "lon", "lat", "dist_centroid", "dist_track", "effective")
+    best = left.join(first.select("lon", "lat", "_t", "_v", "ordinal", "_id"), ["lon", "lat"]).drop("lon", "lat").withColumn("_score", scored_by(F.col("effective"), ""))
+    best = best.withColumn("place", F.row_number().over(Window.partitionBy("incident_id").orderBy(F.desc("_score"), "ordinal"))).where(F.col("place") <= n)
+    best = best.drop("_t", "_v", "ordinal")
+    rows = first.drop("lon", "lat", "_place", "_t", "_v", "ordinal").join(best, "_id")
+    best = scored(rows.withColumn("ordinal", F.col("place")), reach)
+    top = best.groupBy("incident_id").agg(F.sort_array(F.collect_list(F.struct("ordinal", F.struct(*CANDIDATE).alias("x")))).alias("p"))
+    none = F.from_json(F.lit("[]"), top.schema["p"].dataType)
+    found = one.select("incident_id").join(total, "incident_id", "left").join(top, "incident_id", "left").withColumnRenamed("incident_id", "_site")
+    found = found.select("_site", F.coalesce("n", F.lit(0).cast("long")).alias("n_candidates"), F.lit(True).alias("real_ais"), F.transform(F.coalesce("p", none), lambda x: x["x"]).alias("priority"))
+    return sites.select("incident_id", "_site").join(found, "_site").drop("_site")
+
+
 # Fixed values of the documents.
 LEGAL = "Attribution ranking represents geometric & kinematic correlation for investigation triage; does not constitute legal proof of liability."
 AIS_NOTE = "Real AIS feeds require external NMEA/Spire/AisStream integration. Synthetic records are strictly labeled as SYNTHETIC_TEST_DATA."

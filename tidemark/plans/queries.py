@@ -414,7 +414,7 @@ def dossiers(spark, sf_dir) -> DataFrame:
     origins = first.where("georeferenced").select("incident_id", F.col("centroid_x").alias("lon"), F.col("centroid_y").alias("lat"), F.expr("timestamp_ntz'2026-09-16 12:00:00'").alias("ts"))
     ends = lambda mode: incidents.endpoints(incidents.drift(origins.withColumn("mode", F.lit(mode)), 12, CURRENT, WIND), ["incident_id"])
     sites = incidents.incident_tracks(origins, 12, CURRENT, WIND)
-    ships = incidents.attribution_summary(sites, written(incidents.incident_candidates(sites, T.ais(spark, sf_dir)), "candidates"))
+    ships = incidents.near_summary(sites, T.ais(spark, sf_dir))
     summary = incidents.spill_summary(spills, ["scene"]).withColumnRenamed("scene", "incident_id")
     scenes = T.pixels(spark, sf_dir).select(F.col("scene").alias("incident_id")).distinct()
     return incidents.dossier(scenes, summary, first, ends("hindcast"), ends("forecast"), ships, F.lit("2026-09-17 15:48:50.684998").cast("timestamp"))
