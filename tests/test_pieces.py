@@ -63,3 +63,16 @@ def test_report_is_read_line_by_line(spark):
 
     plan = queries.attribution_report(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "RepartitionByExpression" in plan
+
+
+def test_near_summary_is_that_of_all_candidates(spark):
+    """Places and incidents that repeat, ties of scores, nulls, an incident without a vessel."""
+    shape = "incident_id long, lon double, lat double, track array<struct<lon:double,lat:double>>"
+    sites = spark.createDataFrame([(i, 4.0 + (i % 3) / 10, 55.0, [(4.0 + (i % 3) / 10, 55.0), (4.1, 55.05)]) for i in range(9)] + [(20, 4.0, 55.0, None), (21, 100.0, 0.0, None)], shape)
+    kinds = ("Tanker", "Cargo", None, "Fishing", "Oil")
+    rows = [(i, 100 + i, 4.0 + (i % 17) / 50, 55.0 + (i % 5) / 50, None if i % 11 == 0 else float(i % 23), kinds[i % 5], None, None) for i in range(900)] + [(900, 1, None, 55.0, 9.0, "Tanker", None, None)]
+    ais = spark.createDataFrame(rows, "ordinal long, mmsi long, lon double, lat double, sog_knots double, vessel_type string, vessel_name string, cog double")
+    want = incidents.attribution_summary(sites, incidents.incident_candidates(sites, ais)).orderBy("incident_id").collect()
+    got = incidents.near_summary(sites, ais)
+    assert got.columns == ["incident_id", "n_candidates", "real_ais", "priority"]
+    assert got.orderBy("incident_id").collect() == want and want[-1].priority == [] and len(want[0].priority) == 3
