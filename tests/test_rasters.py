@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.operators import raster
 from tidemark.sources import tiff
 
 
@@ -127,3 +128,23 @@ def test_failed_job_leaves_no_file(spark, tmp_path):
     with pytest.raises(Exception, match="lost"):
         bad.write.format("tidemark_tiff").option("dtype", "f4").option("bands", 1).option("lines", 64).mode("append").save(str(tmp_path / "out"))
     assert os.listdir(tmp_path / "out") == ["ok.tif"]
+
+
+def test_plain_files_are_dealt_by_pixels(spark, tmp_path):
+    """Small files that pack to nothing: tasks follow the pixels, and decoded pixels don't go to every task."""
+    (tmp_path / "in").mkdir()
+    plain = tiff.encode(np.ones((2, 60, 60), "f4"), lines=60)
+    for i in range(160):
+        (tmp_path / "in" / f"s{i}.tif").write_bytes(plain)
+    p = tiff.read_pixels(spark, str(tmp_path / "in")).withColumnRenamed("name", "scene")
+    tasks = p.groupBy(F.spark_partition_id()).count().collect()
+    assert len(tasks) == 3 and sum(t["count"] for t in tasks) == 160 * 3600
+    y = tiff.read_masks(spark, str(tmp_path / "in")).withColumnRenamed("name", "scene")
+    both = raster.with_mask(p, y)
+    assert both.agg(F.count("y"), F.sum("y"), F.sum("vv")).first()[:] == (576_000, 576_000, 576_000.0)
+    sent = both.groupBy("scene").count()
+    assert len(sent.collect()) == 160 and "Broadcast" not in sent._jdf.queryExecution().executedPlan().toString()
+    tiff.write_rasters(both, ["y"], str(tmp_path / "out"), "u1")
+    assert len(os.listdir(tmp_path / "out")) == 160
+    again = tiff.masks(tiff.files(spark, str(tmp_path / "out")))
+    assert again.where("y = 1").count() == 576_000

@@ -154,8 +154,11 @@ def tiles(df: DataFrame, patch: int = 256, stride: int = 256) -> DataFrame:
 
 
 def with_mask(pixels: DataFrame, masks: DataFrame) -> DataFrame:
-    """Pixels and their truth y (any positive mask value is 1), joined by place."""
-    return pixels.join(masks.select(*KEY, (F.col("y") > 0).cast("int").alias("y")), list(KEY))
+    """Pixels and their truth y (any positive mask value is 1), joined by place.
+
+    A mask is as large as its pixels, but Spark takes one that is decoded from files for as small as their packed blocks: it is never broadcast.
+    """
+    return pixels.join(masks.select(*KEY, (F.col("y") > 0).cast("int").alias("y")).hint("merge"), list(KEY))
 
 
 def _tile_runs(row: np.ndarray, col: np.ndarray) -> tuple[np.ndarray, ...]:

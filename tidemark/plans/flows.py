@@ -36,7 +36,10 @@ def infer(model, pixels: DataFrame, threshold: float = 0.3, despeckle: bool = Tr
 
 
 def write_inference(found: DataFrame, path: str, lines: int = 64) -> None:
-    """The mask (bytes) and the probabilities (floats, named with _proba) of infer() as TIFFs beside each other, one of each per scene."""
+    """The mask (bytes) and the probabilities (floats, named with _proba) of infer() as TIFFs beside each other, one of each per scene.
+
+    found is read several times: give it written.
+    """
     tiff.write_rasters(found, ["pred"], path, "u1", lines=lines)
     tiff.write_rasters(found, ["proba"], path, "f4", lines=lines, suffix="_proba")
 

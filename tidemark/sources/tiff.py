@@ -1,9 +1,9 @@
 """TIFF rasters as relations: pixels of two bands, masks, and what the tags say (shape, geotransform, geo tags).
 
 Classic TIFF of either byte order, in strips or tiles, bands interleaved or apart, plain, deflated or LZW, with the horizontal
-predictor for integers or that for floats. Other encodings raise. A file's stored blocks (strips, tiles) are cut out of its bytes and
-dealt to tasks before they are decoded, so a scene is decoded by many tasks, each holding a block; lines that are not wanted are left
-out before that. How many files' bytes a batch brings is spark.sql.execution.arrow.maxBytesPerBatch, for the session to set.
+predictor for integers or that for floats. Other encodings raise. A file's stored blocks (strips, tiles) are cut out of its bytes,
+written to the shared folder and dealt to tasks by their pixels before they are decoded, so a scene is decoded by many tasks, each
+holding a block; lines that are not wanted are left out before that. How many files' bytes a batch brings is spark.sql.execution.arrow.maxBytesPerBatch, for the session to set.
 
 Files are written by strips as well: tasks pack a strip's lines, and a file is its strips one after the other behind a header that
 names the place of the directory, so it is streamed, never held. Files appear under their names when the job has ended well.
@@ -20,11 +20,15 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
 from tidemark.functions import scalar as S
+from tidemark.plans.lineage import written
+
+#: Pixels that a task decodes or stores about. Packed bytes say little of them: a plain mask is a thousandth of its pixels.
+PIXELS_A_TASK = 1 << 18
 
 # Fixed values of the format: field types with their sizes, sample formats, geo tags.
 FIELDS = {1: "B", 2: "s", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i", 11: "f", 12: "d"}
@@ -348,9 +352,8 @@ def write_rasters(pixels: DataFrame, bands: list[str], path: str, dtype: str = "
     """A TIFF per scene under a folder, named by the scene and the suffix. scenes: scene and gt (null: none), where files carry a geotransform.
 
     A file is its strips in order: the task that writes it streams them. Scenes' names must be file names. A failed job leaves no file.
+    pixels are read twice: give them written.
     """
-    from tidemark.plans.lineage import written
-
     spark = pixels.sparkSession
     spark.dataSource.register(TiffSink)
     found = written(strips(pixels, bands, dtype, lines), "strips")
@@ -361,7 +364,8 @@ def write_rasters(pixels: DataFrame, bands: list[str], path: str, dtype: str = "
         total = total.withColumn("gt", F.lit(None).cast("array<double>"))
     ready = found.join(total, "name").withColumn("name", F.concat("name", F.lit(suffix)))
     # strips of a file meet in one task, packed; sorted, they are streamed
-    ready = ready.repartition("name").sortWithinPartitions("name", "strip")
+    high = F.least(F.lit(lines), F.col("height") - F.col("strip") * lines)
+    ready = ready.repartition(_tasks(found, high.cast("long") * F.col("width")), "name").sortWithinPartitions("name", "strip")
     ready.write.format("tidemark_tiff").option("dtype", dtype).option("bands", len(bands)).option("lines", lines).mode("append").save(path)
 
 
@@ -370,13 +374,19 @@ def files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select(S.base_name(F.col("path")).alias("name"), "content")
 
 
+def _tasks(rows: DataFrame, pixels: Column) -> int:
+    """The number of tasks for rows of so many pixels each."""
+    return max(1, -(-(rows.agg(F.sum(pixels).alias("n")).first()["n"] or 0) // PIXELS_A_TASK))
+
+
 _BLOCKS = "name string, row int, col int, high int, wide int, stored int, dtype string, bands int, apart boolean, packing int, predictor int, parts array<binary>"
 
 
 def stored_blocks(found: DataFrame, rows: tuple[int, int] | None = None) -> DataFrame:
     """The stored blocks of files (name, content), packed as they are, dealt by name and place; rows: only blocks with lines of these (first, last).
 
-    high and wide are the block's pixels in the raster, stored its width in the file.
+    high and wide are the block's pixels in the raster, stored its width in the file. Blocks are written and their pixels counted, so
+    that tasks are as many as these ask for: dealt by packed bytes, all pixels of many small files would meet in one task.
     """
     kinds = pa.schema([("name", pa.string()), *((c, pa.int32()) for c in ("row", "col", "high", "wide", "stored")), ("dtype", pa.string()), ("bands", pa.int32()), ("apart", pa.bool_()), ("packing", pa.int32()), ("predictor", pa.int32()), ("parts", pa.list_(pa.binary()))])
 
@@ -390,7 +400,8 @@ def stored_blocks(found: DataFrame, rows: tuple[int, int] | None = None) -> Data
                     row = [name, r, c, min(t.high, t.height - r), min(t.wide, t.width - c), t.wide, t.dtype, t.bands, t.apart, t.packing, t.predictor, parts]
                     yield pa.RecordBatch.from_arrays([pa.array([v], k.type) for v, k in zip(row, kinds)], schema=kinds)
 
-    return found.select("name", "content").mapInArrow(run, _BLOCKS).repartition("name", "row", "col")
+    cut = written(found.select("name", "content").mapInArrow(run, _BLOCKS), "blocks")
+    return cut.repartition(_tasks(cut, F.col("high").cast("long") * F.col("wide")), "name", "row", "col")
 
 
 #: Pixels that a batch of decoded lines has about.
