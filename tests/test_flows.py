@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import learning, raster
+from tidemark.operators import forest, learning, raster
 from tidemark.plans import flows
 from tidemark.sources import files, tiff
 
@@ -121,3 +121,20 @@ def test_scene_to_polygons(spark, tmp_path):
     (p,) = found.collect()
     assert p.scene == 0 and p.georeferenced and abs(p.pixel_count - 100) <= 40 and abs(p.centroid_x - 4.0105) < 0.002
     assert [(r.scene, r.n_polygons, r.total_area_km2 > 0) for r in summary.orderBy(F.col("scene")).collect()] == [(0, 1, True), (1, 0, False)]
+
+
+def test_run_despeckles_once(spark, tmp_path, monkeypatch):
+    """Bands are despeckled once for the preprocessed ones and the inference, and give what each gives alone."""
+    (tmp_path / "img").mkdir()
+    db = np.random.default_rng(5).normal(-20, 4, (2, 24, 24)).astype("f4")
+    (tmp_path / "img" / "s.tif").write_bytes(tiff.encode(db))
+    model = spark.createDataFrame([(0, 0, 0, 0.5, 1, 2, 0.5, 2), (0, 1, -1, 0.0, -1, -1, 0.75, 1), (0, 2, -1, 0.0, -1, -1, 0.125, 1)], forest.NODES)
+    seen = []
+    monkeypatch.setattr(raster, "lee", lambda *a, f=raster.lee: (seen.append(1), f(*a))[1])
+    (out,) = flows.run_scenes(spark, str(tmp_path / "img"), model, str(tmp_path / "out"), 0.3, 3, (24, 24)).collect()
+    assert len(seen) == 1
+    pixels = tiff.read_pixels(spark, str(tmp_path / "img")).withColumnRenamed("name", "scene")
+    for folder, alone in ((out.preprocessed, raster.preprocess(pixels)), (out.features, raster.features(pixels)), (out.mask, flows.infer(model, pixels))):
+        columns = [c for c in alone.columns if c != "scene"]
+        got, want = (sorted(df.select(*columns).collect()) for df in (spark.read.parquet(folder), alone))
+        assert len(got) == 576 and np.allclose(got, want, rtol=0, atol=1e-9)

@@ -148,3 +148,24 @@ def test_plain_files_are_dealt_by_pixels(spark, tmp_path):
     assert len(os.listdir(tmp_path / "out")) == 160
     again = tiff.masks(tiff.files(spark, str(tmp_path / "out")))
     assert again.where("y = 1").count() == 576_000
+
+
+@pytest.mark.parametrize("batch", [1, 7, 10_000])
+def test_strips_of_sparse_scenes(spark, tmp_path, batch):
+    """Strips without a pixel, strips over several batches, and a pixel outside its scene."""
+    want = {"a": np.zeros((1, 31, 9), "f4"), "b": np.zeros((1, 4, 5), "f4")}
+    rows = [("a", 0, 3, 1.0), ("a", 13, 8, 2.0), ("a", 30, 0, 3.0), *(("b", i, j, float(i * 5 + j)) for i in range(4) for j in range(5))]
+    for s, i, j, v in rows:
+        want[s][0, i, j] = v
+    df = spark.createDataFrame(rows, "scene string, row int, col int, x double").repartition(3)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(key)
+    spark.conf.set(key, batch)
+    try:
+        tiff.write_rasters(df, ["x"], str(tmp_path / "out"), lines=3)
+        with pytest.raises(Exception, match="no place"):
+            tiff.strips(df.union(df.limit(1).withColumn("row", F.lit(-4))), ["x"], lines=3).collect()
+    finally:
+        spark.conf.set(key, was)
+    for s, a in want.items():
+        assert (tiff.decode((tmp_path / "out" / f"{s}.tif").read_bytes()) == a).all()

@@ -120,21 +120,33 @@ def local_std(df: DataFrame, value: str, out: str, size: int = 5) -> DataFrame:
     return wide.withColumn(out, F.sqrt(F.greatest(F.col("_s") - F.col("_m") * F.col("_m"), F.lit(0.0)))).drop("_m", "_s")
 
 
-def preprocess(pixels: DataFrame, despeckle: bool = True, size: int = 5) -> DataFrame:
-    """Clipped, despeckled if wanted, and normalised bands."""
+def clipped(pixels: DataFrame, despeckle: bool = False, size: int = 5) -> DataFrame:
+    """Clipped bands, despeckled if wanted."""
     df = pixels.withColumns({b: S.clip_db(F.col(b)) for b in ("vv", "vh")})
-    df = lee(df, ["vv", "vh"], size) if despeckle else df
+    return lee(df, ["vv", "vh"], size) if despeckle else df
+
+
+def normalised(df: DataFrame) -> DataFrame:
+    """Normalised bands of those of clipped()."""
     return df.select(*KEY, S.normalise(F.col("vv")).alias("vv_norm"), S.normalise(F.col("vh")).alias("vh_norm"))
 
 
-def features(pixels: DataFrame, despeckle: bool = False) -> DataFrame:
-    """vv_norm, vh_norm, diff_norm and vv_std_norm; training leaves despeckling out, inference applies it."""
-    df = pixels.withColumns({b: S.clip_db(F.col(b)) for b in ("vv", "vh")})
-    df = lee(df, ["vv", "vh"]) if despeckle else df
+def described(df: DataFrame) -> DataFrame:
+    """Features of the bands of clipped()."""
     df = df.select(*KEY, S.normalise(F.col("vv")).alias("vv_norm"), S.normalise(F.col("vh")).alias("vh_norm"), S.difference(F.col("vv"), F.col("vh")).alias("diff_norm"))
     return local_std(df, "vv_norm", "_std").withColumn("vv_std_norm", S.texture(F.col("_std"))).drop("_std")
 
 
+def preprocess(pixels: DataFrame, despeckle: bool = True, size: int = 5) -> DataFrame:
+    """Clipped, despeckled if wanted, and normalised bands."""
+    return normalised(clipped(pixels, despeckle, size))
+
+
+def features(pixels: DataFrame, despeckle: bool = False) -> DataFrame:
+    """vv_norm, vh_norm, diff_norm and vv_std_norm; training leaves despeckling out, inference applies it."""
+    return described(clipped(pixels, despeckle))
+
+
 def tiles(df: DataFrame, patch: int = 256, stride: int = 256) -> DataFrame:
     """patch_r, patch_c and the place in the patch of every pixel; partial patches at the edge are dropped, overlaps repeat pixels."""
     size = df.groupBy("scene").agg((F.max("row") + 1).alias("_h"), (F.max("col") + 1).alias("_w"))

@@ -62,16 +62,18 @@ def run_scenes(spark: SparkSession, images: str, model, out: str, threshold: flo
     """From rasters to outputs under `out`: preprocessed and features (Parquet by scene), mask, spills (a collection a scene, as text), and rasters (mask and probabilities as TIFF).
 
     Returns the run's summary per scene: its shape, whether that is as expected, number of polygons, total area, and the
-    outputs' folders. Scenes are the files' names.
+    outputs' folders. Scenes are the files' names. Files are decoded, despeckled and inferred once, each kept in the shared folder
+    for what follows: the outputs by scene are many small files, and slow to read again.
     """
-    found = written(tiff.files(spark, images), "rasters")
-    pixels = tiff.pixels(found).withColumnRenamed("name", "scene")
-    known = tiff.info(found).withColumnRenamed("name", "scene")
+    found = tiff.files(spark, images)
+    known = written(tiff.info(found).withColumnRenamed("name", "scene"), "shapes")
+    pixels = written(tiff.pixels(found).withColumnRenamed("name", "scene"), "pixels")
+    smooth = written(raster.clipped(pixels, despeckle=True), "despeckled")
     folders = {k: f"{out.rstrip('/')}/{k}" for k in ("preprocessed", "features", "mask", "spills", "rasters")}
-    raster.preprocess(pixels).write.partitionBy("scene").parquet(folders["preprocessed"])
+    raster.normalised(smooth).write.partitionBy("scene").parquet(folders["preprocessed"])
     raster.features(pixels).write.partitionBy("scene").parquet(folders["features"])
-    infer(model, pixels, threshold).write.partitionBy("scene").parquet(folders["mask"])
-    mask = spark.read.parquet(folders["mask"]).withColumn("scene", F.col("scene").cast("string"))
+    mask = written(learning.score_forest(model, raster.described(smooth), threshold).select(*raster.KEY, "proba", "pred"), "inference")
+    mask.write.partitionBy("scene").parquet(folders["mask"])
     write_inference(mask, folders["rasters"])
     spills = written(polygonise(mask, known.select("scene", "gt"), min_pixels), "spills")
     files.write_text(files.polygons_collection(spills, raster.ring()), folders["spills"])

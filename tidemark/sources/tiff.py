@@ -238,30 +238,54 @@ _STRIPS = "name string, strip int, height int, width int, content binary"
 
 
 def strips(pixels: DataFrame, bands: list[str], dtype: str = "f4", lines: int = 64) -> DataFrame:
-    """Packed strips of so many lines of every scene: name, strip, height and width (of the scene), content. A task holds a strip.
+    """Packed strips of so many lines of every scene: name, strip, height and width (of the scene), content. A task fills a strip at a time.
 
     Pixels that are missing are 0; of several pixels in one place any counts; values beyond the type are cut to it.
     """
     kind = np.dtype(dtype)
-    df = pixels.select(F.col("scene").cast("string").alias("name"), "row", "col", *(F.col(b).cast("double").alias(f"v{i}") for i, b in enumerate(bands)))
+    df = pixels.select(F.col("scene").cast("string").alias("name"), F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), *(F.col(b).cast("double").alias(f"v{i}") for i, b in enumerate(bands)))
     size = df.groupBy("name").agg((F.max("row") + 1).cast("int").alias("height"), (F.max("col") + 1).cast("int").alias("width"))
-    every = size.select(F.col("name").alias("of"), "height", "width", F.explode(F.sequence(F.lit(0), F.floor((F.col("height") - 1) / lines).cast("int"))).alias("at"))
-
-    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        height, width = (right.column(c)[0].as_py() for c in ("height", "width"))
-        name, strip = (k.as_py() for k in key)
-        out = np.zeros((len(bands), min(lines, height - strip * lines), width), kind)
-        if left.num_rows:
-            at = left.column("row").to_numpy() - strip * lines, left.column("col").to_numpy()
-            for i in range(len(bands)):
-                v = left.column(f"v{i}").fill_null(float("nan") if kind.kind == "f" else 0).to_numpy()
-                if kind.kind != "f":
-                    v = np.clip(np.nan_to_num(v), np.iinfo(kind).min, np.iinfo(kind).max)
-                out[i][at] = v
-        return pa.table({"name": [name], "strip": pa.array([strip], pa.int32()), "height": pa.array([height], pa.int32()), "width": pa.array([width], pa.int32()), "content": pa.array([packed_strip(out)], pa.binary())})
-
-    dealt = df.withColumn("strip", F.floor(F.col("row") / lines).cast("int"))
-    return dealt.groupBy("name", "strip").cogroup(every.groupBy("of", "at")).applyInArrow(run, _STRIPS)
+    every = size.withColumn("strip", F.explode(F.sequence(F.lit(0), F.floor((F.col("height") - 1) / lines).cast("int"))))
+
+    def run(batches):
+        now, out = (), None  # name, strip, height and width of the strip that is being filled
+
+        for batch in batches:
+            done = []
+            strip, row, col = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("strip", "row", "col"))
+            heads = np.flatnonzero(batch.column("height").is_valid().to_numpy(zero_copy_only=False)).tolist()
+            for a, b in zip([-1, *heads], [*heads, batch.num_rows]):
+                if a >= 0:
+                    if now:
+                        done.append((*now, packed_strip(out)))
+                    now = tuple(batch.column(c)[a].as_py() for c in ("name", "strip", "height", "width"))
+                    out = np.zeros((len(bands), min(lines, now[2] - now[1] * lines), now[3]), kind)
+                part = slice(a + 1, b)
+                if a + 1 == b:
+                    continue
+                if not now or (strip[part] != now[1]).any():
+                    raise ValueError("a pixel has no place in its scene")
+                at = row[part].astype(np.int64) - now[1] * lines, col[part].astype(np.int64)
+                for i in range(len(bands)):
+                    v = batch.column(f"v{i}")[part].fill_null(float("nan") if kind.kind == "f" else 0).to_numpy()
+                    if kind.kind != "f":
+                        v = np.clip(np.nan_to_num(v), np.iinfo(kind).min, np.iinfo(kind).max)
+                    out[i][at] = v
+            if done:
+                yield _packed_rows(done)
+        if now:
+            yield _packed_rows([(*now, packed_strip(out))])
+
+    pixel = [F.lit(None).cast("int").alias(c) for c in ("height", "width")]
+    dealt = df.select("*", F.floor(F.col("row") / lines).cast("int").alias("strip"), *pixel).unionByName(every, allowMissingColumns=True)
+    # a strip's row of `every`, with its scene's shape, comes before its pixels
+    ready = dealt.repartition("name", "strip").sortWithinPartitions("name", "strip", F.col("height").isNull())
+    return ready.mapInArrow(run, _STRIPS)
+
+
+def _packed_rows(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = {"name": pa.string(), "strip": pa.int32(), "height": pa.int32(), "width": pa.int32(), "content": pa.binary()}
+    return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*rows), kinds.values())], names=list(kinds))
 
 
 class _Commit(WriterCommitMessage):
