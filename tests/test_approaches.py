@@ -132,3 +132,19 @@ def test_bundled_steps_give_what_all_pairs_give(spark, monkeypatch, bundle, crow
     if bundle == 16:
         text = best._jdf.queryExecution().optimizedPlan().toString()
         assert "Aggregate" not in text.split("Join")[0]
+
+
+def test_incidents_of_one_track_are_joined_once(spark, monkeypatch):
+    monkeypatch.setattr(incidents, "SHARED", 2)
+    steps, ships = rows(7)
+    steps = [s for s in steps if None not in s and s[0] != 9]
+    steps += [(10 * c + i, *rest) for c in (1, 2, 3, 4) for i, *rest in steps if i < 2]  # five incidents each of two tracks
+    a, b = spark.createDataFrame(steps, STEP.format("timestamp_ntz")), spark.createDataFrame(ships, SHIP.format("timestamp_ntz"))
+    bundles = incidents._bundles(a, 25.0, 1_800_000_000, 3_600_000_000)[0]
+    assert [(r._lead, [x.incident_id for x in r._shared]) for r in bundles.select("_lead", "_shared").distinct().orderBy("_lead").collect()] == [(0, [0, 10]), (1, [1, 11]), (2, [2]), (3, [3]), (20, [20, 30]), (21, [21, 31]), (40, [40]), (41, [41])]
+    pairs = incidents.timed_pairs(a, b)
+    near = pairs.groupBy("incident_id", "ordinal").agg(F.min(F.struct("_squared", "step")).alias("m")).select("incident_id", "ordinal", "m.step")
+    best = incidents.timed_candidates(a, b).select("incident_id", "ordinal", "step").distinct()
+    assert sorted(map(tuple, best.collect())) == sorted(map(tuple, near.collect()))
+    shown = lambda df: sorted(map(tuple, df.withColumn("closest_km", F.round("closest_km", 6)).select("window_start", "incident_id", "mmsi", "n_pairs", "closest_km", "closest_step").collect()), key=str)
+    assert shown(incidents.timed_approaches(a, b)) == shown(incidents.closest_approaches(pairs))
