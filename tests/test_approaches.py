@@ -148,3 +148,17 @@ def test_incidents_of_one_track_are_joined_once(spark, monkeypatch):
     assert sorted(map(tuple, best.collect())) == sorted(map(tuple, near.collect()))
     shown = lambda df: sorted(map(tuple, df.withColumn("closest_km", F.round("closest_km", 6)).select("window_start", "incident_id", "mmsi", "n_pairs", "closest_km", "closest_step").collect()), key=str)
     assert shown(incidents.timed_approaches(a, b)) == shown(incidents.closest_approaches(pairs))
+
+
+def test_a_vessel_with_one_position_in_a_window_is_not_grouped(spark):
+    steps, ships = rows(11)
+    a, b = spark.createDataFrame(steps, STEP.format("timestamp_ntz")), spark.createDataFrame(ships, SHIP.format("timestamp_ntz"))
+    found = incidents.timed_approaches(a, b, shown="yyyy-MM-dd HH:mm")
+    assert "Aggregate" not in found._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]  # the first of two branches
+    shown = lambda df: sorted(map(tuple, df.withColumn("closest_km", F.round("closest_km", 6)).select("window_start", "incident_id", "mmsi", "n_pairs", "closest_km", "closest_step").collect()), key=str)
+    want = incidents.closest_approaches(incidents.timed_pairs(a, b)).withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm"))
+    got = shown(found)
+    assert got == shown(want)
+    at = {(str(p[2])[:13], p[1]) for p in ships if p[2]}
+    several = {k for k in at if sum(p[2] is not None and (str(p[2])[:13], p[1]) == k for p in ships) > 1}
+    assert {(w[:13], m) in several for w, _, m, *_ in got} == {True, False}  # both kinds are there
