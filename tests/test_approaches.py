@@ -162,3 +162,20 @@ def test_a_vessel_with_one_position_in_a_window_is_not_grouped(spark):
     at = {(str(p[2])[:13], p[1]) for p in ships if p[2]}
     several = {k for k in at if sum(p[2] is not None and (str(p[2])[:13], p[1]) == k for p in ships) > 1}
     assert {(w[:13], m) in several for w, _, m, *_ in got} == {True, False}  # both kinds are there
+
+
+def test_the_streams_folder_grows_with_positions_not_with_pairs(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    steps, ships = rows(13)
+    steps = [(10 * c + i, *rest) for c in range(9) for i, *rest in steps if i < 4]
+    steps, ships = spark.createDataFrame(steps, STEP.format("timestamp_ntz")), [s for s in ships if s[2]]
+    folder, out = str(tmp_path / "in"), str(tmp_path / "run")
+    _put(spark, ships, folder)
+    stream = spark.readStream.schema(SHIP.format("timestamp_ntz")).parquet(folder)
+    approaches.start(stream, steps, f"{out}/out", f"{out}/checkpoint", reach=20.0, minutes=20, window="30 minutes").awaitTermination()
+    shown = lambda df: sorted(map(tuple, df.withColumn("closest_km", F.round("closest_km", 6)).select("window_start", "incident_id", "mmsi", "n_pairs", "closest_km", "closest_step").collect()), key=str)
+    want = shown(incidents.closest_approaches(incidents.timed_pairs(steps, spark.createDataFrame(ships, SHIP.format("timestamp_ntz")), 20.0, 20), "30 minutes"))
+    assert shown(approaches.current(spark, f"{out}/out")) == want
+    kept = sum(pq.read_metadata(f).num_rows for f in (tmp_path / "run" / "out").glob("**/batch=*/*.parquet"))
+    assert 0 < kept <= len(ships) < len(want)
