@@ -179,3 +179,10 @@ def test_the_streams_folder_grows_with_positions_not_with_pairs(spark, tmp_path)
     assert shown(approaches.current(spark, f"{out}/out")) == want
     kept = sum(pq.read_metadata(f).num_rows for f in (tmp_path / "run" / "out").glob("**/batch=*/*.parquet"))
     assert 0 < kept <= len(ships) < len(want)
+
+
+def test_a_track_is_folded_once(spark):
+    """No filter that Spark infers from the generator folds it too (before the origins are dealt)."""
+    origins = spark.createDataFrame([(1, DAY, 4.0, 55.0, "hindcast")], "incident_id int, ts timestamp_ntz, lon double, lat double, mode string")
+    plan = incidents.drift(incidents.spread(origins, "incident_id"), 12, (0.2, 0.1), (5.0, 5.0))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("aggregate(") == 1 and "size(" not in plan
